@@ -5,10 +5,55 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenderlake.llm import language, mixing, packing, tokens
+from tenderlake.llm import language, mixing, neardup, packing, setjoin, splitting, tokens
 from tenderlake.session import stage, table
 
 
+def _near(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.near_groups(neardup.word_sets(table(spark, d, "hq_001_030"), "id", ["question", "answer"]))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.near_pairs(_near(spark, d))
+
+
+def p2_groups(spark: SparkSession, d: str) -> DataFrame:
+    return _near(spark, d)
+
+
+def _pieces(spark: SparkSession, d: str) -> DataFrame:
+    parts = [
+        splitting.items("chunk", "text", table(spark, d, "chunk"), F.lit(""), F.col("id")),
+        splitting.items("sections", "content_md", table(spark, d, "sections"), F.col("run_id"), F.col("id")),
+    ]
+    return splitting.split(parts, table(spark, d, "split_limits"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _pieces(spark, d).where("piece_no = 1").select("tbl", "run_id", "item_id")
+
+
+def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return _pieces(spark, d)
+
+
+def p3_cuts(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.cut_report(_pieces(spark, d))
+
+
+def _similar(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    parts = [(table(spark, d, "hq_001_030"), "id", "tags"), (table(spark, d, "proof_points"), "id", "covers_tags")]
+    return setjoin.similar_records(setjoin.tag_sets(parts))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return setjoin.similar_pairs(*_similar(spark, d))
+
+
+def p4_links(spark: SparkSession, d: str) -> DataFrame:
+    return setjoin.link_counts(*_similar(spark, d)).select("id", "n_equal", "n_links")
+
+
 def p6_pack(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     return packing.pack(docs, table(spark, d, "pack_limits"), "doc_id", tokens.n_tokens(F.col("text")))
@@ -41,5 +86,35 @@ def p8_languages(spark: SparkSession, d: str) -> DataFrame:
     return language.languages(table(spark, d, "documents"), table(spark, d, "lang_codes"))
 
 
-QUERIES = {"p6_pack": p6_pack, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_languages": p8_languages}
-SQL: dict[str, str] = {}
+QUERIES = {
+    "p2_found": p2_found,
+    "p2_groups": p2_groups,
+    "p3_found": p3_found,
+    "p3_pieces": p3_pieces,
+    "p3_cuts": p3_cuts,
+    "p4_found": p4_found,
+    "p4_links": p4_links,
+    "p6_pack": p6_pack,
+    "p6_fill": p6_fill,
+    "p7_mix": p7_mix,
+    "p7_shares": p7_shares,
+    "p8_found": p8_found,
+    "p8_languages": p8_languages,
+}
+
+_TOO_LONG = """
+SELECT DISTINCT i.tbl, i.run_id, i.item_id
+FROM (SELECT 'chunk' AS tbl, '' AS run_id, id AS item_id, text FROM chunk UNION ALL SELECT 'sections', run_id, id, content_md FROM sections) i
+JOIN split_limits l ON l.tbl = i.tbl AND l.field = CASE i.tbl WHEN 'chunk' THEN 'text' ELSE 'content_md' END
+WHERE length(trim(i.text, chr(32) || chr(9) || chr(13) || chr(10))) > l.max_chars
+"""
+_TAGS = """
+WITH r AS (
+  SELECT id, tags AS t FROM hq_001_030 UNION ALL SELECT id, covers_tags FROM proof_points
+), tags AS (
+  SELECT DISTINCT id, replace(replace(lower(trim(x)), ' ', '-'), '_', '-') AS tag FROM (SELECT id, unnest(t) AS x FROM r) WHERE trim(x) <> ''
+), n AS (SELECT id, count(*) AS n FROM tags GROUP BY id)
+, shared AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS both_have FROM tags a JOIN tags b ON a.tag = b.tag AND a.id < b.id GROUP BY ALL)
+SELECT id_a, id_b FROM shared JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE both_have >= 0.6 * (x.n + y.n - both_have)
+"""
+SQL: dict[str, str] = {"p3_found": _TOO_LONG, "p4_found": _TAGS}
