@@ -5,10 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenderlake.llm import language, mixing, neardup, packing, setjoin, splitting, tokens
+from tenderlake.llm import answers, language, mixing, neardup, packing, setjoin, splitting, tokens
 from tenderlake.session import stage, table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return answers.defective_pairs(table(spark, d, "hq_001_030"))
+
+
+def p1_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Defects of each department, with the records they are found in."""
+    hq = table(spark, d, "hq_001_030")
+    held = hq.select("id", F.coalesce(F.trim("owner_dept"), F.lit("")).alias("owner_dept")).distinct()
+    return answers.defective_pairs(hq).join(held, "id").groupBy("owner_dept", "defect").agg(F.countDistinct("id").alias("n"))
+
+
 def _near(spark: SparkSession, d: str) -> DataFrame:
     return neardup.near_groups(neardup.word_sets(table(spark, d, "hq_001_030"), "id", ["question", "answer"]))
 
@@ -87,6 +98,8 @@ def p8_languages(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_shares": p1_shares,
     "p2_found": p2_found,
     "p2_groups": p2_groups,
     "p3_found": p3_found,

@@ -27,7 +27,7 @@ SEED = 41
 
 def clean_tags(tags: Column) -> Column:
     """Distinct tags, trimmed, lower case, blanks and underscores as hyphens; blank ones dropped; sorted."""
-    clean = F.transform(tags, lambda t: F.regexp_replace(F.lower(F.regexp_replace(t, r"\A[\s ]+|[\s ]+\z", "")), r"[\s _]", "-"))
+    clean = F.transform(tags, lambda t: F.regexp_replace(F.lower(F.regexp_replace(t, r"\A[\s\x{00A0}]+|[\s\x{00A0}]+\z", "")), r"[\s\x{00A0}_]", "-"))
     return F.array_sort(F.array_distinct(F.filter(clean, lambda t: t.isNotNull() & (t != ""))))
 
 
