@@ -1,10 +1,11 @@
 """All similar pairs between set-valued records by chosen-path splitting.
 
 In each of several trees the records are split again and again on tokens chosen at random, the
-same for all records that share a path so far: a record follows a token of its set with a
-probability of 1 / (threshold x size), so that a similar pair meets again in at least one branch
-on average while others part. Nodes with few records are compared by brute force, and what is
-similar there is verified exactly.
+same for all records that share a path so far: a record follows a token that it has left with a
+probability of about BRANCH / (tokens left), so that a similar pair meets again in at least one
+branch on average while others part. Nodes with few records are compared by brute force, and what
+is similar there is verified exactly. Tokens of so few records that their node is small from the
+start are compared once, outside the trees, which then choose among the other tokens only.
 """
 
 from __future__ import annotations
@@ -19,9 +20,11 @@ from tenderlake.session import stage
 
 THRESHOLD = 0.6
 #: Trees, and records up to which a node is compared by brute force.
-TREES, SMALL = 20, 64
-#: Splits of a path at most; larger nodes that are left then are compared whole.
-DEPTH = 12
+TREES, SMALL = 16, 128
+#: Branches of a record on average at the root, and below it.
+ROOT_BRANCH, BRANCH = 1 / 0.6, 2.0
+#: Tokens of a path at most; nodes that are still larger then are compared whole.
+DEPTH = 8
 SEED = 41
 
 
@@ -40,40 +43,65 @@ def tag_sets(parts: list[tuple[DataFrame, str, str]]) -> DataFrame:
     return reduce(DataFrame.unionByName, rows).where("id IS NOT NULL AND size(tags) > 0").distinct()
 
 
-def _split(rows: DataFrame, level: int, threshold: float) -> DataFrame:
-    """Children of every row: one for each chosen token."""
-    below = rows.withColumn("token", F.explode("toks"))
-    path = F.xxhash64("node", "token", F.lit(level))
+def _follow(rows: DataFrame, depth: int) -> DataFrame:
+    """One row for each branch that a record takes to nodes of ``depth`` path tokens.
+
+    ``left`` are its tokens that are not on the path; the lowest bit of a token says whether it is
+    one to choose.
+    """
+    below = rows.withColumn("token", F.explode(F.filter("left", lambda t: t.bitwiseAND(F.lit(1)) == 1)))
+    path = F.xxhash64("node", "token", F.lit(depth))
     u = F.shiftrightunsigned(F.xxhash64(path, F.lit(SEED)), 11) / float(1 << 53)
-    return below.where(u < 1.0 / (threshold * F.size("toks"))).select("sid", "toks", path.alias("node"))
+    chosen = below.where(u < (ROOT_BRANCH if depth == 1 else BRANCH) / F.size("left"))
+    return chosen.select("sid", "n", F.array_remove("left", F.col("token")).alias("left"), path.alias("node"))
 
 
-def _brute(leaves: DataFrame, threshold: float) -> DataFrame:
+def _brute(leaves: DataFrame, depth: int, threshold: float) -> DataFrame:
+    """Similar pairs of nodes whose records share ``depth`` tokens by their path."""
     a, b = leaves.alias("a"), leaves.alias("b")
-    na, nb = F.size("a.toks"), F.size("b.toks")
-    shared = F.size(F.array_intersect("a.toks", "b.toks"))
-    near = (F.least(na, nb) >= threshold * F.greatest(na, nb) - 1e-9) & (shared >= threshold * (na + nb - shared) - 1e-9)
+    na, nb = F.col("a.n"), F.col("b.n")
+    alike = (F.least(na, nb) >= threshold * F.greatest(na, nb) - 1e-9)
+    shared = F.size(F.array_intersect("a.left", "b.left")) + depth
+    near = alike & (shared >= threshold * (na + nb - shared) - 1e-9)
     return a.join(b, (F.col("a.node") == F.col("b.node")) & (F.col("a.sid") < F.col("b.sid")) & near).select(F.col("a.sid").alias("a"), F.col("b.sid").alias("b"))
 
 
+def _ended(rows: DataFrame, depth: int, threshold: float) -> DataFrame:
+    """Pairs of the one record that is nothing but its node's path with the others there."""
+    ended = rows.where(F.size("left") == 0).select("node", F.col("sid").alias("x"))
+    others = rows.where((F.col("n") > depth) & (depth >= threshold * F.col("n") - 1e-9)).select("node", F.col("sid").alias("y"))
+    return ended.join(others, "node").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def similar_classes(sets: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, small: int = SMALL) -> DataFrame:
     """(a, b), a < b: sids of different sets with at least ``threshold`` Jaccard similarity.
 
-    ``sets`` has sid (bigint) and tags, no set twice. A pair is missed only if it is parted in all
-    trees.
+    ``sets`` has sid (bigint) and tags, no set twice. A pair that shares a token of at most
+    ``small`` records is always found; another is missed only if it is parted in all trees.
     """
-    base = sets.select("sid", F.transform("tags", lambda t: F.xxhash64(t)).alias("toks"))
-    rows = base.select("sid", "toks", F.explode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64(t, F.lit(SEED)))).alias("node"))
-    pairs = []
-    for level in range(DEPTH):
-        rows = stage(_split(rows, level, threshold), f"paths{level}")
-        counts = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        rows = stage(rows.join(counts, "node"), f"nodes{level}")
-        last = level == DEPTH - 1
-        pairs.append(_brute(rows if last else rows.where(F.col("n") <= small), threshold))
-        rows = rows.where(F.col("n") > small).select("sid", "toks", "node")
-        if last or not rows.limit(1).count():
+    base = sets.select("sid", F.size("tags").alias("n"), F.transform("tags", lambda t: F.xxhash64(t)).alias("left"))
+    long = base.select("sid", F.explode("left").alias("token"))
+    df = long.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    marked = long.join(df, "token").select("sid", "token", (F.col("df") > small).alias("often"))
+    marked = marked.groupBy("sid").agg(F.collect_list(F.when(F.col("often"), F.col("token"))).alias("often"), F.collect_list(F.when(~F.col("often"), F.col("token"))).alias("rare"))
+    bit = lambda t, on: F.shiftleft(F.shiftrightunsigned(t, 1), 1) + on
+    coded = base.join(marked, "sid").select("sid", "n", "often", "rare", F.transform("left", lambda t: bit(t, F.array_contains("often", t).cast("int"))).alias("left"))
+    coded = stage(coded, "coded")
+    rare = coded.select("sid", "n", "left", F.explode(F.transform("rare", lambda t: bit(t, 0))).alias("node"))
+    pairs = [_brute(rare.withColumn("left", F.array_remove("left", F.col("node"))), 1, threshold)]
+    roots = F.transform(F.sequence(F.lit(1), F.lit(trees)), lambda t: F.xxhash64(t, F.lit(SEED)))
+    rows = coded.where("size(often) > 0").select("sid", "n", "left", F.explode(roots).alias("node"))
+    for depth in range(1, DEPTH + 1):
+        rows = stage(_follow(rows, depth), f"paths{depth}")
+        counts = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+        rows = stage(rows.join(counts, "node"), f"nodes{depth}")
+        large = rows.where(F.col("size") > small)
+        last = depth == DEPTH or not large.limit(1).count()
+        pairs.append(_brute(rows if last else rows.where(F.col("size") <= small), depth, threshold))
+        if last:
             break
+        pairs.append(_ended(large, depth, threshold))
+        rows = large.select("sid", "n", "left", "node")
     met = reduce(DataFrame.unionByName, pairs).distinct()
     x, y = sets.select(F.col("sid").alias("a"), F.col("tags").alias("ta")), sets.select(F.col("sid").alias("b"), F.col("tags").alias("tb"))
     shared = F.size(F.array_intersect("ta", "tb"))
