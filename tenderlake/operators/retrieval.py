@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tenderlake.functions import lexicon as lex
 from tenderlake.functions import text as T
+from tenderlake.session import stage
 
 #: Vectors of one block, on either side.
 BLOCK = 512
@@ -22,34 +23,40 @@ def every_fiftieth(key: Column) -> Column:
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, tf, len) of every document, len its number of tokens."""
+    """(key, term, tf, len) of every document, len its number of tokens; written once, read by all that rank."""
     toks = docs.select(key, T.tokenize(F.col(text)).alias("t"))
-    return toks.select(key, F.size("t").alias("len"), F.explode("t").alias("term")).groupBy(key, "term", "len").agg(F.count(F.lit(1)).alias("tf"))
+    counted = toks.select(key, F.size("t").alias("len"), F.explode("t").alias("term")).groupBy(key, "term", "len").agg(F.count(F.lit(1)).alias("tf"))
+    return stage(counted, "postings")
 
 
-def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, query_key: str, query_text: str, depth: int = lex.RANK_DEPTH, k1: float = lex.BM25_K1, b: float = lex.BM25_B, epsilon: float = lex.BM25_EPSILON) -> DataFrame:
+def bm25(post: DataFrame, n_docs: int, key: str, queries: DataFrame, query_key: str, query_text: str, depth: int = lex.RANK_DEPTH, k1: float = lex.BM25_K1, b: float = lex.BM25_B, epsilon: float = lex.BM25_EPSILON) -> DataFrame:
     """(query key, key, score, rank) of the ``depth`` best documents with a positive score.
 
-    Inverse document frequency is ln(N - n + 0.5) - ln(n + 0.5); negative values become
-    ``epsilon`` times the mean. Query terms count as often as they occur. Ties go to the lesser
-    key. The postings are joined with the queries' terms only, so documents that share no term
-    are never looked at.
+    ``post`` are the ``postings`` of ``n_docs`` documents. Inverse document frequency is
+    ln(N - n + 0.5) - ln(n + 0.5); negative values become ``epsilon`` times the mean. Query terms
+    count as often as they occur. Ties go to the lesser key. The postings are joined with the
+    queries' terms only, so documents that share no term are never looked at.
     """
     terms = queries.select(F.col(query_key).alias("qid"), F.explode(T.tokenize(F.col(query_text))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    post = postings(docs, key, text)
-    size = docs.select(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size(T.tokenize(F.col(text)))).alias("avg_len"))
-    df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = df.join(F.broadcast(size), how="cross").select("term", (F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))  # size has one row
-    floor = idf.agg((F.avg("idf") * epsilon).alias("floor"))
-    weights = idf.join(F.broadcast(floor), how="cross").select("term", F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")).alias("w"))  # floor has one row
-    weighted = terms.join(weights, "term").select("qid", "term", (F.col("w") * F.col("qtf")).alias("w"))
-    hits = weighted.join(post, "term").join(F.broadcast(size), how="cross")
-    gain = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    scored = hits.groupBy("qid", key).agg(F.round(F.sum(gain), 6).alias("score")).where("score > 0")
+    df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
+    idf = stage(df.select("term", "tf", (F.log(n_docs - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf")), "idf")
+    mean = idf.agg(F.avg("idf"), F.sum("tf")).first()
+    floor, avg_len = epsilon * (mean[0] or 0.0), (mean[1] or 0) / max(n_docs, 1)
+    weighted = terms.join(idf, "term").select("qid", "term", (F.when(F.col("idf") < 0, floor).otherwise(F.col("idf")) * F.col("qtf")).alias("w"))
+    gain = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / max(avg_len, 1e-9)))
+    scored = weighted.join(post, "term").groupBy("qid", key).agg(F.round(F.sum(gain), 6).alias("score")).where("score > 0")
     order = Window.partitionBy("qid").orderBy(F.desc("score"), key)
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= depth).select(F.col("qid").alias(query_key), key, "score", "rank")
 
 
+def word_share(post: DataFrame, key: str, queries: DataFrame, query_key: str, query_text: str, depth: int = lex.RANK_DEPTH) -> DataFrame:
+    """(query key, key, score, rank): documents by the share of the query's content words they have."""
+    words = queries.select(query_key, T.content_tokens(F.col(query_text), lex.QUERY_STOPWORDS).alias("w")).where("size(w) > 0")
+    asked = words.select(query_key, F.size("w").alias("n"), F.explode("w").alias("term"))
+    scored = asked.join(post, "term").groupBy(query_key, key, "n").agg(F.count(F.lit(1)).alias("k")).select(query_key, key, F.round(F.col("k") / F.col("n"), 6).alias("score"))
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("score"), key))).where(F.col("rank") <= depth)
+
+
 def _blocks(df: DataFrame, key: str, vector: str, name: str) -> DataFrame:
     """Rows gathered in blocks of about BLOCK, by the hash of their key."""
     n = max(1, -(-df.count() // BLOCK))

@@ -9,13 +9,13 @@ from tenderlake.functions import lexicon as lex
 from tenderlake.functions import text as T
 from tenderlake.operators import assurance, chunking, render, structure
 from tenderlake.operators import requirements as req
-from tenderlake.session import table
+from tenderlake.session import table, texts
 from tenderlake.sources import store
 
 
 def _sections(spark: SparkSession, d: str) -> DataFrame:
     """Sections once each, as delivered first."""
-    s = table(spark, d, "sections").select("run_id", "id", "title", "status", "order_index", "requirement_ids_json", "content_md", "loaded_at")
+    s = texts(spark, d, "sections").select("run_id", "id", "title", "status", "order_index", "requirement_ids_json", "content_md", "loaded_at")
     return store.latest(s, ["run_id", "id"], "loaded_at")
 
 
@@ -30,18 +30,18 @@ def chunk_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sentence_stats(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("text IS NOT NULL")
+    docs = texts(spark, d, "documents").where("text IS NOT NULL")
     s = docs.select("doc_id", T.split_sentences(F.col("text")).alias("s"))
     return s.select("doc_id", F.size("s").alias("n_sentences"), F.aggregate("s", F.lit(0), lambda a, x: F.greatest(a, F.length(x))).alias("longest"))
 
 
 def top_terms(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "documents").select(F.explode(T.tokenize(F.col("text"))).alias("term"))
+    t = texts(spark, d, "documents").select(F.explode(T.tokenize(F.col("text"))).alias("term"))
     return t.groupBy("term").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "term").limit(100)
 
 
 def heading_tree(spark: SparkSession, d: str) -> DataFrame:
-    nodes = structure.headings(table(spark, d, "documents"), ["doc_id"], "text")
+    nodes = structure.headings(texts(spark, d, "documents"), ["doc_id"], "text")
     return nodes.select("doc_id", "node_ord", "level", "title", "parent_ord", F.length("body").alias("body_chars"))
 
 
@@ -81,7 +81,7 @@ def grounding_batches(spark: SparkSession, d: str) -> DataFrame:
 
 
 def risky_wording(spark: SparkSession, d: str) -> DataFrame:
-    answers = store.latest(table(spark, d, "hq_001_030").select("id", "answer", "loaded_at"), ["id"], "loaded_at")
+    answers = store.latest(texts(spark, d, "hq_001_030").select("id", "answer", "loaded_at"), ["id"], "loaded_at")
     return assurance.risks(answers, ["id"], "answer")
 
 
@@ -90,12 +90,12 @@ def voice_drift(spark: SparkSession, d: str) -> DataFrame:
 
 
 def markdown_chunks(spark: SparkSession, d: str) -> DataFrame:
-    c = chunking.markdown_chunks(table(spark, d, "documents"), "doc_id", "text")
+    c = chunking.markdown_chunks(texts(spark, d, "documents"), "doc_id", "text")
     return c.select("doc_id", "chunk_no", "title", F.length("text").alias("chars"))
 
 
 def qa_chunks(spark: SparkSession, d: str) -> DataFrame:
-    hq = store.latest(table(spark, d, "hq_001_030"), ["id"], "loaded_at")
+    hq = store.latest(texts(spark, d, "hq_001_030"), ["id"], "loaded_at")
     c = chunking.qa_chunks(hq)
     return c.select("id", "kind", "text", F.size("metadata").alias("n_fields"))
 
@@ -113,7 +113,7 @@ def requirement_rules(spark: SparkSession, d: str) -> DataFrame:
 
 
 def requirement_extract(spark: SparkSession, d: str) -> DataFrame:
-    nodes = structure.headings(table(spark, d, "documents"), ["doc_id"], "text")
+    nodes = structure.headings(texts(spark, d, "documents"), ["doc_id"], "text")
     return req.extract(nodes, ["doc_id"]).select("doc_id", "id", "source_section", "text", "req_type", "priority", "deliverable_form", "cue_evidence", "n_found")
 
 
@@ -132,7 +132,7 @@ def section_order(spark: SparkSession, d: str) -> DataFrame:
 
 
 def answer_keys(spark: SparkSession, d: str) -> DataFrame:
-    hq = store.latest(table(spark, d, "hq_001_030").select("id", "question", "category", "loaded_at"), ["id"], "loaded_at")
+    hq = store.latest(texts(spark, d, "hq_001_030").select("id", "question", "category", "loaded_at"), ["id"], "loaded_at")
     return hq.select("id", T.cache_key(F.col("question"), F.col("category")).alias("cache_key"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tenderlake.functions import lexicon as lex
 from tenderlake.functions import text as T
 from tenderlake.operators import assurance, integrity, matching, measures, render, retrieval
-from tenderlake.session import stage, table
+from tenderlake.session import stage, table, texts
 from tenderlake.sources import store
 
 # Closed domains of the tables.
@@ -19,7 +19,8 @@ HQ_STATUS = ["APPROVED"]
 
 
 def _once(spark: SparkSession, d: str, name: str, keys: list[str], columns: list[str]) -> DataFrame:
-    return store.latest(table(spark, d, name).select(*keys, *columns, "loaded_at"), keys, "loaded_at")
+    read = texts if name in ("chunk", "sections", "hq_001_030") else table
+    return store.latest(read(spark, d, name).select(*keys, *columns, "loaded_at"), keys, "loaded_at")
 
 
 def _queries(spark: SparkSession, d: str) -> DataFrame:
@@ -28,43 +29,43 @@ def _queries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
-    return _once(spark, d, "chunk", ["id"], ["source_id", "text", "title"])
+    return _once(spark, d, "chunk", ["id"], ["source_id", "text"])
 
 
-def _bm25(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.bm25(_chunks(spark, d), "id", "text", _queries(spark, d), "query_id", "query")
+def _index(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
+    chunks = _chunks(spark, d)
+    return retrieval.postings(chunks, "id", "text"), chunks.count()
 
 
-def bm25_top(spark: SparkSession, d: str) -> DataFrame:
-    """The ten best chunks of each fiftieth query."""
-    return _bm25(spark, d).where("rank <= 10")
+def _bm25(spark: SparkSession, d: str, index: tuple[DataFrame, int]) -> DataFrame:
+    return retrieval.bm25(*index, "id", _queries(spark, d), "query_id", "query")
+
 
+def _fused(spark: SparkSession, d: str) -> DataFrame:
+    index = _index(spark, d)
+    return retrieval.fuse([retrieval.word_share(index[0], "id", _queries(spark, d), "query_id", "query"), _bm25(spark, d, index)], "query_id", "id")
 
-def _titles(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks by the share of the query's words that their text has, for the same queries."""
-    words = _queries(spark, d).select("query_id", T.content_tokens(F.col("query"), lex.QUERY_STOPWORDS).alias("w")).where("size(w) > 0")
-    asked = words.select("query_id", F.size("w").alias("n"), F.explode("w").alias("word"))
-    has = _chunks(spark, d).select("id", F.explode(F.array_distinct(T.tokenize(F.col("text")))).alias("word"))
-    scored = asked.join(has, "word").groupBy("query_id", "id", "n").agg(F.count(F.lit(1)).alias("k")).select("query_id", "id", F.round(F.col("k") / F.col("n"), 6).alias("score"))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= lex.RANK_DEPTH)
+
+def bm25_top(spark: SparkSession, d: str) -> DataFrame:
+    """The ten best chunks of each fiftieth query."""
+    return _bm25(spark, d, _index(spark, d)).where("rank <= 10")
 
 
 def fused_top(spark: SparkSession, d: str) -> DataFrame:
     """Word-share and BM25 rankings fused; thirty for each query."""
-    return retrieval.fuse([_titles(spark, d), _bm25(spark, d)], "query_id", "id")
+    return _fused(spark, d)
 
 
 def context_packs(spark: SparkSession, d: str) -> DataFrame:
     """The five best fused hits of each query with what fits the context budget."""
-    hits = retrieval.fuse([_titles(spark, d), _bm25(spark, d)], "query_id", "id").where(F.col("rank") <= lex.TOP_K)
-    both = hits.join(_chunks(spark, d), "id")
+    both = _fused(spark, d).where(F.col("rank") <= lex.TOP_K).join(_chunks(spark, d), "id")
     return retrieval.context_budget(both, "query_id", "text").select("query_id", "id", "source_id", "rank", "rrf_score", "used")
 
 
 def search_quality(spark: SparkSession, d: str) -> DataFrame:
     """Recall, reciprocal rank and nDCG of the BM25 ranking against the listed sources."""
-    sources = _chunks(spark, d).select("id", F.upper("source_id").alias("source_id"))
-    by_source = _bm25(spark, d).join(sources, "id").groupBy("query_id", "source_id").agg(F.min("rank").alias("best"))
+    sources = _once(spark, d, "chunk", ["id"], ["source_id"]).select("id", F.upper("source_id").alias("source_id"))
+    by_source = _bm25(spark, d, _index(spark, d)).join(sources, "id").groupBy("query_id", "source_id").agg(F.min("rank").alias("best"))
     ranked = by_source.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("best")))
     wanted = _queries(spark, d).select("query_id", F.explode(F.array_distinct(F.transform("relevant_ids", integrity.clean_ref))).alias("source_id")).where("source_id IS NOT NULL")
     return retrieval.query_quality(ranked, wanted, "query_id", "source_id")

@@ -12,7 +12,7 @@ def test_bm25_matches_brute_force(spark):
     texts = {1: "red fox red", 2: "blue fox", 3: "red hen in the pen", 4: "", 5: None, 6: "green tree by the sea"}
     docs = spark.createDataFrame(list(texts.items()), "id int, text string")
     q = spark.createDataFrame([("q", "red red hen"), ("none", "zzz")], "query_id string, query string")
-    got = {r["id"]: r["score"] for r in retrieval.bm25(docs, "id", "text", q, "query_id", "query").collect()}
+    got = {r["id"]: r["score"] for r in retrieval.bm25(retrieval.postings(docs, "id", "text"), docs.count(), "id", q, "query_id", "query").collect()}
     toks = {i: (t or "").split() for i, t in texts.items()}
     n, avg = len(toks), sum(map(len, toks.values())) / len(toks)
     idf = {w: math.log(n - d + 0.5) - math.log(d + 0.5) for w, d in Counter(w for t in toks.values() for w in set(t)).items()}
