@@ -29,12 +29,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def texts(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table whose rows cost much: one that lies in fewer files than there are cores is spread."""
-    df, cores = table(spark, folder, name), spark.sparkContext.defaultParallelism
+def spread(df: DataFrame) -> DataFrame:
+    """Rows that cost much: spread over all cores if they come in fewer than half as many parts."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() * 2 < cores else df
 
 
+def texts(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of texts, spread if it lies in few files."""
+    return spread(table(spark, folder, name))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; a local one only where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
