@@ -150,11 +150,12 @@ def near_links(sets: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS
     only records not similar to the hub are then compared with all the others. Records similar to
     the hub are linked through it, so groups stay whole and no bucket gives all its pairs.
     """
-    signed = sets.mapInPandas(_signed(bands, rows, bits), "id string, keys array<bigint>, sketch array<bigint>")
-    spread = signed.select("id", F.explode("keys").alias("key"), *[F.col("sketch")[i].alias(f"s{i}") for i in range(bits // 64)])
-    spread = stage(spread, "bands")
-    buckets = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("hub")).where("n > 1")
-    rows_in = stage(spread.join(buckets, "key"), "buckets")
+    signed = stage(sets.mapInPandas(_signed(bands, rows, bits), "id string, keys array<bigint>, sketch array<bigint>"), "signed")
+    # most keys are one record's only; sketches join those that are not
+    keyed = signed.select("id", F.explode("keys").alias("key"))
+    buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("hub")).where("n > 1")
+    sketches = signed.select("id", *[F.col("sketch")[i].alias(f"s{i}") for i in range(bits // 64)])
+    rows_in = stage(keyed.join(buckets, "key").join(sketches, "id"), "buckets")
     few, many = rows_in.where(F.col("n") <= busy), rows_in.where(F.col("n") > busy)
     x, y = few.alias("x"), few.alias("y")
     candidates = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (agreeing("x", "y", bits) >= agree)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
