@@ -71,3 +71,10 @@ ACRONYM = r"\b[A-Z]{2,}\b"
 THEME_STOPWORDS = "the a an of to for and with in on by is are be as at or that this it its from your you our we will can shall must should may vendor supplier bidder provide include system solution platform".split()
 GROUNDING_BATCH, GROUNDING_SOURCE_CHARS = 8, 700
 CONTEXT_CHARS, SNIPPET_CHARS = 4500, 1100
+EVALUATION_SECTION = r"evaluation|scoring|award|weighting|criteria"
+SUBMISSION_SECTION = r"submission|how to submit|instructions to bidders|proposal format"
+RED_LINE = r"\b(disqualif\w*|non[- ]?compliant|will be rejected|shall not be considered|mandatory pass|pass/fail|must pass|failure to comply|automatic rejection)\b"
+CONSTRAINT = r"\b(budget|ceiling|not to exceed|cap(?:ped)?|deadline|by \d{1,2} \w+|availability|uptime|sla|penalt\w*|compl\w+ with|guidelines?|regulat\w+|act\b|bill\b|gdpr|rbi|dpdp|iso ?\d+|soc ?2)\b"
+ROLE = r"\b(chief \w+ officer|CIO|CTO|CFO|CEO|COO|CISO|head of [\w ]{3,30}|group head|programme director|project director|procurement (?:head|manager|team)|evaluation committee|expert review committee|steering committee|board)\b"
+RULE_CAP, ROLE_CAP = 25, 12
+LIBRARY_STRENGTH = {"STRONG": 2, "MEDIUM": 1, "MODERATE": 1, "WEAK": 0}

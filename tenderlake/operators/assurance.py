@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tenderlake.functions import lexicon as lex
 from tenderlake.functions import text as T
+from tenderlake.operators.integrity import clean_ref
 
 
 def facts(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -111,3 +112,21 @@ def completeness(sentences: DataFrame, records: DataFrame, keys: list[str]) -> D
     cover = F.when(F.col("n_claims") == 0, 1.0).otherwise(F.least(F.lit(1.0), F.round(F.col("n_records") / F.col("n_claims"), 4)))
     both = both.select(*keys, "n_claims", "n_records", ok.alias("contiguous"), cover.alias("coverage"))
     return both.where("n_claims <> n_records OR NOT contiguous")
+
+
+def cited_texts(citations: DataFrame, keys: list[str], ids: str, chunks: DataFrame, chars: int = lex.GROUNDING_SOURCE_CHARS) -> DataFrame:
+    """(keys, pos, source_id, text): the first chunk of each cited source, at most ``chars`` long; '' if it is unknown.
+
+    ``chunks`` has id, source_id, text. Sources are compared trimmed and upper-cased; null and
+    blank citations are left out, their positions stay.
+    """
+    cited = citations.select(*keys, F.posexplode(ids).alias("pos", "raw")).withColumn("source_id", clean_ref(F.col("raw"))).where("source_id IS NOT NULL").drop("raw")
+    first = chunks.where("text IS NOT NULL").groupBy(clean_ref(F.col("source_id")).alias("source_id")).agg(F.left(F.min_by("text", "id"), F.lit(chars)).alias("text"))
+    return cited.join(first, "source_id", "left").select(*keys, "pos", "source_id", F.coalesce("text", F.lit("")).alias("text"))
+
+
+def named_ids(docs: DataFrame, keys: list[str], text: str, pattern: str, known: DataFrame, key: str) -> DataFrame:
+    """(keys, place, id): ids of ``known`` that a text names, each once, in order of first mention."""
+    ids = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)))
+    named = docs.select(*keys, F.posexplode(ids).alias("at", "id")).join(known.select(F.col(key).alias("id")).distinct(), "id")
+    return named.select(*keys, F.row_number().over(Window.partitionBy(*keys).orderBy("at")).alias("place"), "id")

@@ -14,19 +14,22 @@ def match_proofs(requirements: DataFrame, proofs: DataFrame, keys: list[str], to
 
     The score is 0.6 x the share of the requirement's words in the proof's text plus 0.4 x their
     share in its tags; two shared words are needed. Proofs come from a join on words, so only
-    those that share one are scored. Ties go to the lesser proof id.
+    those that share one are scored. Ties go to the lesser proof id. A match is strong only if the
+    best proof's own ``strength`` is (unknown ones count as medium).
     """
     words = requirements.select(*keys, T.content_tokens(F.col("text"), lex.PROOF_STOPWORDS).alias("w")).where("size(w) > 0")
     text = F.concat_ws(" ", "claim", "evidence", "verifiable_source")
     tags = F.replace(F.array_join(F.coalesce("covers_tags", F.array().cast("array<string>")), " "), F.lit("-"), F.lit(" "))
-    p = proofs.select(F.col("id").alias("proof_id"), T.content_tokens(text, lex.PROOF_STOPWORDS).alias("pt"), T.content_tokens(tags, lex.PROOF_STOPWORDS).alias("tt"))
-    long = p.select("proof_id", F.explode(F.array_union("pt", "tt")).alias("word"), "pt", "tt").select("proof_id", "word", F.array_contains("pt", F.col("word")).cast("int").alias("in_text"), F.array_contains("tt", F.col("word")).cast("int").alias("in_tags"))
+    ranks = F.create_map(*[F.lit(v) for pair in lex.LIBRARY_STRENGTH.items() for v in pair])
+    own = F.coalesce(ranks[F.upper(F.trim("strength"))], F.lit(1)).alias("own")
+    p = proofs.select(F.col("id").alias("proof_id"), own, T.content_tokens(text, lex.PROOF_STOPWORDS).alias("pt"), T.content_tokens(tags, lex.PROOF_STOPWORDS).alias("tt"))
+    long = p.select("proof_id", "own", F.explode(F.array_union("pt", "tt")).alias("word"), "pt", "tt").select("proof_id", "own", "word", F.array_contains("pt", F.col("word")).cast("int").alias("in_text"), F.array_contains("tt", F.col("word")).cast("int").alias("in_tags"))
     asked = words.select(*keys, F.size("w").alias("n"), F.explode("w").alias("word"))
-    shared = asked.join(long, "word").groupBy(*keys, "n", "proof_id").agg(F.count(F.lit(1)).alias("shared"), F.sum("in_text").alias("a"), F.sum("in_tags").alias("b"))
+    shared = asked.join(long, "word").groupBy(*keys, "n", "proof_id", "own").agg(F.count(F.lit(1)).alias("shared"), F.sum("in_text").alias("a"), F.sum("in_tags").alias("b"))
     scored = shared.where(F.col("shared") >= lex.MIN_SHARED_TOKENS).withColumn("score", F.round(0.6 * F.col("a") / F.col("n") + 0.4 * F.col("b") / F.col("n"), 4))
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "proof_id"))).where((F.col("rank") <= top) & (F.col("score") >= lex.PARTIAL_FLOOR))
-    best = ranked.groupBy(*keys).agg(F.max("score").alias("best_score"), F.transform(F.array_sort(F.collect_list(F.struct("rank", "proof_id"))), lambda x: x["proof_id"]).alias("proof_ids"))
-    fit = F.when(F.col("best_score").isNull(), "GAP").when(F.col("best_score") >= lex.STRONG_FLOOR, "STRONG").otherwise("PARTIAL")
+    best = ranked.groupBy(*keys).agg(F.max("score").alias("best_score"), F.min_by("own", "rank").alias("own"), F.transform(F.array_sort(F.collect_list(F.struct("rank", "proof_id"))), lambda x: x["proof_id"]).alias("proof_ids"))
+    fit = F.when(F.col("best_score").isNull(), "GAP").when((F.col("best_score") >= lex.STRONG_FLOOR) & (F.col("own") >= 2), "STRONG").otherwise("PARTIAL")
     return requirements.select(*keys).join(best, keys, "left").select(*keys, fit.alias("fit"), F.coalesce("proof_ids", F.array().cast("array<string>")).alias("proof_ids"), F.coalesce("best_score", F.lit(0.0)).alias("best_score"))
 
 

@@ -28,3 +28,15 @@ def document(parts: DataFrame, keys: list[str], order: list[str], text: str, nam
     """(keys, name): the texts of each key joined in order with blank lines."""
     made = parts.select(*keys, F.struct(*order, F.coalesce(text, F.lit("")).alias("_t")).alias("_r"))
     return made.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list("_r")), lambda r: r["_t"]), "\n\n").alias(name))
+
+
+def with_markers(parts: DataFrame, records: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """Texts with ``[KIND(sources)]`` behind every recorded sentence, longest sentences first.
+
+    ``records`` has the keys, sentence, kind and source_ids.
+    """
+    mark = F.concat(F.lit(" ["), F.col("kind"), F.when(F.size("source_ids") > 0, F.concat(F.lit("("), F.array_join("source_ids", ","), F.lit(")"))).otherwise(""), F.lit("]"))
+    one = records.where("sentence <> ''").select(*keys, F.struct((-F.length("sentence")).alias("n"), F.col("sentence"), mark.alias("mark")).alias("_m")).groupBy(*keys).agg(F.array_sort(F.collect_set("_m")).alias("_ms"))
+    joined = parts.join(one, keys, "left")
+    marked = F.aggregate(F.coalesce("_ms", F.array()), F.col(text), lambda t, m: F.replace(t, m["sentence"], F.concat(m["sentence"], m["mark"])))
+    return joined.withColumn(text, F.when(F.col("_ms").isNull(), F.col(text)).otherwise(marked)).drop("_ms")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tenderlake.functions import lexicon as lex
 from tenderlake.functions import text as T
-from tenderlake.operators import assurance, chunking, render, structure
+from tenderlake.operators import assurance, chunking, profile, render, structure
 from tenderlake.operators import requirements as req
 from tenderlake.session import table, texts
 from tenderlake.sources import store
@@ -117,6 +117,20 @@ def requirement_extract(spark: SparkSession, d: str) -> DataFrame:
     return req.extract(nodes, ["doc_id"]).select("doc_id", "id", "source_section", "text", "req_type", "priority", "deliverable_form", "cue_evidence", "n_found")
 
 
+def document_rules(spark: SparkSession, d: str) -> DataFrame:
+    nodes = structure.headings(texts(spark, d, "documents"), ["doc_id"], "text")
+    return profile.rules(nodes, ["doc_id"])
+
+
+def evaluation_criteria(spark: SparkSession, d: str) -> DataFrame:
+    nodes = structure.headings(texts(spark, d, "documents"), ["doc_id"], "text")
+    return profile.criteria(nodes, ["doc_id"])
+
+
+def document_roles(spark: SparkSession, d: str) -> DataFrame:
+    return profile.roles(texts(spark, d, "documents").where("text IS NOT NULL"), ["doc_id"], "text")
+
+
 def requirement_dedupe(spark: SparkSession, d: str) -> DataFrame:
     r = _requirements(spark, d).where("text IS NOT NULL")
     one = r.withColumn("key", T.dedupe_key(F.col("text"))).groupBy("run_id", "key").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n"), F.max(req.rank(F.col("priority"))).alias("top_rank"), (F.countDistinct("extracted_by") > 1).alias("by_both"))
@@ -169,7 +183,7 @@ def order_durations(spark: SparkSession, d: str) -> DataFrame:
     return assurance.durations(docs, structure.table_cells(docs, ["cust"], "text"), ["cust"], ["cust"], "text")
 
 
-QUERIES = {f.__name__: f for f in (chunk_counts, sentence_stats, top_terms, heading_tree, section_tables, table_totals, percentage_rows, phase_durations, section_facts, claim_counts, grounding_batches, risky_wording, voice_drift, markdown_chunks, qa_chunks, proof_chunks, requirement_rules, requirement_extract, requirement_dedupe, section_order, answer_keys, order_totals, order_reserves, order_durations)}
+QUERIES = {f.__name__: f for f in (chunk_counts, sentence_stats, top_terms, heading_tree, section_tables, table_totals, percentage_rows, phase_durations, section_facts, claim_counts, grounding_batches, risky_wording, voice_drift, markdown_chunks, qa_chunks, proof_chunks, requirement_rules, requirement_extract, document_rules, evaluation_criteria, document_roles, requirement_dedupe, section_order, answer_keys, order_totals, order_reserves, order_durations)}
 
 _ABBR = "regexp_replace(trim(regexp_replace(regexp_replace({}, '[*_`]+', '', 'g'), '\\s+', ' ', 'g')), '$', '')"
 for _a in lex.ABBREVIATIONS:
@@ -253,6 +267,10 @@ GROUP BY run_id, key HAVING count(*) > 1""",
     "section_order": f"""
 SELECT run_id, id, row_number() OVER (PARTITION BY run_id ORDER BY len(n) = 0, n, CASE WHEN len(n) = 0 THEN title ELSE '' END, id) AS place
 FROM (SELECT run_id, id, title, list_transform(regexp_extract_all(title, '\\d+'), lambda x: x::BIGINT) AS n FROM {_SEC} WHERE title IS NOT NULL)""",
+    "document_roles": f"""
+WITH f AS (SELECT doc_id, generate_subscripts(r, 1) AS at, unnest(r) AS role FROM (SELECT doc_id, regexp_extract_all(trim(regexp_replace(regexp_replace(text, '[*_`]+', '', 'g'), '\\s+', ' ', 'g')), '(?i){lex.ROLE}', 1) AS r FROM documents WHERE text IS NOT NULL)),
+o AS (SELECT doc_id, lower(trim(role)) AS k, min(at) AS at, trim(arg_min(role, at)) AS role FROM f GROUP BY doc_id, lower(trim(role)))
+SELECT doc_id, place, role FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY at) AS place, role FROM o) WHERE place <= {lex.ROLE_CAP}""",
     "answer_keys": f"SELECT id, sha256(coalesce(question, '') || chr(0) || coalesce(category, '') || chr(0)) AS cache_key FROM {_HQ}",
     "heading_tree": """
 WITH l AS (

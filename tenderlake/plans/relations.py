@@ -112,7 +112,7 @@ def calibration_agreement(spark: SparkSession, d: str) -> DataFrame:
 def proof_matches(spark: SparkSession, d: str) -> DataFrame:
     """Proof points for every fiftieth requirement of each run."""
     r = _once(spark, d, "requirements", ["run_id", "id"], ["text"]).where(retrieval.every_fiftieth(F.col("id")))
-    p = _once(spark, d, "proof_points", ["id"], ["claim", "evidence", "verifiable_source", "covers_tags"])
+    p = _once(spark, d, "proof_points", ["id"], ["claim", "evidence", "verifiable_source", "covers_tags", "strength"])
     return matching.match_proofs(r, p, ["run_id", "id"]).withColumn("proof_ids", F.array_join("proof_ids", ","))
 
 
@@ -151,6 +151,18 @@ def unplaced_requirements(spark: SparkSession, d: str) -> DataFrame:
     return r.join(_placed(spark, d).select("run_id", "requirement_id"), ["run_id", "requirement_id"], "left_anti")
 
 
+def cited_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Text of every source that the labelled queries list."""
+    q = _once(spark, d, "retrieval_pairs", ["query_id"], ["relevant_ids"])
+    return assurance.cited_texts(q, ["query_id"], "relevant_ids", _chunks(spark, d)).select("query_id", "pos", "source_id", F.length("text").alias("chars"))
+
+
+def named_requirements(spark: SparkSession, d: str) -> DataFrame:
+    """Requirement ids that documents name and that exist in some run."""
+    docs = texts(spark, d, "documents").where("text IS NOT NULL")
+    return assurance.named_ids(docs, ["doc_id"], "text", r"\b(R-\d{3,4})\b", table(spark, d, "requirements"), "id")
+
+
 def section_requirements(spark: SparkSession, d: str) -> DataFrame:
     """Requirements that exist and that some section takes up, with the most frequent form of each run."""
     r = _once(spark, d, "requirements", ["run_id", "id"], ["deliverable_form"]).select("run_id", F.col("id").alias("requirement_id"), "deliverable_form")
@@ -244,7 +256,7 @@ def event_props(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("event_type").agg(F.count("k").alias("n"), F.sum("k").alias("total"), F.max("k").alias("largest"))
 
 
-QUERIES = {f.__name__: f for f in (bm25_top, fused_top, context_packs, search_quality, dense_top, dense_decisions, background, calibration_check, calibration_agreement, proof_matches, theme_threads, compliance_matrix, compliance_coverage, compliance_markdown, unplaced_requirements, section_requirements, record_conflicts, latest_records, merged_events, domain_violations, key_violations, dangling_themes, last_signup, request_rate, event_usage, kind_breakdown, automation_rates, running_totals, event_props)}
+QUERIES = {f.__name__: f for f in (bm25_top, fused_top, context_packs, search_quality, dense_top, dense_decisions, background, calibration_check, calibration_agreement, proof_matches, theme_threads, compliance_matrix, compliance_coverage, compliance_markdown, unplaced_requirements, cited_sources, named_requirements, section_requirements, record_conflicts, latest_records, merged_events, domain_violations, key_violations, dangling_themes, last_signup, request_rate, event_usage, kind_breakdown, automation_rates, running_totals, event_props)}
 
 
 def _latest(name: str, keys: str) -> str:
@@ -309,11 +321,11 @@ FROM (SELECT query_id, max(score) AS s1, max(CASE WHEN rank = 2 THEN score END)
     "calibration_agreement": _CALIBRATION + "SELECT tp, fp, fn, tn, coalesce(round(tp / nullif(tp + fp, 0), 6), 0) AS precision, coalesce(round(tp / nullif(tp + fn, 0), 6), 0) AS recall, coalesce(round(2 * tp / nullif(2 * tp + fp + fn, 0), 6), 0) AS f1 FROM (SELECT count(*) FILTER (similarity >= 0.1 AND relation = 'NEAR_IDENTICAL') AS tp, count(*) FILTER (similarity >= 0.1 AND relation <> 'NEAR_IDENTICAL') AS fp, count(*) FILTER (similarity < 0.1 AND relation = 'NEAR_IDENTICAL') AS fn, count(*) FILTER (similarity < 0.1 AND relation <> 'NEAR_IDENTICAL') AS tn FROM m)",
     "proof_matches": f"""
 WITH r AS (SELECT run_id, id, {_words('text', lex.PROOF_STOPWORDS)} AS w FROM {_latest('requirements', 'run_id, id')} WHERE regexp_extract(id, '(\\d+)\\D*$', 1)::BIGINT % 50 = 0),
-p AS (SELECT id AS proof_id, {_words("concat_ws(' ', claim, evidence, verifiable_source)", lex.PROOF_STOPWORDS)} AS pt, {_words("replace(array_to_string(coalesce(covers_tags, []), ' '), '-', ' ')", lex.PROOF_STOPWORDS)} AS tt FROM {_latest('proof_points', 'id')}),
-s AS (SELECT run_id, r.id, proof_id, round(0.6 * len(list_intersect(w, pt)) / len(w) + 0.4 * len(list_intersect(w, tt)) / len(w), 4) AS score, len(list_intersect(w, list_distinct(list_concat(pt, tt)))) AS shared FROM r, p WHERE len(w) > 0),
+p AS (SELECT id AS proof_id, {_words("concat_ws(' ', claim, evidence, verifiable_source)", lex.PROOF_STOPWORDS)} AS pt, {_words("replace(array_to_string(coalesce(covers_tags, []), ' '), '-', ' ')", lex.PROOF_STOPWORDS)} AS tt, CASE upper(trim(strength)) WHEN 'STRONG' THEN 2 WHEN 'WEAK' THEN 0 ELSE 1 END AS own FROM {_latest('proof_points', 'id')}),
+s AS (SELECT run_id, r.id, proof_id, own, round(0.6 * len(list_intersect(w, pt)) / len(w) + 0.4 * len(list_intersect(w, tt)) / len(w), 4) AS score, len(list_intersect(w, list_distinct(list_concat(pt, tt)))) AS shared FROM r, p WHERE len(w) > 0),
 k AS (SELECT *, row_number() OVER (PARTITION BY run_id, id ORDER BY score DESC, proof_id) AS rank FROM s WHERE shared >= 2),
-b AS (SELECT run_id, id, max(score) AS best_score, string_agg(proof_id, ',' ORDER BY rank) AS proof_ids FROM k WHERE rank <= 3 AND score >= 0.12 GROUP BY run_id, id)
-SELECT r.run_id, r.id, CASE WHEN best_score IS NULL THEN 'GAP' WHEN best_score >= 0.28 THEN 'STRONG' ELSE 'PARTIAL' END AS fit, coalesce(proof_ids, '') AS proof_ids, coalesce(best_score, 0) AS best_score FROM r LEFT JOIN b USING (run_id, id)""",
+b AS (SELECT run_id, id, max(score) AS best_score, arg_min(own, rank) AS own, string_agg(proof_id, ',' ORDER BY rank) AS proof_ids FROM k WHERE rank <= 3 AND score >= 0.12 GROUP BY run_id, id)
+SELECT r.run_id, r.id, CASE WHEN best_score IS NULL THEN 'GAP' WHEN best_score >= 0.28 AND own >= 2 THEN 'STRONG' ELSE 'PARTIAL' END AS fit, coalesce(proof_ids, '') AS proof_ids, coalesce(best_score, 0) AS best_score FROM r LEFT JOIN b USING (run_id, id)""",
     "theme_threads": f"""
 WITH t AS (SELECT run_id, id AS theme_id, {_words("concat_ws(' ', statement, buyer_pain_addressed)", lex.THEME_STOPWORDS)} AS w FROM {_latest('win_themes', 'run_id, id')}),
 r AS (SELECT run_id, {_words('text', lex.THEME_STOPWORDS)} AS x FROM {_latest('requirements', 'run_id, id')})
@@ -324,6 +336,9 @@ SELECT t.run_id, theme_id, len(w) AS n_words, count(*) FILTER (len(list_intersec
 FROM {_latest('requirements', 'run_id, id')} r LEFT JOIN (SELECT run_id, requirement_id, min(section_id) AS section_id FROM {_PLACED} GROUP BY ALL) p USING (run_id) WHERE FALSE GROUP BY run_id""",
     "unplaced_requirements": f"SELECT run_id, id AS requirement_id, priority FROM {_latest('requirements', 'run_id, id')} r WHERE NOT EXISTS (SELECT 1 FROM {_PLACED} p WHERE p.run_id = r.run_id AND p.requirement_id = r.id)",
     "section_requirements": f"SELECT run_id, deliverable_form, n FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY n DESC, deliverable_form <> 'PROSE', f) AS place FROM (SELECT run_id, deliverable_form, count(*) AS n, min(id) AS f FROM {_latest('requirements', 'run_id, id')} r WHERE EXISTS (SELECT 1 FROM {_PLACED} p WHERE p.run_id = r.run_id AND p.requirement_id = r.id) GROUP BY ALL)) WHERE place = 1",
+    "cited_sources": f"""SELECT query_id, pos, source_id, coalesce(least(700, length(text)), 0)::INT AS chars FROM (SELECT query_id, (generate_subscripts(relevant_ids, 1) - 1)::INT AS pos, nullif(upper(trim(unnest(relevant_ids))), '') AS source_id FROM {_latest('retrieval_pairs', 'query_id')})
+LEFT JOIN (SELECT upper(trim(source_id)) AS source_id, arg_min(text, id) AS text FROM {_latest('chunk', 'id')} WHERE text IS NOT NULL GROUP BY ALL) USING (source_id) WHERE source_id IS NOT NULL""",
+    "named_requirements": "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY at) AS place, id FROM (SELECT doc_id, id, min(at) AS at FROM (SELECT doc_id, generate_subscripts(r, 1) AS at, unnest(r) AS id FROM (SELECT doc_id, regexp_extract_all(text, '\\b(R-\\d{3,4})\\b', 1) AS r FROM documents WHERE text IS NOT NULL)) GROUP BY ALL) WHERE id IN (SELECT id FROM requirements)",
     "record_conflicts": "SELECT l_orderkey, count(DISTINCT l_returnflag)::INT AS n_values, array_to_string(list_sort(list_distinct(list(l_returnflag))), ',') AS all_values FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_returnflag) > 1",
     "latest_records": f"SELECT l.id, l.question, l.status, f.first_loaded, l.loaded_at FROM {_latest('hq_001_030', 'id')} l JOIN (SELECT id, min(loaded_at) AS first_loaded FROM hq_001_030 GROUP BY id) f USING (id)",
     "merged_events": "SELECT user_id, min(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id",

@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders that ``stage`` wrote in this process.
+_STAGES: list[str] = []
+
+
 def build_session(cpus: int | str = "*", name: str = "tenderlake", **conf: str) -> SparkSession:
     """A local session for tests and benchmarks; clusters bring their own."""
     settings = {
@@ -56,5 +60,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     and work that several branches use is done once.
     """
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _STAGES.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_stages(spark: SparkSession) -> int:
+    """Remove what ``stage`` wrote; results that read it must have been written before."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    gone = 0
+    while _STAGES:
+        path = jvm.org.apache.hadoop.fs.Path(_STAGES.pop())
+        gone += bool(path.getFileSystem(conf).delete(path, True))
+    return gone

@@ -3,7 +3,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from tenderlake.operators import assurance, chunking, structure
+from tenderlake.operators import assurance, chunking, profile, render, structure
 from tenderlake.operators import requirements as req
 
 
@@ -84,3 +84,17 @@ def test_requirements_of_a_document(spark, rows):
     assert got["Submit three references with the offer."]["req_type"] == "SUBMISSION_RULE"
     assert "Nothing here matters to us." not in got
     assert sorted(r["id"] for r in got.values()) == [f"R-{i:03d}" for i in range(1, len(got) + 1)]
+
+
+def test_profile_of_a_document(spark, rows):
+    text = "# Submission\nSend two copies by post today. Send two copies by post, today! Late offers will be rejected.\n# Evaluation\n| Criterion | Weight |\n|---|---|\n| Price | 40 % |\n| Quality | high |\n| R-001 | 10 points |\n| price | 50% |\n# Terms\nThe uptime must be high enough. The CIO and the Head of data and the cio decide.\n| Other | none |\n| Speed | 15 pts |"
+    nodes = structure.headings(docs(spark, text, None, ""), ["doc"], "text")
+    assert rows(profile.rules(nodes, ["doc"]), "kind", "place", "sentence") == sorted([("submission", 1, "Send two copies by post today."), ("submission", 2, "Late offers will be rejected."), ("constraint", 1, "The uptime must be high enough."), ("red_line", 1, "Late offers will be rejected.")], key=str)
+    assert rows(profile.criteria(nodes, ["doc"]), "place", "name", "weight") == [(1, "Price", 40.0), (2, "Quality", None), (3, "Speed", 15.0)]
+    assert [r[1] for r in rows(profile.roles(docs(spark, text), ["doc"], "text"), "place", "role")][0] == "CIO"
+
+
+def test_markers(spark):
+    d = docs(spark, "One fact. One fact here too.", "none")
+    records = spark.createDataFrame([(0, "One fact here too.", "REUSED", ["KB-1"]), (0, "", "X", [])], "doc int, sentence string, kind string, source_ids array<string>")
+    assert {r["doc"]: r["text"] for r in render.with_markers(d, records, ["doc"], "text").collect()} == {0: "One fact. One fact here too. [REUSED(KB-1)]", 1: "none"}

@@ -51,7 +51,7 @@ def test_fusion_quality_and_budget(spark, rows):
 
 def test_proofs_and_compliance(spark, rows):
     reqs = spark.createDataFrame([("r", "R-1", "Cloud backup recovery plan"), ("r", "R-2", "alpaca wool"), ("r", "R-3", None)], "run_id string, id string, text string")
-    proofs = spark.createDataFrame([("P1", "cloud backup", "done", None, ["recovery-plan"]), ("P2", "cloud", None, "", None)], "id string, claim string, evidence string, verifiable_source string, covers_tags array<string>")
+    proofs = spark.createDataFrame([("P1", "cloud backup", "done", None, ["recovery-plan"], "Strong "), ("P2", "cloud", None, "", None, None)], "id string, claim string, evidence string, verifiable_source string, covers_tags array<string>, strength string")
     got = {r["id"]: r for r in matching.match_proofs(reqs, proofs, ["run_id", "id"]).collect()}
     assert got["R-1"]["fit"] == "STRONG" and got["R-1"]["proof_ids"] == ["P1"] and got["R-1"]["best_score"] == round(0.6 * 0.5 + 0.4 * 0.5, 4)
     assert got["R-2"]["fit"] == got["R-3"]["fit"] == "GAP"
