@@ -186,15 +186,17 @@ def near_groups(sets: DataFrame, threshold: float = THRESHOLD, **options: int) -
     (within a busy bucket only some of them are looked at). Records that are like no other are
     groups of their own. Ids are compared as strings.
     """
-    sets = stage(sets.select(F.col("id").cast("string").alias("id"), "h"), "words")
-    classes = sets.groupBy("h").agg(F.min("id").alias("class"))
-    reps = stage(classes.select(F.col("class").alias("id"), "h"), "classes")
+    # records meet by 128 bits of hash, not by their words
+    key = [F.xxhash64("h").alias("k0"), F.xxhash64(F.lit(SEED >> 1), "h").alias("k1")]
+    sets = stage(sets.select(F.col("id").cast("string").alias("id"), "h", *key), "words")
+    classes = sets.groupBy("k0", "k1").agg(F.min("id").alias("class"))
+    reps = stage(sets.join(classes.select(F.col("class").alias("id")), "id", "left_semi").select("id", "h"), "classes")
     links = stage(near_links(reps, threshold, **options), "near")
     groups = connected(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("n_links"))
-    named = reps.select(F.col("id").alias("class"), "h").join(groups.select(F.col("node").alias("class"), F.col("component").alias("grp")), "class", "left").join(degree, "class", "left")
-    named = named.select("class", "h", F.coalesce("grp", "class").alias("grp"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return sets.join(named, "h").select("id", "class", "grp", "n_links")
+    named = classes.join(groups.select(F.col("node").alias("class"), F.col("component").alias("grp")), "class", "left").join(degree, "class", "left")
+    named = named.select("class", "k0", "k1", F.coalesce("grp", "class").alias("grp"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return sets.select("id", "k0", "k1").join(named, ["k0", "k1"]).select("id", "class", "grp", "n_links")
 
 
 def near_pairs(groups: DataFrame) -> DataFrame:
