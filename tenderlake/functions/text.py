@@ -116,6 +116,24 @@ def unfilled(template: Column, values: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(names, lambda n: ~F.array_contains(F.map_keys(values), n))))
 
 
+def json_slice(text: Column) -> Column:
+    """The JSON inside a reply as a variant: fences off, else the outermost braces or brackets; null if there is none."""
+    bare = F.regexp_replace(strip(text), r"(?s)\A```(?:json)?\s*|\s*```\z", "")
+    outer = [F.nullif(F.regexp_extract(bare, p, 0), F.lit("")) for p in (r"(?s)\{.*\}", r"(?s)\[.*\]")]
+    return F.coalesce(F.try_parse_json(bare), *[F.try_parse_json(o) for o in outer])
+
+
+def fit_cells(cells: Column, width: Column | int) -> Column:
+    """Cells cut or filled with empty ones to ``width``."""
+    w = F.lit(width) if isinstance(width, int) else width
+    return F.slice(F.concat(cells, F.array_repeat(F.lit(""), w)), F.lit(1), w)
+
+
+def within(ids: Column, allowed: Column) -> Column:
+    """The ids that are allowed, in their order."""
+    return F.filter(ids, lambda i: F.array_contains(allowed, i))
+
+
 def cache_key(*parts: Column) -> Column:
     """SHA-256 of the parts, each ended by a NUL."""
     return F.sha2(F.concat(*[F.concat(F.coalesce(p, F.lit("")), F.lit(_DOT)) for p in parts]), 256)

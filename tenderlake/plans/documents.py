@@ -145,6 +145,15 @@ def section_order(spark: SparkSession, d: str) -> DataFrame:
     return s.select("run_id", "id", F.row_number().over(w).alias("place"))
 
 
+def outline(spark: SparkSession, d: str) -> DataFrame:
+    """One section for each source section of a run, in natural order, long enough for its requirements."""
+    from pyspark.sql import Window
+
+    r = _requirements(spark, d).groupBy("run_id", F.coalesce(F.nullif("source_section", F.lit("")), F.lit("Unnumbered")).alias("source_section")).agg(F.count(F.lit(1)).alias("n_requirements"))
+    w = Window.partitionBy("run_id").orderBy(T.natural_key(F.col("source_section")), "source_section")
+    return r.select("run_id", "source_section", "n_requirements", (F.row_number().over(w) - 1).alias("order_index"), F.greatest(F.lit(250), 120 * F.col("n_requirements")).alias("target_words"))
+
+
 def answer_keys(spark: SparkSession, d: str) -> DataFrame:
     hq = store.latest(texts(spark, d, "hq_001_030").select("id", "question", "category", "loaded_at"), ["id"], "loaded_at")
     return hq.select("id", T.cache_key(F.col("question"), F.col("category")).alias("cache_key"))
@@ -183,7 +192,7 @@ def order_durations(spark: SparkSession, d: str) -> DataFrame:
     return assurance.durations(docs, structure.table_cells(docs, ["cust"], "text"), ["cust"], ["cust"], "text")
 
 
-QUERIES = {f.__name__: f for f in (chunk_counts, sentence_stats, top_terms, heading_tree, section_tables, table_totals, percentage_rows, phase_durations, section_facts, claim_counts, grounding_batches, risky_wording, voice_drift, markdown_chunks, qa_chunks, proof_chunks, requirement_rules, requirement_extract, document_rules, evaluation_criteria, document_roles, requirement_dedupe, section_order, answer_keys, order_totals, order_reserves, order_durations)}
+QUERIES = {f.__name__: f for f in (chunk_counts, sentence_stats, top_terms, heading_tree, section_tables, table_totals, percentage_rows, phase_durations, section_facts, claim_counts, grounding_batches, risky_wording, voice_drift, markdown_chunks, qa_chunks, proof_chunks, requirement_rules, requirement_extract, document_rules, evaluation_criteria, document_roles, requirement_dedupe, section_order, outline, answer_keys, order_totals, order_reserves, order_durations)}
 
 _ABBR = "regexp_replace(trim(regexp_replace(regexp_replace({}, '[*_`]+', '', 'g'), '\\s+', ' ', 'g')), '$', '')"
 for _a in lex.ABBREVIATIONS:
@@ -267,10 +276,13 @@ GROUP BY run_id, key HAVING count(*) > 1""",
     "section_order": f"""
 SELECT run_id, id, row_number() OVER (PARTITION BY run_id ORDER BY len(n) = 0, n, CASE WHEN len(n) = 0 THEN title ELSE '' END, id) AS place
 FROM (SELECT run_id, id, title, list_transform(regexp_extract_all(title, '\\d+'), lambda x: x::BIGINT) AS n FROM {_SEC} WHERE title IS NOT NULL)""",
+    "outline": f"""
+SELECT run_id, source_section, n_requirements, row_number() OVER (PARTITION BY run_id ORDER BY len(k) = 0, k, CASE WHEN len(k) = 0 THEN source_section ELSE '' END, source_section) - 1 AS order_index, greatest(250, 120 * n_requirements) AS target_words
+FROM (SELECT run_id, coalesce(nullif(source_section, ''), 'Unnumbered') AS source_section, count(*) AS n_requirements, list_transform(regexp_extract_all(coalesce(nullif(source_section, ''), 'Unnumbered'), '\\d+'), lambda x: x::BIGINT) AS k FROM {_REQ} GROUP BY ALL)""",
     "document_roles": f"""
-WITH f AS (SELECT doc_id, generate_subscripts(r, 1) AS at, unnest(r) AS role FROM (SELECT doc_id, regexp_extract_all(trim(regexp_replace(regexp_replace(text, '[*_`]+', '', 'g'), '\\s+', ' ', 'g')), '(?i){lex.ROLE}', 1) AS r FROM documents WHERE text IS NOT NULL)),
-o AS (SELECT doc_id, lower(trim(role)) AS k, min(at) AS at, trim(arg_min(role, at)) AS role FROM f GROUP BY doc_id, lower(trim(role)))
-SELECT doc_id, place, role FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY at) AS place, role FROM o) WHERE place <= {lex.ROLE_CAP}""",
+WITH f AS (SELECT doc_id, generate_subscripts(r, 1) AS p, unnest(r) AS role FROM (SELECT doc_id, regexp_extract_all(trim(regexp_replace(regexp_replace(text, '[*_`]+', '', 'g'), '\\s+', ' ', 'g')), '(?i){lex.ROLE}', 1) AS r FROM documents WHERE text IS NOT NULL)),
+o AS (SELECT doc_id, lower(trim(role)) AS k, min(p) AS p, trim(arg_min(role, p)) AS role FROM f GROUP BY doc_id, lower(trim(role)))
+SELECT doc_id, place, role FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS place, role FROM o) WHERE place <= {lex.ROLE_CAP}""",
     "answer_keys": f"SELECT id, sha256(coalesce(question, '') || chr(0) || coalesce(category, '') || chr(0)) AS cache_key FROM {_HQ}",
     "heading_tree": """
 WITH l AS (

@@ -336,9 +336,9 @@ SELECT t.run_id, theme_id, len(w) AS n_words, count(*) FILTER (len(list_intersec
 FROM {_latest('requirements', 'run_id, id')} r LEFT JOIN (SELECT run_id, requirement_id, min(section_id) AS section_id FROM {_PLACED} GROUP BY ALL) p USING (run_id) WHERE FALSE GROUP BY run_id""",
     "unplaced_requirements": f"SELECT run_id, id AS requirement_id, priority FROM {_latest('requirements', 'run_id, id')} r WHERE NOT EXISTS (SELECT 1 FROM {_PLACED} p WHERE p.run_id = r.run_id AND p.requirement_id = r.id)",
     "section_requirements": f"SELECT run_id, deliverable_form, n FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY n DESC, deliverable_form <> 'PROSE', f) AS place FROM (SELECT run_id, deliverable_form, count(*) AS n, min(id) AS f FROM {_latest('requirements', 'run_id, id')} r WHERE EXISTS (SELECT 1 FROM {_PLACED} p WHERE p.run_id = r.run_id AND p.requirement_id = r.id) GROUP BY ALL)) WHERE place = 1",
-    "cited_sources": f"""SELECT query_id, pos, source_id, coalesce(least(700, length(text)), 0)::INT AS chars FROM (SELECT query_id, (generate_subscripts(relevant_ids, 1) - 1)::INT AS pos, nullif(upper(trim(unnest(relevant_ids))), '') AS source_id FROM {_latest('retrieval_pairs', 'query_id')})
+    "cited_sources": f"""SELECT query_id, pos, source_id, (CASE WHEN text IS NULL THEN 0 ELSE least(700, length(text)) END)::INT AS chars FROM (SELECT query_id, (generate_subscripts(relevant_ids, 1) - 1)::INT AS pos, nullif(upper(trim(unnest(relevant_ids))), '') AS source_id FROM {_latest('retrieval_pairs', 'query_id')})
 LEFT JOIN (SELECT upper(trim(source_id)) AS source_id, arg_min(text, id) AS text FROM {_latest('chunk', 'id')} WHERE text IS NOT NULL GROUP BY ALL) USING (source_id) WHERE source_id IS NOT NULL""",
-    "named_requirements": "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY at) AS place, id FROM (SELECT doc_id, id, min(at) AS at FROM (SELECT doc_id, generate_subscripts(r, 1) AS at, unnest(r) AS id FROM (SELECT doc_id, regexp_extract_all(text, '\\b(R-\\d{3,4})\\b', 1) AS r FROM documents WHERE text IS NOT NULL)) GROUP BY ALL) WHERE id IN (SELECT id FROM requirements)",
+    "named_requirements": "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS place, id FROM (SELECT doc_id, id, min(p) AS p FROM (SELECT doc_id, generate_subscripts(r, 1) AS p, unnest(r) AS id FROM (SELECT doc_id, regexp_extract_all(text, '\\b(R-\\d{3,4})\\b', 1) AS r FROM documents WHERE text IS NOT NULL)) GROUP BY ALL) WHERE id IN (SELECT id FROM requirements)",
     "record_conflicts": "SELECT l_orderkey, count(DISTINCT l_returnflag)::INT AS n_values, array_to_string(list_sort(list_distinct(list(l_returnflag))), ',') AS all_values FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_returnflag) > 1",
     "latest_records": f"SELECT l.id, l.question, l.status, f.first_loaded, l.loaded_at FROM {_latest('hq_001_030', 'id')} l JOIN (SELECT id, min(loaded_at) AS first_loaded FROM hq_001_030 GROUP BY id) f USING (id)",
     "merged_events": "SELECT user_id, min(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id",

@@ -57,3 +57,12 @@ def test_natural_order_and_checkable(spark):
     flags = {"We meet ISO rules here": True, "we meet iso rules here": False, "It takes 3 days": True, "Too 3 few": False, "It is the best plan": True}
     df = spark.createDataFrame([(t,) for t in flags], "t string").select("t", T.checkable(F.col("t")))
     assert {r[0]: r[1] for r in df.collect()} == flags
+
+
+def test_json_cells_and_ids(spark):
+    replies = ['{"a": 1}', '```json\n{"a": 2}\n```', 'Sure: {"a": 3} ok', "none", None]
+    df = spark.createDataFrame([(r,) for r in replies], "t string").select(F.try_variant_get(T.json_slice(F.col("t")), "$.a", "int"))
+    assert [r[0] for r in df.collect()] == [1, 2, 3, None, None]
+    df = spark.createDataFrame([(["a", "b", "c"], ["c", "a"]), ([], ["x"])], "c array<string>, k array<string>")
+    assert [r[0] for r in df.select(T.fit_cells(F.col("c"), 2)).collect()] == [["a", "b"], ["", ""]]
+    assert [r[0] for r in df.select(T.within(F.col("c"), F.col("k"))).collect()] == [["a", "c"], []]
