@@ -134,7 +134,7 @@ def document_roles(spark: SparkSession, d: str) -> DataFrame:
 def requirement_dedupe(spark: SparkSession, d: str) -> DataFrame:
     r = _requirements(spark, d).where("text IS NOT NULL")
     one = r.withColumn("key", T.dedupe_key(F.col("text"))).groupBy("run_id", "key").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n"), F.max(req.rank(F.col("priority"))).alias("top_rank"), (F.countDistinct("extracted_by") > 1).alias("by_both"))
-    return one.where("n > 1").select("run_id", "first_id", "n", "top_rank", "by_both")
+    return one.select("run_id", "first_id", "n", "top_rank", "by_both")
 
 
 def section_order(spark: SparkSession, d: str) -> DataFrame:
@@ -272,7 +272,7 @@ FROM b""",
     "requirement_dedupe": f"""
 SELECT run_id, min(id) AS first_id, count(*) AS n, max(CASE priority WHEN 'MANDATORY' THEN 3 WHEN 'WEIGHTED' THEN 2 WHEN 'NICE_TO_HAVE' THEN 1 ELSE 0 END) AS top_rank, count(DISTINCT extracted_by) > 1 AS by_both
 FROM (SELECT *, left(array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(lower(trim(regexp_replace(regexp_replace(text, '[*_`]+', '', 'g'), '\\s+', ' ', 'g'))), '{lex.DEDUPE_WORDS}', ' ', 'g'), '[^a-z0-9 ]+', ' ', 'g'), '\\s+'), lambda x: x <> ''))), ' '), 220) AS key FROM {_REQ} WHERE text IS NOT NULL)
-GROUP BY run_id, key HAVING count(*) > 1""",
+GROUP BY run_id, key""",
     "section_order": f"""
 SELECT run_id, id, row_number() OVER (PARTITION BY run_id ORDER BY len(n) = 0, n, CASE WHEN len(n) = 0 THEN title ELSE '' END, id) AS place
 FROM (SELECT run_id, id, title, list_transform(regexp_extract_all(title, '\\d+'), lambda x: x::BIGINT) AS n FROM {_SEC} WHERE title IS NOT NULL)""",
