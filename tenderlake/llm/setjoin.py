@@ -4,7 +4,8 @@ In each of several trees the records are split again and again on tokens chosen
 same for all records that share a path so far: a record follows a token that it has left with a
 probability of about BRANCH / (tokens left), so that a similar pair meets again in at least one
 branch on average while others part. Nodes with few records are compared by brute force, and what
-is similar there is verified exactly. Tokens of so few records that their node is small from the
+is similar there is verified exactly. In larger nodes, pairs that are similar by the path alone
+are kept before the node is split on, as no token may be left to meet by. Tokens of so few records that their node is small from the
 start are compared once, outside the trees, which then choose among the other tokens only.
 """
 
@@ -25,6 +26,8 @@ TREES, SMALL = 16, 128
 ROOT_BRANCH, BRANCH = 1 / 0.6, 2.0
 #: Tokens of a path at most; nodes that are still larger then are compared whole.
 DEPTH = 8
+#: Records of one path that are paired with the others in one part.
+MET_BLOCK = 1000
 SEED = 41
 
 
@@ -66,11 +69,20 @@ def _brute(leaves: DataFrame, depth: int, threshold: float) -> DataFrame:
     return a.join(b, (F.col("a.node") == F.col("b.node")) & (F.col("a.sid") < F.col("b.sid")) & near).select(F.col("a.sid").alias("a"), F.col("b.sid").alias("b"))
 
 
-def _ended(rows: DataFrame, depth: int, threshold: float) -> DataFrame:
-    """Pairs of the one record that is nothing but its node's path with the others there."""
-    ended = rows.where(F.size("left") == 0).select("node", F.col("sid").alias("x"))
-    others = rows.where((F.col("n") > depth) & (depth >= threshold * F.col("n") - 1e-9)).select("node", F.col("sid").alias("y"))
-    return ended.join(others, "node").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+def _met(large: DataFrame, coded: DataFrame, depth: int, threshold: float) -> DataFrame:
+    """Pairs of large nodes that are similar by the tokens of their path alone, whatever else they share.
+
+    A path counts once, in whatever tree and order its tokens were chosen; records of a hot path
+    are paired in blocks.
+    """
+    held = large.where(depth >= threshold * F.col("n") - 1e-9).select("sid", "n", "left").distinct()
+    whole = coded.select("sid", F.col("left").alias("whole"))
+    held = held.join(whole, "sid").select("sid", "n", F.xxhash64(F.array_sort(F.array_except("whole", "left"))).alias("path"))
+    size = held.groupBy("path").agg(F.ceil(F.count(F.lit(1)) / MET_BLOCK).cast("int").alias("parts"))
+    held = stage(held.join(size, "path"), f"met{depth}")
+    a = held.select("path", F.pmod(F.xxhash64("sid"), "parts").cast("int").alias("part"), F.col("sid").alias("a"), F.col("n").alias("na"))
+    b = held.select("path", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("sid").alias("b"), F.col("n").alias("nb"))
+    return a.join(b, ["path", "part"]).where((F.col("a") < F.col("b")) & (depth >= threshold * (F.col("na") + F.col("nb") - depth) - 1e-9)).select("a", "b")
 
 
 def similar_classes(sets: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, small: int = SMALL) -> DataFrame:
@@ -100,7 +112,7 @@ def similar_classes(sets: DataFrame, threshold: float = THRESHOLD, trees: int =
         pairs.append(_brute(rows if last else rows.where(F.col("size") <= small), depth, threshold))
         if last:
             break
-        pairs.append(_ended(large, depth, threshold))
+        pairs.append(_met(large, coded, depth, threshold))
         rows = large.select("sid", "n", "left", "node")
     met = reduce(DataFrame.unionByName, pairs).distinct()
     x, y = sets.select(F.col("sid").alias("a"), F.col("tags").alias("ta")), sets.select(F.col("sid").alias("b"), F.col("tags").alias("tb"))

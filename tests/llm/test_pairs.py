@@ -109,6 +109,13 @@ def test_similar_sets_match_brute_force(spark, small):
     assert counts["c000"] >= 119 and set(counts) == set(ids)
 
 
+def test_sets_that_share_nothing_but_a_hot_core(spark):
+    sets = [(i, ["a", "b", "c", f"u{i}"]) for i in range(200)] + [(200 + i, ["a", "b", "c", f"v{i}", f"w{i}"]) for i in range(140)] + [(900, ["a", "b", "c"])]
+    got = setjoin.similar_classes(spark.createDataFrame(sets, "sid bigint, tags array<string>")).collect()
+    want = {(a, b) for k, (a, s) in enumerate(sets) for b, t in sets[k + 1 :] if jaccard(set(s), set(t)) >= 0.6}
+    assert len(want) == 199 * 100 + 340 and {(r["a"], r["b"]) for r in got} == want
+
+
 def test_tags_are_cleaned(spark, rows):
     odd = [("a", [" Cloud_Based ", "x", None, ""], 1), ("b", ["cloud based", "X", "x"], 1), ("c", [], 1), ("d", None, 1), ("e", [" ", None], 1), (None, ["x"], 1), ("a", [" Cloud_Based ", "x", None, ""], 1)]
     df = spark.createDataFrame(odd, TAGS)
