@@ -2,35 +2,87 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tenderlake.functions import lexicon as lex
 from tenderlake.functions import text as T
+from tenderlake.session import stage
+
+
+#: Different word sets of requirements, and proofs, that are compared at once.
+ASKED_BLOCK, PROOF_BLOCK = 16384, 4096
+
+
+def _best_in_block(top: int):
+    """For each asked word set the proofs of one block that may be among its ``top`` best."""
+
+    def run(asked: pd.DataFrame, proofs: pd.DataFrame) -> pd.DataFrame:
+        proofs = proofs.sort_values("proof_id", na_position="first", kind="stable")
+        ids, own = proofs["proof_id"].to_numpy(), proofs["own"].to_numpy()
+        sizes = proofs["words"].map(len).to_numpy()
+        found = []
+        if len(asked) and sizes.sum():
+            at, word, mark = np.repeat(np.arange(len(ids)), sizes), np.concatenate(list(proofs["words"])), np.concatenate(list(proofs["marks"])).astype(np.float64)
+            order = np.argsort(word, kind="stable")
+            at, word, mark = at[order], word[order], mark[order]
+            names, first = np.unique(word, return_index=True)
+            last = np.append(first[1:], len(word))
+            for cid, h in zip(asked["cid"], asked["words"]):
+                n = len(h)
+                where = np.searchsorted(names, h)
+                spans = [np.arange(first[w], last[w]) for w, x in zip(where, h) if w < len(names) and names[w] == x]
+                if not spans:
+                    continue
+                rows = np.concatenate(spans)
+                sums = np.bincount(at[rows], mark[rows]).astype(np.int64)
+                pick = np.flatnonzero((sums & 0xFFFF) >= lex.MIN_SHARED_TOKENS)
+                a, b = (sums[pick] >> 16) & 0xFFFF, sums[pick] >> 32
+                fit = 3 * a + 2 * b  # the score is fit / 5n; rounding may join scores of more than 2,000 words
+                if len(pick) > top:
+                    slack = 0 if n < 2000 else int(5e-4 * n) + 1
+                    keep = fit >= -np.partition(-fit, top - 1)[top - 1] - slack
+                    pick, a, b = pick[keep], a[keep], b[keep]
+                kinds = a << 16 | b
+                for kind in np.unique(kinds):
+                    found += [(cid, n, ids[k], int(own[k]), int(kind >> 16), int(kind & 0xFFFF)) for k in pick[kinds == kind][:top]]
+        return pd.DataFrame(found, columns=["cid", "n", "proof_id", "own", "a", "b"])
+
+    return run
 
 
 def match_proofs(requirements: DataFrame, proofs: DataFrame, keys: list[str], top: int = 3) -> DataFrame:
     """(keys, fit, proof_ids, best_score): the best proofs of each requirement.
 
     The score is 0.6 x the share of the requirement's words in the proof's text plus 0.4 x their
-    share in its tags; two shared words are needed. Proofs come from a join on words, so only
-    those that share one are scored. Ties go to the lesser proof id. A match is strong only if the
+    share in its tags; two shared words are needed. Equal word sets are matched once, in blocks
+    of them against blocks of proofs, each of which counts shared words over its own postings and
+    returns the few best. Ties go to the lesser proof id. A match is strong only if the
     best proof's own ``strength`` is (unknown ones count as medium).
     """
-    words = requirements.select(*keys, T.content_tokens(F.col("text"), lex.PROOF_STOPWORDS).alias("w")).where("size(w) > 0")
+    words = F.array_sort(T.content_tokens(F.col("text"), lex.PROOF_STOPWORDS))
+    named = stage(requirements.select(*keys, words.alias("w")).select(*keys, "w", F.md5(F.array_join("w", " ")).alias("cid")), "asked")
     text = F.concat_ws(" ", "claim", "evidence", "verifiable_source")
     tags = F.replace(F.array_join(F.coalesce("covers_tags", F.array().cast("array<string>")), " "), F.lit("-"), F.lit(" "))
     ranks = F.create_map(*[F.lit(v) for pair in lex.LIBRARY_STRENGTH.items() for v in pair])
     own = F.coalesce(ranks[F.upper(F.trim("strength"))], F.lit(1)).alias("own")
     p = proofs.select(F.col("id").alias("proof_id"), own, T.content_tokens(text, lex.PROOF_STOPWORDS).alias("pt"), T.content_tokens(tags, lex.PROOF_STOPWORDS).alias("tt"))
-    long = p.select("proof_id", "own", F.explode(F.array_union("pt", "tt")).alias("word"), "pt", "tt").select("proof_id", "own", "word", F.array_contains("pt", F.col("word")).cast("int").alias("in_text"), F.array_contains("tt", F.col("word")).cast("int").alias("in_tags"))
-    asked = words.select(*keys, F.size("w").alias("n"), F.explode("w").alias("word"))
-    shared = asked.join(long, "word").groupBy(*keys, "n", "proof_id", "own").agg(F.count(F.lit(1)).alias("shared"), F.sum("in_text").alias("a"), F.sum("in_tags").alias("b"))
-    scored = shared.where(F.col("shared") >= lex.MIN_SHARED_TOKENS).withColumn("score", F.round(0.6 * F.col("a") / F.col("n") + 0.4 * F.col("b") / F.col("n"), 4))
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "proof_id"))).where((F.col("rank") <= top) & (F.col("score") >= lex.PARTIAL_FLOOR))
-    best = ranked.groupBy(*keys).agg(F.max("score").alias("best_score"), F.min_by("own", "rank").alias("own"), F.transform(F.array_sort(F.collect_list(F.struct("rank", "proof_id"))), lambda x: x["proof_id"]).alias("proof_ids"))
+    mark = lambda w: F.lit(1).cast("bigint") + F.array_contains("pt", w).cast("bigint") * (1 << 16) + F.array_contains("tt", w).cast("bigint") * (1 << 32)
+    p = p.withColumn("w", F.array_union("pt", "tt")).select("proof_id", "own", F.transform("w", lambda w: F.xxhash64(w)).alias("words"), F.transform("w", mark).alias("marks"))
+    p = stage(p, "proofs")
+    asked = stage(named.where("size(w) > 0").groupBy("cid").agg(F.first(F.transform("w", lambda w: F.xxhash64(w))).alias("words")), "wordsets")
+    n_r, n_p = max(1, -(-asked.count() // ASKED_BLOCK)), max(1, -(-p.count() // PROOF_BLOCK))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = asked.withColumn("rb", F.pmod(F.xxhash64("cid"), F.lit(n_r)).cast("int")).withColumn("pb", every(n_p))
+    p = p.withColumn("pb", F.pmod(F.xxhash64("proof_id"), F.lit(n_p)).cast("int")).withColumn("rb", every(n_r))
+    pairs = asked.groupBy("rb", "pb").cogroup(p.groupBy("rb", "pb")).applyInPandas(_best_in_block(top), "cid string, n int, proof_id string, own int, a bigint, b bigint")
+    scored = pairs.withColumn("score", F.round(0.6 * F.col("a") / F.col("n") + 0.4 * F.col("b") / F.col("n"), 4))
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("cid").orderBy(F.desc("score"), "proof_id"))).where((F.col("rank") <= top) & (F.col("score") >= lex.PARTIAL_FLOOR))
+    best = ranked.groupBy("cid").agg(F.max("score").alias("best_score"), F.min_by("own", "rank").alias("own"), F.transform(F.array_sort(F.collect_list(F.struct("rank", "proof_id"))), lambda x: x["proof_id"]).alias("proof_ids"))
     fit = F.when(F.col("best_score").isNull(), "GAP").when((F.col("best_score") >= lex.STRONG_FLOOR) & (F.col("own") >= 2), "STRONG").otherwise("PARTIAL")
-    return requirements.select(*keys).join(best, keys, "left").select(*keys, fit.alias("fit"), F.coalesce("proof_ids", F.array().cast("array<string>")).alias("proof_ids"), F.coalesce("best_score", F.lit(0.0)).alias("best_score"))
+    return named.select(*keys, "cid").join(best, "cid", "left").select(*keys, fit.alias("fit"), F.coalesce("proof_ids", F.array().cast("array<string>")).alias("proof_ids"), F.coalesce("best_score", F.lit(0.0)).alias("best_score"))
 
 
 def theme_threads(themes: DataFrame, requirements: DataFrame, scope: list[str], floor: float = lex.THREAD_FLOOR) -> DataFrame:

@@ -109,13 +109,21 @@ def calibration_agreement(spark: SparkSession, d: str) -> DataFrame:
     return measures.agreement(_calibration(spark, d), F.col("similarity") >= 0.1, F.col("relation") == "NEAR_IDENTICAL")
 
 
-def proof_matches(spark: SparkSession, d: str) -> DataFrame:
-    """Proof points for every fiftieth requirement of each run."""
-    r = _once(spark, d, "requirements", ["run_id", "id"], ["text"]).where(retrieval.every_fiftieth(F.col("id")))
+def _proof_matches(spark: SparkSession, d: str, r: DataFrame) -> DataFrame:
     p = _once(spark, d, "proof_points", ["id"], ["claim", "evidence", "verifiable_source", "covers_tags", "strength"])
     return matching.match_proofs(r, p, ["run_id", "id"]).withColumn("proof_ids", F.array_join("proof_ids", ","))
 
 
+def proof_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Proof points for requirements whose id has a number divisible by 50; not every fiftieth row."""
+    return _proof_matches(spark, d, _once(spark, d, "requirements", ["run_id", "id"], ["text"]).where(retrieval.every_fiftieth(F.col("id"))))
+
+
+def proof_matches_all(spark: SparkSession, d: str) -> DataFrame:
+    """Proof points for every requirement of every run."""
+    return _proof_matches(spark, d, _once(spark, d, "requirements", ["run_id", "id"], ["text"]))
+
+
 def theme_threads(spark: SparkSession, d: str) -> DataFrame:
     themes = _once(spark, d, "win_themes", ["run_id", "id"], ["statement", "buyer_pain_addressed"])
     return matching.theme_threads(themes, _once(spark, d, "requirements", ["run_id", "id"], ["text"]), ["run_id"])
@@ -256,7 +264,7 @@ def event_props(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("event_type").agg(F.count("k").alias("n"), F.sum("k").alias("total"), F.max("k").alias("largest"))
 
 
-QUERIES = {f.__name__: f for f in (bm25_top, fused_top, context_packs, search_quality, dense_top, dense_decisions, background, calibration_check, calibration_agreement, proof_matches, theme_threads, compliance_matrix, compliance_coverage, compliance_markdown, unplaced_requirements, cited_sources, named_requirements, section_requirements, record_conflicts, latest_records, merged_events, domain_violations, key_violations, dangling_themes, last_signup, request_rate, event_usage, kind_breakdown, automation_rates, running_totals, event_props)}
+QUERIES = {f.__name__: f for f in (bm25_top, fused_top, context_packs, search_quality, dense_top, dense_decisions, background, calibration_check, calibration_agreement, proof_matches, proof_matches_all, theme_threads, compliance_matrix, compliance_coverage, compliance_markdown, unplaced_requirements, cited_sources, named_requirements, section_requirements, record_conflicts, latest_records, merged_events, domain_violations, key_violations, dangling_themes, last_signup, request_rate, event_usage, kind_breakdown, automation_rates, running_totals, event_props)}
 
 
 def _latest(name: str, keys: str) -> str:
@@ -353,4 +361,5 @@ LEFT JOIN (SELECT upper(trim(source_id)) AS source_id, arg_min(text, id) AS text
     "running_totals": """SELECT o_custkey, o_orderkey, round(sum(o_totalprice) OVER w - o_totalprice, 2) AS start, round(sum(o_totalprice) OVER w, 2) AS "end", round(o_totalprice / sum(o_totalprice) OVER (PARTITION BY o_custkey), 6) AS share FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING)""",
     "event_props": "SELECT event_type, count(k) AS n, sum(k)::BIGINT AS total, max(k) AS largest FROM (SELECT event_type, (props::JSON ->> 'k')::BIGINT AS k FROM events) GROUP BY event_type",
 }
+SQL["proof_matches_all"] = SQL["proof_matches"].replace(" WHERE regexp_extract(id, '(\\d+)\\D*$', 1)::BIGINT % 50 = 0", "")
 SQL["compliance_markdown"] = SQL["compliance_markdown"].replace("p USING (run_id) WHERE FALSE", "p ON p.run_id = r.run_id AND p.requirement_id = r.id").replace("SELECT run_id, '|", "SELECT r.run_id, '|").replace("GROUP BY run_id", "GROUP BY r.run_id")

@@ -1,10 +1,12 @@
 import math
+import random
 from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from tenderlake.operators import matching, measures, render, retrieval
+from tenderlake.plans import relations
 from tenderlake.sources import store
 
 
@@ -60,6 +62,26 @@ def test_proofs_and_compliance(spark, rows):
     assert rows(matching.compliance(placed, reqs, sections), "requirement_id", "section_id", "anchor", "rag") == [("R-1", "S-1", "S-1#p2", "GREEN"), ("R-2", None, None, "RED"), ("R-3", None, None, "RED")]
 
 
+def test_every_requirement_is_matched(spark, rows, monkeypatch):
+    monkeypatch.setattr(matching, "ASKED_BLOCK", 3)
+    monkeypatch.setattr(matching, "PROOF_BLOCK", 4)
+    spark_rows = relations.proof_matches_all(spark, "/root/testdata/sf0.001").select("run_id", "id").collect()
+    wanted = spark.read.parquet("/root/testdata/sf0.001/requirements.parquet").select("run_id", "id").distinct()
+    assert len(spark_rows) == wanted.count() and "% 50" not in relations.SQL["proof_matches_all"]
+    rng = random.Random(5)
+    names = [f"word{i}" for i in range(12)]
+    reqs = [(f"r{i % 7}", f"R-{i:03d}", " ".join(rng.sample(names, rng.randint(1, 5)))) for i in range(40)]
+    proofs = [(f"P{i:02d}", " ".join(rng.sample(names, 4)), None, None, rng.sample(names, 2), rng.choice(["strong", "weak", None])) for i in range(30)]
+    got = matching.match_proofs(spark.createDataFrame(reqs, "run_id string, id string, text string"), spark.createDataFrame(proofs, "id string, claim string, evidence string, verifiable_source string, covers_tags array<string>, strength string"), ["run_id", "id"])
+    want = []
+    for run, i, text in reqs:
+        w = set(text.split())
+        scored = sorted((-round(0.6 * len(w & set(c.split())) / len(w) + 0.4 * len(w & set(t)) / len(w), 4), p, s) for p, c, _, _, t, s in proofs if len(w & (set(c.split()) | set(t))) >= 2)
+        best = [x for x in scored[:3] if -x[0] >= 0.12]
+        want.append((run, i, "GAP" if not best else "STRONG" if -best[0][0] >= 0.28 and best[0][2] == "strong" else "PARTIAL", [x[1] for x in best], -best[0][0] if best else 0.0))
+    assert rows(got) == sorted(want, key=str)
+
+
 def test_measures(spark, rows):
     e = spark.createDataFrame([("a", 1), ("b", 2), ("a", 3), (None, 4)], "k string, v int")
     assert rows(measures.breakdown(e, "k", ["a", "b", "c"]), "k", "n") == [("a", 2), ("b", 1), ("c", 0)]
