@@ -15,6 +15,8 @@ from tenderlake.session import stage
 
 #: Vectors of one block, on either side.
 BLOCK = 512
+#: The same where only counts of scores leave a pair of blocks.
+PAIR_BLOCK = 2048
 
 
 def every_fiftieth(key: Column) -> Column:
@@ -91,6 +93,29 @@ def dense_top(vectors: DataFrame, key: str, vector: str, queries: DataFrame, dep
     return ranked.where(F.col("rank") <= depth)
 
 
+def pair_scores(vectors: DataFrame, key: str, vector: str) -> DataFrame:
+    """(score, n): how many pairs of different keys have each inner product, rounded to 6 digits; a pair counts once.
+
+    Each pair of blocks is one matrix product that returns counts of its scores, no pairs.
+    """
+    blocks = max(1, -(-vectors.count() // PAIR_BLOCK))
+    rows = vectors.select(F.col(key).cast("bigint").alias("k"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("b"))
+    left = rows.select("k", "v", F.col("b").alias("i"), F.explode(F.sequence(F.col("b"), F.lit(blocks - 1))).alias("j"))
+    right = rows.select("k", "v", F.explode(F.sequence(F.lit(0), F.col("b"))).alias("i"), F.col("b").alias("j"))
+
+    def count(blocks: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"micro": np.array([], dtype=np.int64), "n": np.array([], dtype=np.int64)})
+        va, vb = np.stack(a["v"].to_list()).astype(np.float64), np.stack(b["v"].to_list()).astype(np.float64)
+        ka, kb = a["k"].to_numpy()[:, None], b["k"].to_numpy()[None, :]
+        asked = ka < kb if blocks[0] == blocks[1] else ka != kb
+        micro, n = np.unique(np.rint((va @ vb.T)[asked] * 1e6).astype(np.int64), return_counts=True)
+        return pd.DataFrame({"micro": micro, "n": n})
+
+    counts = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(count, "micro bigint, n bigint")
+    return counts.groupBy("micro").agg(F.sum("n").alias("n")).select((F.col("micro") / F.lit(1e6)).alias("score"), "n")
+
+
 def fuse(rankings: list[DataFrame], query_key: str, key: str, k: int = lex.RRF_K, depth: int = lex.RERANK_DEPTH) -> DataFrame:
     """(query key, key, fused, rank, rrf_score): reciprocal rank fusion.
 
@@ -138,7 +163,11 @@ def context_budget(ranked: DataFrame, query_key: str, text: str, budget: int = l
     return ranked.withColumn("used", F.greatest(F.lit(0), F.least(want, left)).cast("bigint"))
 
 
-def percentiles(values: DataFrame, column: str) -> DataFrame:
-    """Background distribution and the two decision bounds derived from it, in one row."""
-    p = lambda q: F.round(F.percentile(column, q), 4)
-    return values.agg(F.count(column).alias("n_pairs"), F.round(F.min(column), 4).alias("low"), p(0.5).alias("median"), p(0.9).alias("p90"), p(0.97).alias("adapt_min"), p(0.995).alias("reuse_min"), F.round(F.max(column), 4).alias("high"))
+def percentiles(values: DataFrame, column: str, times: str | None = None) -> DataFrame:
+    """Background distribution and the two decision bounds derived from it, in one row.
+
+    A value counts as often as the column ``times`` says.
+    """
+    p = lambda q: F.round(F.percentile(column, q, F.col(times) if times else 1), 4)
+    n = F.coalesce(F.sum(times), F.lit(0)) if times else F.count(column)
+    return values.agg(n.alias("n_pairs"), F.round(F.min(column), 4).alias("low"), p(0.5).alias("median"), p(0.9).alias("p90"), p(0.97).alias("adapt_min"), p(0.995).alias("reuse_min"), F.round(F.max(column), 4).alias("high"))

@@ -76,13 +76,22 @@ def dense_top(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.dense_top(e, "vec_id", "embedding", e.where("vec_id % 50 = 0"), 10)
 
 
+def _decisions(e: DataFrame, q: DataFrame, bounds: DataFrame) -> DataFrame:
+    conf = retrieval.confidence(retrieval.dense_top(e, "vec_id", "embedding", q, 2), "query_id")
+    return conf.crossJoin(F.broadcast(bounds)).select("query_id", "best_score", "confidence", retrieval.decision(F.col("best_score"), F.col("reuse_min"), F.col("adapt_min")).alias("decision"))  # bounds has one row
+
+
 def dense_decisions(spark: SparkSession, d: str) -> DataFrame:
-    """Best score, margin confidence and decision of each query vector, by the bounds of the background."""
+    """Best score, margin confidence and decision of each query vector, by the bounds of ``background``."""
     e = table(spark, d, "embeddings")
     q = e.where("vec_id % 50 = 0")
-    bounds = retrieval.percentiles(stage(retrieval.dense_top(e, "vec_id", "embedding", q, 1 << 30).select("score"), "background"), "score")
-    conf = retrieval.confidence(retrieval.dense_top(e, "vec_id", "embedding", q, 2), "query_id")
-    return conf.crossJoin(F.broadcast(bounds)).select("query_id", "best_score", "confidence", retrieval.decision(F.col("best_score"), F.col("reuse_min"), F.col("adapt_min")).alias("decision"))  # bounds has one row
+    return _decisions(e, q, retrieval.percentiles(stage(retrieval.dense_top(e, "vec_id", "embedding", q, 1 << 30).select("score"), "background"), "score"))
+
+
+def dense_decisions_all(spark: SparkSession, d: str) -> DataFrame:
+    """The same by the bounds of all pairs, those of ``background_all``."""
+    e = table(spark, d, "embeddings")
+    return _decisions(e, e.where("vec_id % 50 = 0"), background_all(spark, d))
 
 
 def background(spark: SparkSession, d: str) -> DataFrame:
@@ -91,6 +100,11 @@ def background(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.percentiles(retrieval.dense_top(e, "vec_id", "embedding", e.where("vec_id % 50 = 0"), 1 << 30), "score")
 
 
+def background_all(spark: SparkSession, d: str) -> DataFrame:
+    """Distribution of the similarity of all pairs of vectors, and the bounds derived."""
+    return retrieval.percentiles(stage(retrieval.pair_scores(table(spark, d, "embeddings"), "vec_id", "embedding"), "scores"), "score", "n")
+
+
 def _calibration(spark: SparkSession, d: str) -> DataFrame:
     pairs = _once(spark, d, "calibration_pairs", ["pair_id"], ["question", "historical_id", "relation"])
     known = _once(spark, d, "hq_001_030", ["id"], ["question"]).select(F.upper("id").alias("hid"), F.col("question").alias("known"))
@@ -264,7 +278,7 @@ def event_props(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("event_type").agg(F.count("k").alias("n"), F.sum("k").alias("total"), F.max("k").alias("largest"))
 
 
-QUERIES = {f.__name__: f for f in (bm25_top, fused_top, context_packs, search_quality, dense_top, dense_decisions, background, calibration_check, calibration_agreement, proof_matches, proof_matches_all, theme_threads, compliance_matrix, compliance_coverage, compliance_markdown, unplaced_requirements, cited_sources, named_requirements, section_requirements, record_conflicts, latest_records, merged_events, domain_violations, key_violations, dangling_themes, last_signup, request_rate, event_usage, kind_breakdown, automation_rates, running_totals, event_props)}
+QUERIES = {f.__name__: f for f in (bm25_top, fused_top, context_packs, search_quality, dense_top, dense_decisions, dense_decisions_all, background, background_all, calibration_check, calibration_agreement, proof_matches, proof_matches_all, theme_threads, compliance_matrix, compliance_coverage, compliance_markdown, unplaced_requirements, cited_sources, named_requirements, section_requirements, record_conflicts, latest_records, merged_events, domain_violations, key_violations, dangling_themes, last_signup, request_rate, event_usage, kind_breakdown, automation_rates, running_totals, event_props)}
 
 
 def _latest(name: str, keys: str) -> str:
@@ -361,5 +375,8 @@ LEFT JOIN (SELECT upper(trim(source_id)) AS source_id, arg_min(text, id) AS text
     "running_totals": """SELECT o_custkey, o_orderkey, round(sum(o_totalprice) OVER w - o_totalprice, 2) AS start, round(sum(o_totalprice) OVER w, 2) AS "end", round(o_totalprice / sum(o_totalprice) OVER (PARTITION BY o_custkey), 6) AS share FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING)""",
     "event_props": "SELECT event_type, count(k) AS n, sum(k)::BIGINT AS total, max(k) AS largest FROM (SELECT event_type, (props::JSON ->> 'k')::BIGINT AS k FROM events) GROUP BY event_type",
 }
+_ALL_PAIRS = f"(SELECT {_DOT} AS score FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id)"
+SQL["background_all"] = _BOUNDS.replace(_DENSE, _ALL_PAIRS)
+SQL["dense_decisions_all"] = SQL["dense_decisions"].replace(_BOUNDS, SQL["background_all"])
 SQL["proof_matches_all"] = SQL["proof_matches"].replace(" WHERE regexp_extract(id, '(\\d+)\\D*$', 1)::BIGINT % 50 = 0", "")
 SQL["compliance_markdown"] = SQL["compliance_markdown"].replace("p USING (run_id) WHERE FALSE", "p ON p.run_id = r.run_id AND p.requirement_id = r.id").replace("SELECT run_id, '|", "SELECT r.run_id, '|").replace("GROUP BY run_id", "GROUP BY r.run_id")

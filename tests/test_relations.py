@@ -38,6 +38,16 @@ def test_dense_top_matches_brute_force(spark, monkeypatch):
     assert [(r["query_id"], r["id"]) for r in got] == want
 
 
+def test_background_takes_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "PAIR_BLOCK", 7)
+    v = np.random.default_rng(6).normal(size=(60, 5))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id bigint, v array<double>")
+    got = retrieval.percentiles(retrieval.pair_scores(df, "id", "v"), "score", "n").first()
+    s = np.round((v @ v.T)[np.triu_indices(60, 1)], 6)
+    assert got["n_pairs"] == 60 * 59 // 2 == len(s)
+    assert np.allclose([got[c] for c in ("low", "median", "p90", "adapt_min", "reuse_min", "high")], [s.min(), *np.percentile(s, [50, 90, 97, 99.5]), s.max()], atol=6e-5)
+
+
 def test_fusion_quality_and_budget(spark, rows):
     r = lambda *x: spark.createDataFrame([("q", i, k) for k, i in enumerate(x, 1)], "q string, id string, rank int")
     fused = retrieval.fuse([r("a", "b"), r("b", "c")], "q", "id")
