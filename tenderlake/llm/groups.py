@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tenderlake.session import stage
 
-#: Copies of one item beyond this many are paired with the class's first id only.
-COPIES = 1000
+#: Ids of one key that are paired with others in one part.
+PAIR_BLOCK = 1000
 
 
 def connected(links: DataFrame, nodes: DataFrame | None = None, rounds: int = 60) -> DataFrame:
@@ -47,17 +47,35 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
-def pairs_in_groups(members: DataFrame, copies: int = COPIES) -> DataFrame:
+def expand(members: DataFrame, links: DataFrame, key: str) -> DataFrame:
+    """(x, y) for each id x of ``a`` and y of ``b`` of every link; ids of a large key come in blocks.
+
+    ``members`` has id and ``key``, no row twice; ``links`` has a and b, keys that may be equal.
+    """
+    sizes = members.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / PAIR_BLOCK).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part")
+    blocks = stage(members.join(sizes, key).select(key, "id", part).groupBy(key, "part").agg(F.collect_list("id").alias("ids")), "blocks")
+    keys = blocks.select(F.col(key).alias("k"), "part")
+    met = links.join(keys.select(F.col("k").alias("a"), F.col("part").alias("pa")), "a").join(keys.select(F.col("k").alias("b"), F.col("part").alias("pb")), "b")
+    x = blocks.select(F.col(key).alias("a"), F.col("part").alias("pa"), F.col("ids").alias("xs"))
+    y = blocks.select(F.col(key).alias("b"), F.col("part").alias("pb"), F.col("ids").alias("ys"))
+    both = met.join(x, ["a", "pa"]).join(y, ["b", "pb"])
+    return both.select(F.explode("xs").alias("x"), "ys").select("x", F.explode("ys").alias("y"))
+
+
+def pairs_in_groups(members: DataFrame, copies: int | None = None) -> DataFrame:
     """(id_a, id_b), id_a < id_b, of ids in the same group.
 
     ``members`` has id, class (equal items) and grp (linked classes). All pairs of a group come
-    out, except that a class of more than ``copies`` equal items is represented by its least id,
-    with which each of its other ids is paired.
+    out; only if ``copies`` is given, a class of more than so many equal items is represented by
+    its least id, with which each of its other ids is paired.
     """
-    sized = members.join(members.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("rep")), "class")
-    star = sized.where((F.col("n") > copies) & (F.col("id") > F.col("rep"))).select(F.col("rep").alias("id_a"), F.col("id").alias("id_b"))
-    kept = sized.where((F.col("n") <= copies) | (F.col("id") == F.col("rep"))).select("id", "grp")
+    kept, star = members.select("id", "grp"), None
+    if copies is not None:
+        sized = members.join(members.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("rep")), "class")
+        star = sized.where((F.col("n") > copies) & (F.col("id") > F.col("rep"))).select(F.col("rep").alias("id_a"), F.col("id").alias("id_b"))
+        kept = sized.where((F.col("n") <= copies) | (F.col("id") == F.col("rep"))).select("id", "grp")
     busy = kept.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("grp")
     kept = kept.join(busy, "grp")
-    a, b = kept.select("grp", F.col("id").alias("id_a")), kept.select("grp", F.col("id").alias("id_b"))
-    return a.join(b, "grp").where("id_a < id_b").select("id_a", "id_b").unionByName(star).distinct()
+    pairs = expand(kept.distinct(), busy.select(F.col("grp").alias("a"), F.col("grp").alias("b")), "grp").where("x < y").select(F.col("x").alias("id_a"), F.col("y").alias("id_b"))
+    return pairs if star is None else pairs.unionByName(star).distinct()

@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tenderlake.llm.groups import COPIES
+from tenderlake.llm.groups import expand
 from tenderlake.session import stage
 
 THRESHOLD = 0.6
@@ -133,19 +133,21 @@ def similar_records(records: DataFrame, threshold: float = THRESHOLD, trees: int
     return members.select("id", "sid").distinct(), stage(similar_classes(sets, threshold, trees, small), "similar")
 
 
-def similar_pairs(members: DataFrame, links: DataFrame, copies: int = COPIES) -> DataFrame:
+def similar_pairs(members: DataFrame, links: DataFrame, copies: int | None = None) -> DataFrame:
     """(id_a, id_b), id_a < id_b, of different records with equal or similar sets.
 
-    Of a set that more than ``copies`` records have, only the least id is paired with others, and
-    each other id with that one.
+    All pairs; only if ``copies`` is given, of a set that more records have only the least id is
+    paired with others, and each other id with that one.
     """
-    sized = members.join(members.groupBy("sid").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("rep")), "sid")
-    star = sized.where((F.col("n") > copies) & (F.col("id") != F.col("rep"))).select(F.col("rep").alias("x"), F.col("id").alias("y"))
-    kept = stage(sized.where((F.col("n") <= copies) | (F.col("id") == F.col("rep"))), "kept")
-    several = kept.where((F.col("n") > 1) & (F.col("n") <= copies))
-    inside = several.select("sid", F.col("id").alias("x")).join(several.select("sid", F.col("id").alias("y")), "sid").where("x < y").select("x", "y")
-    across = links.join(kept.select(F.col("sid").alias("a"), F.col("id").alias("x")), "a").join(kept.select(F.col("sid").alias("b"), F.col("id").alias("y")), "b").select("x", "y")
-    every = star.unionByName(inside).unionByName(across).where("x <> y")
+    kept, star = members, None
+    if copies is not None:
+        sized = members.join(members.groupBy("sid").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("rep")), "sid")
+        star = sized.where((F.col("n") > copies) & (F.col("id") != F.col("rep"))).select(F.col("rep").alias("x"), F.col("id").alias("y"))
+        kept = sized.where((F.col("n") <= copies) | (F.col("id") == F.col("rep"))).select("id", "sid")
+    several = kept.groupBy("sid").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    inside = several.select(F.col("sid").alias("a"), F.col("sid").alias("b"))
+    every = expand(kept, links.select("a", "b").unionByName(inside), "sid").where("x <> y")
+    every = every if star is None else every.unionByName(star)
     return every.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 

@@ -109,6 +109,15 @@ def test_similar_sets_match_brute_force(spark, small):
     assert counts["c000"] >= 119 and set(counts) == set(ids)
 
 
+def test_many_holders_of_one_set_keep_all_pairs(spark):
+    df = spark.createDataFrame([(f"c{i:04d}", ["a", "b", "c"], 1) for i in range(1050)] + [(f"d{i}", ["a", "b", "c", "d"], 1) for i in range(3)], TAGS)
+    pairs = setjoin.similar_pairs(*setjoin.similar_records(setjoin.tag_sets([(df, "id", "tags")])))
+    assert pairs.count() == pairs.where("id_a < id_b").distinct().count() == 1053 * 1052 // 2
+    members = df.selectExpr("id", "CASE WHEN id LIKE 'c%' THEN 'c0000' ELSE id END AS class", "'c0000' AS grp")
+    pairs = groups.pairs_in_groups(members)
+    assert pairs.count() == pairs.where("id_a < id_b").distinct().count() == 1053 * 1052 // 2
+
+
 def test_sets_that_share_nothing_but_a_hot_core(spark):
     sets = [(i, ["a", "b", "c", f"u{i}"]) for i in range(200)] + [(200 + i, ["a", "b", "c", f"v{i}", f"w{i}"]) for i in range(140)] + [(900, ["a", "b", "c"])]
     got = setjoin.similar_classes(spark.createDataFrame(sets, "sid bigint, tags array<string>")).collect()
