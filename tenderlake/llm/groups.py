@@ -63,19 +63,9 @@ def expand(members: DataFrame, links: DataFrame, key: str) -> DataFrame:
     return both.select(F.explode("xs").alias("x"), "ys").select("x", F.explode("ys").alias("y"))
 
 
-def pairs_in_groups(members: DataFrame, copies: int | None = None) -> DataFrame:
-    """(id_a, id_b), id_a < id_b, of ids in the same group.
-
-    ``members`` has id, class (equal items) and grp (linked classes). All pairs of a group come
-    out; only if ``copies`` is given, a class of more than so many equal items is represented by
-    its least id, with which each of its other ids is paired.
-    """
-    kept, star = members.select("id", "grp"), None
-    if copies is not None:
-        sized = members.join(members.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("rep")), "class")
-        star = sized.where((F.col("n") > copies) & (F.col("id") > F.col("rep"))).select(F.col("rep").alias("id_a"), F.col("id").alias("id_b"))
-        kept = sized.where((F.col("n") <= copies) | (F.col("id") == F.col("rep"))).select("id", "grp")
-    busy = kept.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("grp")
-    kept = kept.join(busy, "grp")
-    pairs = expand(kept.distinct(), busy.select(F.col("grp").alias("a"), F.col("grp").alias("b")), "grp").where("x < y").select(F.col("x").alias("id_a"), F.col("y").alias("id_b"))
-    return pairs if star is None else pairs.unionByName(star).distinct()
+def pairs_in_groups(members: DataFrame) -> DataFrame:
+    """(id_a, id_b), id_a < id_b: all pairs of ids in the same group; ``members`` has id and grp."""
+    busy = members.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("grp")
+    kept = members.select("id", "grp").join(busy, "grp").distinct()
+    pairs = expand(kept, busy.select(F.col("grp").alias("a"), F.col("grp").alias("b")), "grp")
+    return pairs.where("x < y").select(F.col("x").alias("id_a"), F.col("y").alias("id_b"))

@@ -200,4 +200,4 @@ def near_groups(sets: DataFrame, threshold: float = THRESHOLD, **options: int) -
 
 
 def near_pairs(groups: DataFrame) -> DataFrame:
-    return pairs_in_groups(groups.select("id", "class", "grp"))
+    return pairs_in_groups(groups.select("id", "grp"))

@@ -62,7 +62,12 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_links(spark: SparkSession, d: str) -> DataFrame:
-    return setjoin.link_counts(*_similar(spark, d)).select("id", "n_equal", "n_links")
+    return setjoin.link_counts(*_similar(spark, d))
+
+
+def p4_class_links(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of class representatives; ``p4_links`` has the members."""
+    return setjoin.class_links(*_similar(spark, d))
 
 
 def p6_pack(spark: SparkSession, d: str) -> DataFrame:
@@ -107,6 +112,7 @@ QUERIES = {
     "p3_cuts": p3_cuts,
     "p4_found": p4_found,
     "p4_links": p4_links,
+    "p4_class_links": p4_class_links,
     "p6_pack": p6_pack,
     "p6_fill": p6_fill,
     "p7_mix": p7_mix,
@@ -130,4 +136,18 @@ WITH r AS (
 , shared AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS both_have FROM tags a JOIN tags b ON a.tag = b.tag AND a.id < b.id GROUP BY ALL)
 SELECT id_a, id_b FROM shared JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE both_have >= 0.6 * (x.n + y.n - both_have)
 """
-SQL: dict[str, str] = {"p3_found": _TOO_LONG, "p4_found": _TAGS}
+_CLASSES = """
+WITH r AS (
+  SELECT id, tags AS t FROM hq_001_030 UNION ALL SELECT id, covers_tags FROM proof_points
+), clean AS (
+  SELECT DISTINCT id, list_sort(list_distinct(list_filter(list_transform(t, lambda x: replace(replace(lower(trim(x)), ' ', '-'), '_', '-')), lambda x: x IS NOT NULL AND x <> ''))) AS t FROM r
+), m AS (SELECT id, t, min(id) OVER (PARTITION BY t) AS class, count(*) OVER (PARTITION BY t) - 1 AS n_equal FROM clean WHERE len(t) > 0)
+, k AS (SELECT DISTINCT class, t FROM m), tag AS (SELECT class, len(t) AS n, unnest(t) AS tag FROM k)
+, links AS (SELECT a.class AS class_a, b.class AS class_b FROM tag a JOIN tag b ON a.tag = b.tag AND a.class < b.class GROUP BY ALL HAVING count(*) >= 0.6 * (any_value(a.n) + any_value(b.n) - count(*)))
+"""
+SQL: dict[str, str] = {
+    "p3_found": _TOO_LONG,
+    "p4_found": _TAGS,
+    "p4_links": _CLASSES + "SELECT id, class, n_equal, (SELECT count(*) FROM links WHERE class IN (class_a, class_b)) AS n_links FROM m",
+    "p4_class_links": _CLASSES + "SELECT class_a, class_b FROM links",
+}

@@ -1,16 +1,21 @@
 """All similar pairs between set-valued records by chosen-path splitting.
 
-In each of several trees the records are split again and again on tokens chosen at random, the
-same for all records that share a path so far: a record follows a token that it has left with a
-probability of about BRANCH / (tokens left), so that a similar pair meets again in at least one
-branch on average while others part. Nodes with few records are compared by brute force, and what
-is similar there is verified exactly. In larger nodes, pairs that are similar by the path alone
-are kept before the node is split on, as no token may be left to meet by. Tokens of so few records that their node is small from the
-start are compared once, outside the trees, which then choose among the other tokens only.
+In every tree the records of a node are split on tokens chosen at random, the same for all of
+them: a record that needs m more shared tokens for a similar partner follows each token it has
+left with odds 1/m, so that a similar pair stays together in one branch or more on average while
+others part. Small nodes are compared by brute force. In a large node, records that are on
+average about as similar to the node as a pair has to be are compared with the whole node, in
+blocks; the others are split on. As many trees are grown as the wanted recall takes at the depth
+that was reached, and what was found is verified exactly.
+
+Tokens of one record alone join nothing, so only the others are chosen from, and records with too
+few of those have no partner. Of the trees that choose a token at the root, the one with the least
+draw holds every record of the others there: if that node is small, it alone is compared.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -20,14 +25,14 @@ from tenderlake.llm.groups import expand
 from tenderlake.session import stage
 
 THRESHOLD = 0.6
-#: Trees, and records up to which a node is compared by brute force.
-TREES, SMALL = 16, 128
-#: Branches of a record on average at the root, and below it.
-ROOT_BRANCH, BRANCH = 1 / 0.6, 2.0
-#: Tokens of a path at most; nodes that are still larger then are compared whole.
-DEPTH = 8
-#: Records of one path that are paired with the others in one part.
-MET_BLOCK = 1000
+#: Share of the similar pairs to be found at least, and the depth that the first trees are meant for.
+RECALL, DEPTH = 0.999, 3
+#: Records up to which a node is compared by brute force.
+SMALL = 128
+#: Records of a large node that stand for it, and how near to the needed overlap a record's mean with them is hot.
+PIVOTS, HOT = 4, 0.9
+#: Records of a side that are compared in one part of a large node.
+BLOCK = 2000
 SEED = 41
 
 
@@ -46,74 +51,112 @@ def tag_sets(parts: list[tuple[DataFrame, str, str]]) -> DataFrame:
     return reduce(DataFrame.unionByName, rows).where("id IS NOT NULL AND size(tags) > 0").distinct()
 
 
-def _follow(rows: DataFrame, depth: int) -> DataFrame:
-    """One row for each branch that a record takes to nodes of ``depth`` path tokens.
+def survival(depth: int) -> float:
+    """Odds that a pair that has one branch in common on average still meets after ``depth`` splits."""
+    s = 1.0
+    for _ in range(depth):
+        s = 1 - math.exp(-s)
+    return s
 
-    ``left`` are its tokens that are not on the path; the lowest bit of a token says whether it is
-    one to choose.
-    """
-    below = rows.withColumn("token", F.explode(F.filter("left", lambda t: t.bitwiseAND(F.lit(1)) == 1)))
-    path = F.xxhash64("node", "token", F.lit(depth))
-    u = F.shiftrightunsigned(F.xxhash64(path, F.lit(SEED)), 11) / float(1 << 53)
-    chosen = below.where(u < (ROOT_BRANCH if depth == 1 else BRANCH) / F.size("left"))
-    return chosen.select("sid", "n", F.array_remove("left", F.col("token")).alias("left"), path.alias("node"))
 
+def trees_for(recall: float, depth: int) -> int:
+    """Trees in one of which at least a share ``recall`` of the similar pairs meets."""
+    return math.ceil(math.log(1 - recall) / math.log(1 - survival(depth))) if depth else 1
 
-def _brute(leaves: DataFrame, depth: int, threshold: float) -> DataFrame:
-    """Similar pairs of nodes whose records share ``depth`` tokens by their path."""
-    a, b = leaves.alias("a"), leaves.alias("b")
-    na, nb = F.col("a.n"), F.col("b.n")
-    alike = (F.least(na, nb) >= threshold * F.greatest(na, nb) - 1e-9)
-    shared = F.size(F.array_intersect("a.left", "b.left")) + depth
-    near = alike & (shared >= threshold * (na + nb - shared) - 1e-9)
-    return a.join(b, (F.col("a.node") == F.col("b.node")) & (F.col("a.sid") < F.col("b.sid")) & near).select(F.col("a.sid").alias("a"), F.col("b.sid").alias("b"))
 
+def _draw(*parts: Column) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(*parts), 11) / float(1 << 53)
 
-def _met(large: DataFrame, coded: DataFrame, depth: int, threshold: float) -> DataFrame:
-    """Pairs of large nodes that are similar by the tokens of their path alone, whatever else they share.
 
-    A path counts once, in whatever tree and order its tokens were chosen; records of a hot path
-    are paired in blocks.
-    """
-    held = large.where(depth >= threshold * F.col("n") - 1e-9).select("sid", "n", "left").distinct()
-    whole = coded.select("sid", F.col("left").alias("whole"))
-    held = held.join(whole, "sid").select("sid", "n", F.xxhash64(F.array_sort(F.array_except("whole", "left"))).alias("path"))
-    size = held.groupBy("path").agg(F.ceil(F.count(F.lit(1)) / MET_BLOCK).cast("int").alias("parts"))
-    held = stage(held.join(size, "path"), f"met{depth}")
-    a = held.select("path", F.pmod(F.xxhash64("sid"), "parts").cast("int").alias("part"), F.col("sid").alias("a"), F.col("n").alias("na"))
-    b = held.select("path", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("sid").alias("b"), F.col("n").alias("nb"))
-    return a.join(b, ["path", "part"]).where((F.col("a") < F.col("b")) & (depth >= threshold * (F.col("na") + F.col("nb") - depth) - 1e-9)).select("a", "b")
+def _near(depth: int, threshold: float) -> Column:
+    """Are the records a and b, which share ``depth`` tokens by their path, similar?"""
+    enough = threshold / (1 + threshold) * (F.col("a.n") + F.col("b.n")) - 1e-9 - depth
+    possible = F.least(F.size("a.left"), F.size("b.left")) >= enough
+    return possible & (F.size(F.array_intersect("a.left", "b.left")) >= enough)
+
+
+def _brute(nodes: DataFrame, depth: int, threshold: float) -> DataFrame:
+    """Similar pairs of small nodes."""
+    a, b = nodes.alias("a"), nodes.alias("b")
+    return a.join(b, (F.col("a.node") == F.col("b.node")) & (F.col("a.sid") < F.col("b.sid")) & _near(depth, threshold)).select(F.col("a.sid").alias("a"), F.col("b.sid").alias("b"))
+
+
+def _hot_pairs(large: DataFrame, depth: int, threshold: float) -> DataFrame:
+    """Similar pairs of hot records with any records of their node, in blocks of both."""
+    size = large.groupBy("node").agg(F.ceil(F.count_if("hot") / BLOCK).cast("int").alias("nx"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("ny")).where("nx > 0")
+    rows = large.join(size, "node")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    a = rows.where("hot").select("node", F.pmod(F.xxhash64("sid"), "nx").cast("int").alias("i"), every("ny").alias("j"), "sid", "n", "left").alias("a")
+    b = rows.select("node", every("nx").alias("i"), F.pmod(F.xxhash64("sid", F.lit(SEED)), "ny").cast("int").alias("j"), "sid", "n", "left", "hot").alias("b")
+    met = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("node", "i", "j")]
+    once = F.when(F.col("b.hot"), F.col("a.sid") < F.col("b.sid")).otherwise(F.col("a.sid") != F.col("b.sid"))
+    return a.join(b, reduce(Column.__and__, met) & once & _near(depth, threshold)).select(F.least("a.sid", "b.sid").alias("a"), F.greatest("a.sid", "b.sid").alias("b"))
+
+
+def _marked(large: DataFrame, depth: int) -> DataFrame:
+    """Records of large nodes with ``hot``: as similar to the node's pivots as a pair has to be, or with all tokens needed on the path."""
+    pivot = _draw(F.col("sid"), F.col("node")) * F.col("size") < PIVOTS
+    pivots = large.where(pivot).groupBy("node").agg(F.collect_list("left").alias("pivots"))
+    shared = F.aggregate(F.transform("pivots", lambda p: F.size(F.array_intersect("left", p))), F.lit(0), lambda a, s: a + s)
+    mean = depth + F.coalesce(shared / F.size("pivots"), F.lit(0.0))
+    hot = (mean >= HOT * F.col("need")) | (depth >= F.col("need"))
+    return large.join(pivots, "node", "left").select("node", "sid", "n", "need", "left", hot.alias("hot"))
 
 
-def similar_classes(sets: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, small: int = SMALL) -> DataFrame:
+def _follow(rows: DataFrame, depth: int) -> DataFrame:
+    """One row for each branch that a record of a node of ``depth`` path tokens takes."""
+    below = rows.withColumn("token", F.explode("left"))
+    chosen = below.where(_draw(F.col("node"), F.col("token")) * (F.col("need") - depth) < 1)
+    return chosen.select(F.xxhash64("node", "token", F.lit(depth)).alias("node"), "sid", "n", "need", F.array_remove("left", F.col("token")).alias("left"))
+
+
+def _sized(rows: DataFrame, name: str) -> DataFrame:
+    counts = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    return stage(rows.join(counts, "node"), name)
+
+
+def _grow(coded: DataFrame, trees: range, threshold: float, small: int) -> tuple[list[DataFrame], int]:
+    """Pairs that meet in some of ``trees``, and the number of splits it took."""
+    root = lambda tree: _draw(F.col("token"), F.lit(tree), F.lit(SEED))
+    first = coded.withColumn("token", F.explode("left")).withColumn("left", F.array_remove("left", F.col("token")))
+    least = F.least(*[root(t) for t in trees]) if len(trees) > 1 else root(trees[0])
+    rows = _sized(first.where(least * F.col("need") < 1).select(F.col("token").alias("node"), "sid", "n", "need", "left"), "roots")
+    pairs = [_brute(rows.where(F.col("size") <= small), 1, threshold)]
+    large = rows.where(F.col("size") > small).withColumn("token", F.col("node"))
+    chosen = large.withColumn("tree", F.explode(F.filter(F.array(*[F.when(root(t) * F.col("need") < 1, F.lit(t)) for t in trees]), lambda t: t.isNotNull())))
+    rows, depth = chosen.select(F.xxhash64("tree", "token").alias("node"), "sid", "n", "need", "left"), 1
+    while True:
+        rows = _sized(rows, f"nodes{depth}")
+        pairs.append(_brute(rows.where(F.col("size") <= small), depth, threshold))
+        large = rows.where(F.col("size") > small)
+        if large.isEmpty():
+            return pairs, depth
+        marked = stage(_marked(large, depth), f"large{depth}")
+        if not marked.where("hot").isEmpty():
+            pairs.append(_hot_pairs(marked, depth, threshold))
+        rows = _follow(marked.where("NOT hot"), depth)
+        depth += 1
+
+
+def similar_classes(sets: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, small: int = SMALL) -> DataFrame:
     """(a, b), a < b: sids of different sets with at least ``threshold`` Jaccard similarity.
 
-    ``sets`` has sid (bigint) and tags, no set twice. A pair that shares a token of at most
-    ``small`` records is always found; another is missed only if it is parted in all trees.
+    ``sets`` has sid (bigint) and tags, no set twice. A pair is missed only if it is parted in
+    every tree, with odds of 1 - ``recall`` at most.
     """
-    base = sets.select("sid", F.size("tags").alias("n"), F.transform("tags", lambda t: F.xxhash64(t)).alias("left"))
-    long = base.select("sid", F.explode("left").alias("token"))
-    df = long.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    marked = long.join(df, "token").select("sid", "token", (F.col("df") > small).alias("often"))
-    marked = marked.groupBy("sid").agg(F.collect_list(F.when(F.col("often"), F.col("token"))).alias("often"), F.collect_list(F.when(~F.col("often"), F.col("token"))).alias("rare"))
-    bit = lambda t, on: F.shiftleft(F.shiftrightunsigned(t, 1), 1) + on
-    coded = base.join(marked, "sid").select("sid", "n", "often", "rare", F.transform("left", lambda t: bit(t, F.array_contains("often", t).cast("int"))).alias("left"))
+    tokens = F.transform("tags", lambda t: F.xxhash64(t))
+    base = sets.select("sid", F.size("tags").alias("n"), F.ceil(threshold * F.size("tags") - 1e-9).cast("int").alias("need"), tokens.alias("tokens"))
+    # tokens of one record alone, found without a join on the others
+    lone = base.select("sid", F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("sid").alias("sid")).where("df = 1")
+    lone = lone.groupBy("sid").agg(F.collect_list("token").alias("lone"))
+    left = F.when(F.col("lone").isNull(), F.col("tokens")).otherwise(F.array_except("tokens", "lone"))
+    coded = base.join(lone, "sid", "left").select("sid", "n", "need", left.alias("left")).where("size(left) >= need")
     coded = stage(coded, "coded")
-    rare = coded.select("sid", "n", "left", F.explode(F.transform("rare", lambda t: bit(t, 0))).alias("node"))
-    pairs = [_brute(rare.withColumn("left", F.array_remove("left", F.col("node"))), 1, threshold)]
-    roots = F.transform(F.sequence(F.lit(1), F.lit(trees)), lambda t: F.xxhash64(t, F.lit(SEED)))
-    rows = coded.where("size(often) > 0").select("sid", "n", "left", F.explode(roots).alias("node"))
-    for depth in range(1, DEPTH + 1):
-        rows = stage(_follow(rows, depth), f"paths{depth}")
-        counts = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        rows = stage(rows.join(counts, "node"), f"nodes{depth}")
-        large = rows.where(F.col("size") > small)
-        last = depth == DEPTH or not large.limit(1).count()
-        pairs.append(_brute(rows if last else rows.where(F.col("size") <= small), depth, threshold))
-        if last:
-            break
-        pairs.append(_met(large, coded, depth, threshold))
-        rows = large.select("sid", "n", "left", "node")
+    trees = trees_for(recall, DEPTH)
+    pairs, depth = _grow(coded, range(trees), threshold, small)
+    while trees_for(recall, depth) > trees:
+        more, deeper = _grow(coded, range(trees, trees_for(recall, depth)), threshold, small)
+        trees, pairs, depth = trees_for(recall, depth), pairs + more, max(depth, deeper)
     met = reduce(DataFrame.unionByName, pairs).distinct()
     x, y = sets.select(F.col("sid").alias("a"), F.col("tags").alias("ta")), sets.select(F.col("sid").alias("b"), F.col("tags").alias("tb"))
     shared = F.size(F.array_intersect("ta", "tb"))
@@ -121,38 +164,37 @@ def similar_classes(sets: DataFrame, threshold: float = THRESHOLD, trees: int =
 
 
 def classes(records: DataFrame) -> DataFrame:
-    """(id, sid) with a number for each different set; equal sets have the same sid."""
-    named = records.groupBy("tags").agg(F.min("id").alias("first"))
-    return records.join(named.select("tags", F.struct(F.xxhash64("tags"), F.xxhash64(F.lit(SEED), "tags"), F.col("first")).alias("k")), "tags").select("id", F.xxhash64("k").alias("sid"), "tags")
+    """(id, sid, class, tags): equal sets have the same sid (a number) and class (their least id)."""
+    named = records.groupBy("tags").agg(F.min("id").alias("class"))
+    sid = F.xxhash64(F.xxhash64("tags"), F.xxhash64(F.lit(SEED), "tags"), "class")
+    return records.join(named.select("tags", "class", sid.alias("sid")), "tags").select("id", "sid", "class", "tags")
 
 
-def similar_records(records: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
-    """Membership (id, sid) of all records and links (a, b) between the sids of similar sets."""
+def similar_records(records: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
+    """Membership (id, sid, class) of all records and links (a, b) between the sids of similar sets."""
     members = stage(classes(records), "members")
     sets = stage(members.groupBy("sid").agg(F.first("tags").alias("tags")), "sets")
-    return members.select("id", "sid").distinct(), stage(similar_classes(sets, threshold, trees, small), "similar")
+    return members.select("id", "sid", "class").distinct(), stage(similar_classes(sets, threshold, recall, small), "similar")
 
 
-def similar_pairs(members: DataFrame, links: DataFrame, copies: int | None = None) -> DataFrame:
-    """(id_a, id_b), id_a < id_b, of different records with equal or similar sets.
-
-    All pairs; only if ``copies`` is given, of a set that more records have only the least id is
-    paired with others, and each other id with that one.
-    """
-    kept, star = members, None
-    if copies is not None:
-        sized = members.join(members.groupBy("sid").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("rep")), "sid")
-        star = sized.where((F.col("n") > copies) & (F.col("id") != F.col("rep"))).select(F.col("rep").alias("x"), F.col("id").alias("y"))
-        kept = sized.where((F.col("n") <= copies) | (F.col("id") == F.col("rep"))).select("id", "sid")
-    several = kept.groupBy("sid").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+def similar_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(id_a, id_b), id_a < id_b: all pairs of different records with equal or similar sets."""
+    members = members.select("id", "sid")
+    several = members.groupBy("sid").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     inside = several.select(F.col("sid").alias("a"), F.col("sid").alias("b"))
-    every = expand(kept, links.select("a", "b").unionByName(inside), "sid").where("x <> y")
-    every = every if star is None else every.unionByName(star)
+    every = expand(members, links.select("a", "b").unionByName(inside), "sid").where("x <> y")
     return every.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 
 def link_counts(members: DataFrame, links: DataFrame) -> DataFrame:
-    """(id, sid, n_equal, n_links): other records with the same set, and similar sets."""
+    """(id, class, n_equal, n_links): other records with the same set, and similar sets."""
     degree = links.select(F.explode(F.array("a", "b")).alias("sid")).groupBy("sid").agg(F.count(F.lit(1)).alias("n_links"))
     equal = members.groupBy("sid").agg((F.count(F.lit(1)) - 1).alias("n_equal"))
-    return members.join(equal, "sid").join(degree, "sid", "left").select("id", "sid", "n_equal", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return members.join(equal, "sid").join(degree, "sid", "left").select("id", "class", "n_equal", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def class_links(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(class_a, class_b), class_a < class_b: classes with similar sets; with ``link_counts`` every pair can be told."""
+    name = members.groupBy("sid").agg(F.first("class").alias("class"))
+    both = links.join(name.select(F.col("sid").alias("a"), F.col("class").alias("ca")), "a").join(name.select(F.col("sid").alias("b"), F.col("class").alias("cb")), "b")
+    return both.select(F.least("ca", "cb").alias("class_a"), F.greatest("ca", "cb").alias("class_b"))
