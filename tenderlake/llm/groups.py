@@ -9,6 +9,8 @@ from tenderlake.session import stage
 
 #: Ids of one key that are paired with others in one part.
 PAIR_BLOCK = 1000
+#: Rows of a side of one key that are compared in one part.
+COMPARE_BLOCK = 2000
 
 
 def connected(links: DataFrame, nodes: DataFrame | None = None, rounds: int = 60) -> DataFrame:
@@ -47,6 +49,19 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
+def in_blocks(left: DataFrame, right: DataFrame, key: str, by: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides with part numbers i and j: every two rows of an equal ``key`` share exactly one part.
+
+    Rows of a key are spread by the hash of ``by`` over blocks of about COMPARE_BLOCK of each side.
+    """
+    blocks = lambda df, name: df.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / COMPARE_BLOCK).cast("int").alias(name))
+    n = blocks(left, "_nx").join(blocks(right, "_ny"), key)
+    own, every = lambda c: F.pmod(F.xxhash64(by), c).cast("int"), lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    a = left.join(n, key).withColumn("i", own("_nx")).withColumn("j", every("_ny"))
+    b = right.join(n, key).withColumn("i", every("_nx")).withColumn("j", own("_ny"))
+    return a.drop("_nx", "_ny"), b.drop("_nx", "_ny")
+
+
 def expand(members: DataFrame, links: DataFrame, key: str) -> DataFrame:
     """(x, y) for each id x of ``a`` and y of ``b`` of every link; ids of a large key come in blocks.
 

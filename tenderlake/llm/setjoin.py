@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tenderlake.llm.groups import expand
+from tenderlake.llm.groups import expand, in_blocks
 from tenderlake.session import stage
 
 THRESHOLD = 0.6
@@ -31,8 +31,6 @@ RECALL, DEPTH = 0.999, 3
 SMALL = 128
 #: Records of a large node that stand for it, and how near to the needed overlap a record's mean with them is hot.
 PIVOTS, HOT = 4, 0.9
-#: Records of a side that are compared in one part of a large node.
-BLOCK = 2000
 SEED = 41
 
 
@@ -83,11 +81,8 @@ def _brute(nodes: DataFrame, depth: int, threshold: float) -> DataFrame:
 
 def _hot_pairs(large: DataFrame, depth: int, threshold: float) -> DataFrame:
     """Similar pairs of hot records with any records of their node, in blocks of both."""
-    size = large.groupBy("node").agg(F.ceil(F.count_if("hot") / BLOCK).cast("int").alias("nx"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("ny")).where("nx > 0")
-    rows = large.join(size, "node")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    a = rows.where("hot").select("node", F.pmod(F.xxhash64("sid"), "nx").cast("int").alias("i"), every("ny").alias("j"), "sid", "n", "left").alias("a")
-    b = rows.select("node", every("nx").alias("i"), F.pmod(F.xxhash64("sid", F.lit(SEED)), "ny").cast("int").alias("j"), "sid", "n", "left", "hot").alias("b")
+    a, b = in_blocks(large.where("hot"), large, "node", "sid")
+    a, b = a.alias("a"), b.alias("b")
     met = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("node", "i", "j")]
     once = F.when(F.col("b.hot"), F.col("a.sid") < F.col("b.sid")).otherwise(F.col("a.sid") != F.col("b.sid"))
     return a.join(b, reduce(Column.__and__, met) & once & _near(depth, threshold)).select(F.least("a.sid", "b.sid").alias("a"), F.greatest("a.sid", "b.sid").alias("b"))
@@ -110,9 +105,19 @@ def _follow(rows: DataFrame, depth: int) -> DataFrame:
     return chosen.select(F.xxhash64("node", "token", F.lit(depth)).alias("node"), "sid", "n", "need", F.array_remove("left", F.col("token")).alias("left"))
 
 
-def _sized(rows: DataFrame, name: str) -> DataFrame:
-    counts = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    return stage(rows.join(counts, "node"), name)
+def _sized(rows: DataFrame, depth: int, threshold: float, name: str) -> DataFrame:
+    """Rows that may have a partner in their node, with the number of those as ``size``.
+
+    Judged by shape alone: a pair of n tokens and k known ones each shares the lesser k at most.
+    """
+    shaped = rows.withColumn("k", F.size("left") + depth)
+    shapes = shaped.groupBy("node", "n", "k").agg(F.count(F.lit(1)).alias("c")).groupBy("node").agg(F.collect_list(F.struct("n", "k", "c")).alias("shapes"))
+    shapes = shapes.where("size(shapes) > 1 OR shapes[0].c > 1")
+    fits = lambda x, y: (F.least(x["k"], y["k"]) >= threshold / (1 + threshold) * (x["n"] + y["n"]) - 1e-9) & ((x["n"] != y["n"]) | (x["k"] != y["k"]) | (x["c"] > 1))
+    kept = shapes.select("node", F.filter("shapes", lambda x: F.exists("shapes", lambda y: fits(x, y))).alias("kept")).where("size(kept) > 0")
+    kept = kept.select("node", F.aggregate("kept", F.lit(0).cast("bigint"), lambda a, x: a + x["c"]).alias("size"), F.explode("kept").alias("s"))
+    kept = kept.select("node", "size", F.col("s.n").alias("n"), F.col("s.k").alias("k"))
+    return stage(shaped.join(kept, ["node", "n", "k"]).drop("k"), name)
 
 
 def _grow(coded: DataFrame, trees: range, threshold: float, small: int) -> tuple[list[DataFrame], int]:
@@ -120,13 +125,13 @@ def _grow(coded: DataFrame, trees: range, threshold: float, small: int) -> tuple
     root = lambda tree: _draw(F.col("token"), F.lit(tree), F.lit(SEED))
     first = coded.withColumn("token", F.explode("left")).withColumn("left", F.array_remove("left", F.col("token")))
     least = F.least(*[root(t) for t in trees]) if len(trees) > 1 else root(trees[0])
-    rows = _sized(first.where(least * F.col("need") < 1).select(F.col("token").alias("node"), "sid", "n", "need", "left"), "roots")
+    rows = _sized(first.where(least * F.col("need") < 1).select(F.col("token").alias("node"), "sid", "n", "need", "left"), 1, threshold, "roots")
     pairs = [_brute(rows.where(F.col("size") <= small), 1, threshold)]
     large = rows.where(F.col("size") > small).withColumn("token", F.col("node"))
     chosen = large.withColumn("tree", F.explode(F.filter(F.array(*[F.when(root(t) * F.col("need") < 1, F.lit(t)) for t in trees]), lambda t: t.isNotNull())))
     rows, depth = chosen.select(F.xxhash64("tree", "token").alias("node"), "sid", "n", "need", "left"), 1
     while True:
-        rows = _sized(rows, f"nodes{depth}")
+        rows = _sized(rows, depth, threshold, f"nodes{depth}")
         pairs.append(_brute(rows.where(F.col("size") <= small), depth, threshold))
         large = rows.where(F.col("size") > small)
         if large.isEmpty():
