@@ -3,7 +3,9 @@
 Every language has a codeword of bits. For each bit a binary classifier over character n-grams
 (log odds of hashed n-grams, averaged over a text and fitted by logistic regression) says which
 side a text is on. The language whose codeword loses least, each bit weighted by how reliable it
-was in training, is chosen; a near second makes the choice ambiguous.
+was in training, is chosen. Odds follow from the losses, made sharper with the length of a text;
+how much is fitted on held-out passages, cut to various lengths and mixed, so that confidence
+follows accuracy and a near second makes the choice ambiguous.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tenderlake.session import spread
+
 #: Documents of each language that the classifiers are fitted on, at most (in expectation).
 SAMPLE_PER_LANGUAGE = 300
 N_BITS = 15
@@ -27,7 +31,12 @@ ORDERS = (1, 2, 3, 4)
 CACHE = 200_000
 #: A passage differs from its document's main language only if its confidence reaches this.
 SURE = 0.6
-AMBIGUOUS = 0.1
+#: A choice is ambiguous if the second language's odds come so near to the first one's.
+AMBIGUOUS = 0.3
+#: Every so many-th sampled document is held out to calibrate; words of the pieces made of it.
+HELD_OUT, PIECES = 5, (1, 2, 3, 5, 8, 15, 30)
+#: Weight of a piece of mixed words in calibration.
+MIXED_WEIGHT = 0.1
 BLANK_LINES = re.compile(r"\n[^\S\n]*(?:\n[^\S\n]*)+")
 LETTERS = regex.compile(r"[\p{L}\p{M}]+")
 
@@ -45,20 +54,36 @@ def codewords(n: int, bits: int = N_BITS, seed: int = 7) -> np.ndarray:
     return best
 
 
-def token_ngrams(token: str) -> np.ndarray:
-    """Hashed n-grams of the letters of a token, words padded with blanks."""
-    grams = []
-    for word in LETTERS.findall(token.lower()):
-        codes = np.frombuffer(f" {word} ".encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
-        rolling = np.zeros(len(codes), dtype=np.uint64)
-        for order in range(1, max(ORDERS) + 1):
-            if len(codes) < order:
-                break
-            rolling = rolling[: len(codes) - order + 1] * np.uint64(0x9E3779B97F4A7C15) + codes[order - 1 :] + np.uint64(1)
-            if order in ORDERS and not (order == 1 and len(codes) < 3):
-                mixed = (rolling ^ (rolling >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-                grams.append((mixed >> np.uint64(40)) % np.uint64(DIM))
-    return np.concatenate(grams).astype(np.int64) if grams else np.empty(0, dtype=np.int64)
+def ngrams(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed n-grams of the letters of tokens, words padded with blanks, and the token each is of, in order."""
+    found = [LETTERS.findall(t.lower()) for t in tokens]
+    words = [w for ws in found for w in ws]
+    if not words:
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    codes = np.frombuffer("".join(f" {w} " for w in words).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+    word = np.repeat(np.arange(len(words)), [len(w) + 2 for w in words])
+    token = np.repeat(np.arange(len(tokens)), [len(ws) for ws in found])[word]
+    rolling, grams, owner = np.zeros(len(codes), dtype=np.uint64), [], []
+    for order in range(1, max(ORDERS) + 1):
+        rolling = rolling[: len(codes) - order + 1] * np.uint64(0x9E3779B97F4A7C15) + codes[order - 1 :] + np.uint64(1)
+        if order in ORDERS:
+            inside = word[: len(rolling)] == word[order - 1 :]
+            mixed = (rolling ^ (rolling >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            grams.append(((mixed >> np.uint64(40)) % np.uint64(DIM)).astype(np.int64)[inside]), owner.append(token[: len(rolling)][inside])
+    owner_at = np.concatenate(owner)
+    order = np.argsort(owner_at, kind="stable")
+    return np.concatenate(grams)[order], owner_at[order]
+
+
+def gram_sums(tokens: list[str], weights: np.ndarray) -> np.ndarray:
+    """For each token the sum of its n-grams' weights and, last, their number."""
+    grams, owner = ngrams(tokens)
+    out = np.zeros((len(tokens), weights.shape[1] + 1), dtype=np.float32)
+    if len(grams):
+        there, first = np.unique(owner, return_index=True)
+        out[there, :-1] = np.add.reduceat(weights[grams], first, axis=0)
+        out[:, -1] = np.bincount(owner, minlength=len(tokens))
+    return out
 
 
 @dataclass
@@ -69,6 +94,7 @@ class LanguageModel:
     slope: np.ndarray
     offset: np.ndarray
     trust: np.ndarray  # of bits
+    sharp: tuple[float, float] = (0.0, 0.0)  # of odds: logarithm of the factor, and power of the number of n-grams
 
     def losses(self, scores: np.ndarray, counts: np.ndarray) -> np.ndarray:
         margin = scores / np.maximum(counts, 1)[:, None] * self.slope + self.offset
@@ -76,13 +102,24 @@ class LanguageModel:
         return (wrong * self.trust).sum(-1)
 
     def decode(self, scores: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Index of the language and confidence in 0..1 of every text; -1 and 0 without letters."""
+        """Index of the language (-1 without letters) and odds of all languages (0 then) of every text."""
         loss = self.losses(scores, counts)
-        odds = np.exp(-(loss - loss.min(1, keepdims=True)))
+        odds = _odds(loss, counts, *self.sharp)
         best = loss.argmin(1)
-        sure = 1 / odds.sum(1)
-        best[counts == 0], sure[counts == 0] = -1, 0.0
-        return best, sure
+        best[counts == 0], odds[counts == 0] = -1, 0.0
+        return best, odds
+
+
+def _odds(loss: np.ndarray, counts: np.ndarray, factor: float, power: float) -> np.ndarray:
+    z = (loss.min(1, keepdims=True) - loss) * (np.exp(factor) * np.maximum(counts, 1)[:, None] ** power)
+    e = np.exp(z)
+    return e / e.sum(1, keepdims=True)
+
+
+def ambiguous(odds: np.ndarray) -> np.ndarray:
+    """Is the second of a row's odds near to the first?"""
+    top = np.sort(odds, axis=1)
+    return top[:, -1] - (top[:, -2] if odds.shape[1] > 1 else 0.0) < AMBIGUOUS
 
 
 class Scorer:
@@ -98,12 +135,9 @@ class Scorer:
         need = len(self.known) + len(tokens)
         if need > len(self.table):
             self.table = np.concatenate([self.table, np.zeros((max(need, 2 * len(self.table)) - len(self.table), self.table.shape[1]), dtype=np.float32)])
-        for token in tokens:
-            grams = token_ngrams(token)
-            row = self.table[len(self.known)]
-            row[:-1] = self.weights[grams].sum(0)
-            row[-1] = len(grams)
-            self.known[token] = len(self.known)
+        at = len(self.known)
+        self.table[at:need] = gram_sums(tokens, self.weights)
+        self.known.update(zip(tokens, range(at, need)))
 
     def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         tokens = [t.split() for t in texts]
@@ -132,13 +166,17 @@ def fit(sample: list[tuple[str, str]], languages: list[str], rounds: int = 2) ->
     """Fit the bit classifiers on (text, language) rows whose labels may be partly wrong.
 
     After the first fit, passages that the model puts elsewhere are left out and it is fitted anew.
-    A language without rows keeps its codeword and is chosen only by its bits.
+    A language without rows keeps its codeword and is chosen only by its bits. Every HELD_OUT-th row
+    serves to calibrate the odds only.
     """
     at = {lang: i for i, lang in enumerate(languages)}
-    blocks = [(b, at[lang]) for text, lang in sample if text and lang in at for b in passages(text)]
+    rows = [(text, at[lang]) for text, lang in sample if text and lang in at]
+    blocks = [(b, lang) for k, (text, lang) in enumerate(rows) if k % HELD_OUT for b in passages(text)]
     code = codewords(len(languages))
     label = np.array([lang for _, lang in blocks], dtype=np.int64)
-    of = {t: token_ngrams(t) for t in set().union(*(b.split() for b, _ in blocks))} if blocks else {}
+    tokens = sorted(set().union(*(b.split() for b, _ in blocks))) if blocks else []
+    flat, owner = ngrams(tokens)
+    of = dict(zip(tokens, np.split(flat, np.searchsorted(owner, np.arange(1, len(tokens))))))
     grams = [np.concatenate([of[t] for t in b.split()] or [np.empty(0, np.int64)]) for b, _ in blocks]
     use = np.array([len(g) > 0 for g in grams], dtype=bool)
     model = None
@@ -159,9 +197,46 @@ def fit(sample: list[tuple[str, str]], languages: list[str], rounds: int = 2) ->
             counts = np.array([len(g) for g in grams])
             best, _ = model.decode(x * counts[:, None], counts)
             use = (best == label) & (counts > 0)
+    held = [(b, lang) for k, (text, lang) in enumerate(rows) if k % HELD_OUT == 0 for b in passages(text)]
+    model.sharp = _calibrated(model, held)
     return model
 
 
+def _calibrated(model: LanguageModel, held: list[tuple[str, int]], seed: int = 5) -> tuple[float, float]:
+    """Factor and power of the odds that make held-out pieces likeliest.
+
+    Pieces are some words of a passage that the model gives the language of its label, alone or
+    with words of another language; of those each language is right in proportion to its n-grams.
+    """
+    rng = np.random.default_rng(seed)
+    scorer = Scorer(model.weights)
+    best, _ = model.decode(*scorer.score([b for b, _ in held])) if held else (np.empty(0), None)
+    sound = [(b.split(), lang) for (b, lang), k in zip(held, best) if k == lang]
+    if len(sound) < 20:
+        return 0.0, 0.0
+
+    def some(n: int) -> tuple[str, int]:
+        tokens, lang = sound[rng.integers(len(sound))]
+        at = rng.integers(max(1, len(tokens) - n + 1))
+        return " ".join(tokens[at : at + n]), lang
+
+    parts = [[some(n)] for n in PIECES for _ in range(150)]
+    parts += [[some(max(1, round(n * share))), some(max(1, round(n * (1 - share))))] for n in (4, 8, 15, 30, 60) for share in (0.3, 0.5) for _ in range(60)]
+    flat = [p for part in parts for p in part]
+    owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    scores, counts = scorer.score([t for t, _ in flat])
+    whole, size = np.zeros((len(parts), scores.shape[1])), np.zeros(len(parts))
+    np.add.at(whole, owner, scores), np.add.at(size, owner, counts)
+    right = np.zeros((len(parts), len(model.languages)))
+    np.add.at(right, (owner, np.array([lang for _, lang in flat])), counts)
+    whole, size, right = whole[size > 0], size[size > 0], right[size > 0]
+    right /= right.sum(1, keepdims=True)
+    loss = model.losses(whole, size)
+    weight = np.where(right.max(1) < 1, MIXED_WEIGHT, 1.0)
+    missed = lambda f, p: -((right * np.log(_odds(loss, size, f, p) + 1e-9)).sum(1) * weight).sum()
+    return min(((f, p) for f in np.arange(-5, 3.01, 0.25) for p in np.arange(0, 1.01, 0.1)), key=lambda x: missed(*x))
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 300) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Slope and offset of each bit by gradient steps, and its weight: how much better than chance it is."""
     scale = np.maximum(np.abs(x).mean(0), 1e-6)
@@ -196,44 +271,37 @@ def sample_labelled(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) ->
     return [(r["text"], r["code"]) for r in rows]
 
 
-SCHEMA = "doc_id {kind}, seg_no int, lang string, confidence double, ambiguous boolean, n_segments int, mixed boolean"
+SCHEMA = "doc_id {kind}, seg_no int, lang string, confidence double, share double, ambiguous boolean, n_segments int, mixed boolean, label_code string"
+#: Characters whose passages are scored at once.
+AT_ONCE = 2_000_000
 
 
 def _assign(model_of):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model: LanguageModel = model_of.value
-        scorer = Scorer(model.weights)
+        scorer = Scorer(model.weights)  # its memory of tokens lasts for the task
         for batch in batches:
-            ids, owner, blocks = batch["doc_id"].tolist(), [], []
-            out = []
-
-            def flush() -> None:
+            ends = np.cumsum(batch["text"].str.len().to_numpy()) // AT_ONCE
+            for part in np.split(np.arange(len(batch)), np.flatnonzero(np.diff(ends)) + 1):
+                rows = batch.iloc[part]
+                own = [passages(text) for text in rows["text"]]
+                blocks = [b for bs in own for b in bs]
                 if blocks:
-                    out.append(_documents(model, scorer, ids, owner, blocks))
-                    owner.clear(), blocks.clear()
-
-            size = 0
-            for k, text in enumerate(batch["text"]):
-                own = passages(text) if text else []
-                owner.extend([k] * len(own)), blocks.extend(own)
-                size += len(text or "")
-                if size > 2_000_000:
-                    flush()
-                    size = 0
-            flush()
-            if out:
-                yield pd.concat(out, ignore_index=True)
+                    found = _documents(model, scorer, np.repeat(np.arange(len(own)), [len(bs) for bs in own]), blocks)
+                    at = found.pop("row").to_numpy()
+                    yield found.assign(doc_id=rows["doc_id"].to_numpy()[at], label_code=rows["code"].to_numpy(dtype=object)[at])
 
     return run
 
 
-def _documents(model: LanguageModel, scorer: Scorer, ids: list, owner: list[int], blocks: list[str]) -> pd.DataFrame:
+def _documents(model: LanguageModel, scorer: Scorer, owner: np.ndarray, blocks: list[str]) -> pd.DataFrame:
+    """Rows of all documents and of the passages of mixed ones; ``owner`` are the rows that the blocks are of, in order."""
     scores, counts = scorer.score(blocks)
-    best, sure = model.decode(scores, counts)
+    best, odds = model.decode(scores, counts)
+    sure = odds.max(1)
     chars = np.array([len(b) for b in blocks], dtype=np.float64)
-    owner_at = np.array(owner)
-    docs, first = np.unique(owner_at, return_index=True)
-    pos = np.searchsorted(docs, owner_at)
+    docs, first = np.unique(owner, return_index=True)
+    pos = np.searchsorted(docs, owner)
     # text of each document in each language; unsure passages count less
     mass = np.zeros((len(docs), len(model.languages)))
     ok = best >= 0
@@ -248,16 +316,18 @@ def _documents(model: LanguageModel, scorer: Scorer, ids: list, owner: list[int]
     mass[:] = 0
     np.add.at(mass, (pos, lang), chars)
     main = mass.argmax(1)
-    total = np.add.reduceat(scores, first, axis=0)
-    whole_best, whole_sure = model.decode(total, np.add.reduceat(counts, first))
     share = mass.max(1) / np.maximum(mass.sum(1), 1)
-    confidence = np.where(mixed, share, np.where(whole_best == main, whole_sure, 0.5))
-    seg = np.arange(len(owner_at)) - first[pos] + 1
-    names = np.array(model.languages, dtype=object)
-    n_seg = np.bincount(pos)
-    zero = pd.DataFrame({"doc_id": [ids[d] for d in docs], "seg_no": 0, "lang": names[main], "confidence": confidence, "ambiguous": confidence < 0.5 + AMBIGUOUS, "n_segments": n_seg, "mixed": mixed})[has]
+    # an unmixed document is judged whole, a mixed one by its passages of the main language
+    _, whole = model.decode(np.add.reduceat(scores, first, axis=0), np.add.reduceat(counts, first))
+    own = odds[np.arange(len(lang)), lang]
+    inside = np.where(lang == main[pos], chars, 0.0)
+    mean = np.bincount(pos, inside * own) / np.maximum(np.bincount(pos, inside), 1)
+    near = np.bincount(pos, inside * ambiguous(odds)) * 2 > np.bincount(pos, inside)
+    confidence = np.where(mixed, mean, whole[np.arange(len(main)), main])
+    names, n_seg = np.array(model.languages, dtype=object), np.bincount(pos)
+    zero = pd.DataFrame({"row": docs, "seg_no": 0, "lang": names[main], "confidence": confidence, "share": share, "ambiguous": np.where(mixed, near, ambiguous(whole)), "n_segments": n_seg, "mixed": mixed})[has]
     keep = mixed[pos]
-    segs = pd.DataFrame({"doc_id": [ids[d] for d in owner_at[keep]], "seg_no": seg[keep], "lang": names[lang[keep]], "confidence": np.where(best == lang, sure, 1 - sure)[keep], "ambiguous": sure[keep] < 0.5 + AMBIGUOUS, "n_segments": n_seg[pos][keep], "mixed": True})
+    segs = pd.DataFrame({"row": owner[keep], "seg_no": (np.arange(len(owner)) - first[pos] + 1)[keep], "lang": names[lang[keep]], "confidence": own[keep], "share": (chars / np.maximum(np.bincount(pos, chars), 1)[pos])[keep], "ambiguous": ambiguous(odds)[keep], "n_segments": n_seg[pos][keep], "mixed": True})
     return pd.concat([zero, segs], ignore_index=True)
 
 
@@ -266,8 +336,9 @@ def languages(docs: DataFrame, lang_codes: DataFrame, per_language: int = SAMPLE
 
     ``docs`` has doc_id, text, lang; ``lang_codes`` code, code3, name_en (a handful of rows). The
     classifiers are fitted on about ``per_language`` labelled documents of each language; all
-    documents are then classified whole. Returns doc_id, seg_no, lang, confidence (0 to 1),
-    ambiguous, n_segments, mixed, label_code (what the label names, or null). Documents without a
+    documents are then classified whole. Returns doc_id, seg_no, lang, confidence (0 to 1, the odds
+    of the language), share (of the document's text), ambiguous (another language is nearly as
+    likely), n_segments, mixed, label_code (what the label names, or null). Documents without a
     letter give no row; a passage without letters, or unsure of another language, has the main
     language of its document. Repeated doc_ids are classified as often as they occur. Without any
     labelled document nothing can be learned and the result is empty.
@@ -276,29 +347,13 @@ def languages(docs: DataFrame, lang_codes: DataFrame, per_language: int = SAMPLE
     rows = docs.select("doc_id", "text", label_code(F.col("lang"), codes).alias("code") if codes else F.lit(None).cast("string").alias("code"))
     sample = sample_labelled(rows, per_language) if codes else []
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = SCHEMA.format(kind=kind) + ", label_code string"
+    schema = SCHEMA.format(kind=kind)
     spark = docs.sparkSession
     if not sample:
         return spark.createDataFrame([], schema)
     model = spark.sparkContext.broadcast(fit(sample, [c for c, _, _ in codes]))
-    classified = rows.where(F.trim("text") != "").select("doc_id", "text", "code").mapInPandas(_assign_with_label(model), schema)
-    return classified
-
-
-def _assign_with_label(model_of):
-    inner = _assign(model_of)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def keyed(batch: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({"doc_id": range(len(batch)), "text": batch["text"]})
-
-        for batch in batches:
-            ids, codes = batch["doc_id"].to_numpy(), batch["code"].to_numpy(dtype=object)
-            for out in inner([keyed(batch)]):
-                at = out["doc_id"].to_numpy(dtype=np.int64)
-                yield out.assign(doc_id=ids[at], label_code=codes[at])
-
-    return run
+    columns = [f.split()[0] for f in schema.split(", ")]
+    return spread(rows.where(F.trim("text") != "")).select("doc_id", "text", "code").mapInPandas(_assign(model), schema).select(*columns)
 
 
 def found(classified: DataFrame) -> DataFrame:

@@ -48,14 +48,26 @@ def allocate(shares: list[tuple[str, float, int]], sizes: dict[str, int]) -> dic
     return {s: given[s] / sizes[s] if sizes.get(s) else 0.0 for s in share}
 
 
+def rate(bins: list[tuple[float, float]], cap: float, wanted: float) -> float:
+    """Repeats per unit of weight with which (weight, size) bins, none used more than ``cap`` times, come to ``wanted``."""
+    rest, free = wanted, sorted(bins, reverse=True)
+    while free:
+        c = max(rest, 0.0) / sum(w * t for w, t in free)
+        if c * free[0][0] <= cap:
+            return c
+        rest -= cap * free.pop(0)[1]
+    return cap / min((w for w, _ in bins), default=1.0)
+
+
 def mix(sized: DataFrame, targets: DataFrame, key: str, weight: Column | None = None, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """Copies of each record, and the report.
 
     ``sized`` has ``key``, source and n_tokens; ``targets`` has source, target_share and
     max_repeats (a handful of rows; of a source given twice the first by share counts). Sources are
     compared after ``clean_source``; records of no or another source, and records without tokens,
-    take no part. ``weight`` (positive; null counts as 1) makes records of a source more or less
-    likely than others; inclusion odds follow repeats x weight / mean weight.
+    take no part. ``weight`` (null and what is not positive count as 1) makes records of a source
+    more or less likely than others: the repeats wanted of a record are in proportion to it, up to
+    ``max_repeats``, whatever that leaves going to the others of its source.
 
     Returns (key, source, n_tokens, copies) for records used at least once, and for each source
     target_share, max_repeats, n_docs, tokens_available, tokens_used, actual_share, most_copies.
@@ -65,15 +77,19 @@ def mix(sized: DataFrame, targets: DataFrame, key: str, weight: Column | None =
     plan = [(r["source"], float(r["target_share"] or 0), int(r["max_repeats"] or 0)) for r in targets.select(clean_source(F.col("source")).alias("source"), "target_share", "max_repeats").where("source IS NOT NULL").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")).orderBy("source").collect()]
     spark = sized.sparkSession
     names = [s for s, _, _ in plan]
-    w = F.lit(1.0) if weight is None else F.coalesce(weight.cast("double"), F.lit(1.0))
+    w = F.lit(1.0) if weight is None else F.when(weight > 0, weight.cast("double")).otherwise(1.0)
     rows = sized.select(F.col(key).alias("key"), clean_source(F.col("source")).alias("source"), F.col("n_tokens").cast("bigint").alias("n_tokens"), w.alias("w")).where(F.col("source").isin(names) & (F.col("n_tokens") > 0))
-    totals = {r["source"]: r for r in rows.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.sum(F.col("w") * F.col("n_tokens")).alias("wt")).collect()}
-    times = allocate(plan, {s: r["t"] for s, r in totals.items()})
+    # sizes by source and eighth of an octave of the weight
+    octave = F.floor(F.log2("w") * 8).alias("octave")
+    by_weight = rows.groupBy("source", octave).agg(F.sum("n_tokens").alias("t"), F.sum(F.col("w") * F.col("n_tokens")).alias("wt")).collect()
+    bins = {s: [(r["wt"] / r["t"], float(r["t"])) for r in by_weight if r["source"] == s] for s in names}
+    totals = {s: sum(int(r["t"]) for r in by_weight if r["source"] == s) for s in names}
+    times = allocate(plan, totals)
     caps = {s: reps for s, _, reps in plan}
     #: One row for each source of ``targets``.
-    per_source = spark.createDataFrame([(s, times[s], float(caps[s]), float(totals[s]["t"]) / max(float(totals[s]["wt"]), 1e-12) if s in totals else 1.0) for s in names], "source string, times double, cap double, scale double")
+    per_source = spark.createDataFrame([(s, times[s], float(caps[s]), float(rate(bins[s], caps[s], times[s] * totals[s]))) for s in names], "source string, times double, cap double, scale double")
     # repeats of a record: certain whole copies and the odds of one more
-    want = F.least(F.col("times") * F.col("w") * F.col("scale"), F.col("cap"))
+    want = F.least(F.col("w") * F.col("scale"), F.col("cap"))
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "key"), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
     ranked = (
         rows.join(F.broadcast(per_source), "source")
@@ -101,7 +117,7 @@ def mix(sized: DataFrame, targets: DataFrame, key: str, weight: Column | None =
     mixed = rest.select(*cols).unionByName(edge.select(*cols)).where("copies > 0")
     mixed = stage(mixed, "mix")
     used = mixed.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens_used"), F.max("copies").alias("most_copies"))
-    have = spark.createDataFrame([(s, t, r, int(totals[s]["t"]) if s in totals else 0) for s, t, r in plan], "source string, target_share double, max_repeats int, tokens_available bigint")
+    have = spark.createDataFrame([(s, t, r, totals[s]) for s, t, r in plan], "source string, target_share double, max_repeats int, tokens_available bigint")
     docs = mixed.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"))
     report = have.join(F.broadcast(used), "source", "left").join(F.broadcast(docs), "source", "left")
     all_used = F.sum("tokens_used").over(Window.partitionBy())

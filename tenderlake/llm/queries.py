@@ -83,7 +83,7 @@ def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     docs, targets = table(spark, d, "documents"), table(spark, d, "mix_targets")
     wanted = docs.join(F.broadcast(targets.select(mixing.clean_source(F.col("source")).alias("s")).distinct()), mixing.clean_source(F.col("source")) == F.col("s"), "left_semi")
     sized = stage(wanted.select("doc_id", "source", tokens.n_tokens(F.col("text")).alias("n_tokens")), "sizes")
-    return mixing.mix(sized, targets, "doc_id")
+    return mixing.mix(sized, targets, "doc_id", weight=F.sqrt("n_tokens"))  # long documents are likelier
 
 
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:

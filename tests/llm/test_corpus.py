@@ -72,17 +72,32 @@ def test_mix_meets_shares(spark):
 
 
 def test_mix_weights_and_empty(spark):
-    _, mix, report = mixed(spark, weight=F.when(F.col("doc") % 2 == 0, 3.0).when(F.col("doc") % 3 == 0, None).otherwise(0.5))
-    m = mix.where("source = 'big'").toPandas()
-    assert (m["doc"] % 2 == 0).mean() > 0.7
+    weight = F.when(F.col("doc") % 4 == 0, 3.0).when(F.col("doc") % 4 == 1, None).when(F.col("doc") % 4 == 2, 0.5).otherwise(-1.0)
+    df, mix, report = mixed(spark, weight=weight)
     r = {x["source"]: x for x in report.collect()}
-    assert abs(r["mid_size"]["tokens_used"] / r["big"]["tokens_used"] - 2.5) < 0.4
+    assert abs(r["mid_size"]["tokens_used"] / r["big"]["tokens_used"] - 2.5) < 0.02
+    assert all(x["most_copies"] <= x["max_repeats"] for x in r.values())
+    # repeats of a record are in proportion to its weight, but for the most there may be
+    copies = mix.toPandas().set_index("doc")["copies"]
+    docs = df.toPandas()
+    docs["copies"], docs["w"] = docs["doc"].map(copies).fillna(0), docs["doc"].map(lambda i: (3.0, 1.0, 0.5, 1.0)[i % 4])
+    for source, most in (("big", 2), ("mid-size", 5)):
+        mean = docs[docs["source"].str.strip().str.lower() == source].groupby("w")["copies"].mean()
+        assert mean[1.0] == pytest.approx(2 * mean[0.5], rel=0.12) and mean[3.0] == pytest.approx(min(most, 3 * mean[1.0]), rel=0.12)
     empty = spark.createDataFrame([], "doc bigint, source string, n_tokens int")
     targets = spark.createDataFrame([("a", 1.0, 2)], "source string, target_share double, max_repeats int")
     mix, report = mixing.mix(empty, targets, "doc")
     assert mix.count() == 0 and report.first()["tokens_used"] == 0
 
 
+def test_rate_meets_the_size():
+    bins = [(0.5, 100.0), (1.0, 50.0), (4.0, 30.0)]
+    for cap, wanted in ((2, 40.0), (2, 200.0), (1, 170.0)):
+        c = mixing.rate(bins, cap, wanted)
+        assert sum(min(c * w, cap) * t for w, t in bins) == pytest.approx(wanted)
+    assert mixing.rate(bins, 1, 500.0) * 0.5 >= 1 and mixing.rate([], 3, 0.0) == 3
+
+
 def test_allocation():
     got = mixing.allocate([("a", 0.5, 1), ("b", 0.5, 10)], {"a": 100, "b": 300})
     assert got == {"a": 1.0, "b": 1.0}
@@ -160,25 +175,52 @@ def test_languages_labels_and_passages(spark, rows):
     df, codes = spark.createDataFrame(data, DOC), spark.createDataFrame(CODES, "code string, code3 string, name_en string")
     got = language.languages(df, codes).cache()
     assert rows(language.found(got)) == sorted([(1001, 0, "de"), (1004, 0, "en"), (1005, 0, "en"), (1006, 1, "en"), (1006, 2, "en"), (1006, 3, "fr")], key=str)
-    conf = got.agg(F.min("confidence"), F.max("confidence")).first()
-    assert 0 <= conf[0] <= conf[1] <= 1
+    conf = got.agg(F.min("confidence"), F.max("confidence"), F.min("share"), F.max("share")).first()
+    assert 0 <= conf[0] <= conf[1] <= 1 and 0 < conf[2] <= conf[3] == 1
     assert language.languages(df.limit(0), codes).count() == 0
     assert language.languages(df, codes.limit(0)).count() == 0
 
 
-def test_held_out_accuracy(spark):
+@pytest.fixture(scope="module")
+def held_out(spark):
+    """A model of the odd documents of a table, and passages of the even ones that it and their labels agree on."""
     folder = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     codes = [(r[0], r[1], r[2]) for r in spark.read.parquet(f"{folder}/lang_codes.parquet").collect()]
     known = docs.where("text IS NOT NULL").select("doc_id", "text", language.label_code(F.col("lang"), codes).alias("code")).where("code IS NOT NULL").collect()
     train, test = [r for r in known if r["doc_id"] % 2], [r for r in known if not r["doc_id"] % 2]
     model = language.fit([(r["text"], r["code"]) for r in train], sorted(c for c, _, _ in codes))
-    scorer = language.Scorer(model.weights)
+    return model, language.Scorer(model.weights), test
+
+
+def test_held_out_accuracy(held_out):
+    model, scorer, test = held_out
     best, _ = model.decode(*scorer.score([r["text"] for r in test]))
     right = np.mean([model.languages[b] == r["code"] for b, r in zip(best, test)])
     assert right > 0.85  # some labels are wrong themselves
 
 
+def test_confidence_follows_accuracy(held_out):
+    model, scorer, test = held_out
+    rng = random.Random(9)
+    blocks = [(b.split(), model.languages.index(r["code"])) for r in test for b in language.passages(r["text"])]
+    best, _ = model.decode(*scorer.score([" ".join(b) for b, _ in blocks]))
+    sound = [x for x, k in zip(blocks, best) if x[1] == k]
+    said, sure = [], []
+    for n in (1, 2, 4, 12, 40):
+        pieces = [(tokens[at : at + n], lang) for tokens, lang in rng.choices(sound, k=400) for at in [rng.randrange(max(1, len(tokens) - n + 1))]]
+        best, odds = model.decode(*scorer.score([" ".join(p) for p, _ in pieces]))
+        said.append(np.mean([b == lang for b, (_, lang) in zip(best, pieces)]))
+        sure.append(odds.max(1).mean())
+    assert all(abs(a - b) < 0.1 for a, b in zip(said, sure))  # single words are often wrong, and known to be
+    assert said[0] < 0.95 < said[-1] and sure[0] < 0.95 < sure[-1]
+    # half the words of one language, half of another
+    halves = [(x, y) for x, y in zip(rng.choices(sound, k=300), rng.choices(sound, k=300)) if x[1] != y[1]]
+    _, mixed = model.decode(*scorer.score([" ".join(x[0][:10] + y[0][:10]) for x, y in halves]))
+    _, plain = model.decode(*scorer.score([" ".join(x[0][:20]) for x, _ in halves]))
+    assert language.ambiguous(mixed).mean() > 0.05 > language.ambiguous(plain).mean() and mixed.max(1).mean() < plain.max(1).mean() - 0.1
+
+
 def test_codewords_differ():
     code = language.codewords(8)
     far = (code[:, None, :] != code[None, :, :]).sum(-1)[np.triu_indices(8, 1)]
