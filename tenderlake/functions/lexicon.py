@@ -51,6 +51,10 @@ MEASURABLE = {
     "person-days": r"(?i)\b(-?\d[\d,]*(?:\.\d+)?)\s*person[- ]days?\b",
     "year": r"\b(20\d{2})\b",
 }
+TRACKED = {  # pattern and number of its groups
+    "peak FTE": (r"(?i)peak(?:\s+\w+){0,3}?\s+of\s+\*{0,2}(-?\d[\d,]*(?:\.\d+)?)\*{0,2}\s*FTE|peak\s+strength\s+of\s+\*{0,2}(-?\d[\d,]*(?:\.\d+)?)\*{0,2}\s*FTE|\*{0,2}(-?\d[\d,]*(?:\.\d+)?)\*{0,2}\s*FTEs?\s+(?:at\s+)?peak", 3),
+    "programme duration in months": (r"(?i)(?:completed|delivered|runs?|lasts?|duration|span)\D{0,40}?(-?\d[\d,]*(?:\.\d+)?)\s*months", 1),
+}
 DURATION_MONTHS = r"(?i)(?:completed|delivered|runs?|lasts?|duration|span)\D{0,40}?(-?\d[\d,]*(?:\.\d+)?)\s*months"
 RISKS = [
     ("unqualified guarantee", "BLOCKER", r"(?i)\b(?:we\s+)?guarantee\w*\b(?![^.]{0,40}\bsubject to\b)"),
@@ -78,3 +82,23 @@ CONSTRAINT = r"\b(budget|ceiling|not to exceed|cap(?:ped)?|deadline|by \d{1,2} \
 ROLE = r"\b(chief \w+ officer|CIO|CTO|CFO|CEO|COO|CISO|head of [\w ]{3,30}|group head|programme director|project director|procurement (?:head|manager|team)|evaluation committee|expert review committee|steering committee|board)\b"
 RULE_CAP, ROLE_CAP = 25, 12
 LIBRARY_STRENGTH = {"STRONG": 2, "MEDIUM": 1, "MODERATE": 1, "WEAK": 0}
+SELLER_SIDE = r"\b(we are|we're|our company is|c4 is|industry[- ]leading|world[- ]class|best[- ]in[- ]class|market leader|leading provider|award[- ]winning|trusted partner|we offer|we provide)\b"
+MIN_THREADS, MAX_SUPPORTING = 2, 4
+COMPLIANCE_SIGNALS = r"prescribed (?:format|template|structure)|in the order|follow the structure|mirror|questionnaire|respond to each|answer each|section by section|annexure [a-z]|prescribed excel|required formats?"
+NARRATIVE_SPINE = [
+    ("Executive summary", 500, []),
+    ("Our understanding of your situation", 600, ["objective", "background", "current state", "challenge", "problem", "context"]),
+    ("Recommended approach", 900, ["platform", "system", "implement", "integrate", "solution", "architecture", "migration", "ai", "ml", "analytics", "dashboard", "chatbot", "mobile", "api", "automation"]),
+    ("Delivery plan and timeline", 500, ["timeline", "milestone", "schedule", "roadmap", "phase", "implementation plan", "deadline"]),
+    ("Team and resourcing", 400, ["team", "resource", "cv", "staff", "expertise", "support", "24x7", "dedicated"]),
+    ("Governance and assurance", 450, ["governance", "sla", "penalt", "report", "review", "escalation", "monitoring", "audit trail"]),
+    ("Security, data protection and compliance", 500, ["security", "compliance", "rbi", "gdpr", "dpdp", "data protection", "privacy", "rbac", "penetration", "escrow", "availability", "uptime"]),
+    ("Evidence and references", 400, ["reference", "case study", "client", "testimonial", "credential"]),
+    ("Commercials", 400, ["cost", "price", "pricing", "financial", "commercial", "fee", "budget", "discount"]),
+    ("Assumptions, risks and exclusions", 450, ["assumption", "risk", "exclusion", "out of scope", "dependency"]),
+    ("Submission compliance", 250, []),
+    ("Additional requirements", 400, []),
+]
+FORM_AFFINITY = {"GANTT": "Delivery plan and timeline", "COSTING": "Commercials", "CHART": "Recommended approach", "MATRIX": "Governance and assurance", "TABLE": "Team and resourcing", "APPENDIX": "Submission compliance"}
+MATCH_SIMILARITY, MATCH_CONTAINMENT = 0.45, 0.75
+RETRIEVAL_QUERY_CHARS, PARAPHRASE_CHARS = 900, 400

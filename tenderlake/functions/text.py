@@ -137,3 +137,21 @@ def within(ids: Column, allowed: Column) -> Column:
 def cache_key(*parts: Column) -> Column:
     """SHA-256 of the parts, each ended by a NUL."""
     return F.sha2(F.concat(*[F.concat(F.coalesce(p, F.lit("")), F.lit(_DOT)) for p in parts]), 256)
+
+
+def token_budget(words: Column) -> Column:
+    """Tokens to allow for a text of so many words."""
+    return F.greatest(F.lit(400), F.least(F.lit(2200), F.floor(words * 2.8))).cast("int")
+
+
+def clean_reply(reply: Column, heading: Column) -> Column:
+    """A drafted section without code fences and what stands before its first heading of level 2; ``heading`` is put first if there is none."""
+    bare = strip(F.regexp_replace(strip(reply), r"(?s)\A```(?:markdown|md)?\s*|\s*```\z", ""))
+    at = F.regexp_extract(bare, r"(?s)(?:\A|\n)(## .*)\z", 1)
+    return F.when(at != "", at).otherwise(F.concat(F.lit("## "), heading, F.lit("\n\n"), bare))
+
+
+def capped_sources(ids: Column, kind: Column) -> Column:
+    """The sources that a sentence of some kind may name: one if it is reused or adapted, four if put together, else none."""
+    most = F.when(kind.isin("REUSED", "ADAPTED"), 1).when(kind == "SYNTHESIZED", 4).otherwise(0)
+    return F.slice(ids, F.lit(1), most)

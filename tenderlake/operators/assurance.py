@@ -14,8 +14,27 @@ from tenderlake.operators.integrity import clean_ref
 
 def facts(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
     """(keys, kind, value): every measurable figure, with repeats."""
-    parts = [docs.select(*keys, F.lit(kind).alias("kind"), F.explode(F.regexp_extract_all(text, F.lit(p), F.lit(1))).alias("raw")) for kind, p in lex.MEASURABLE.items()]
-    return reduce(DataFrame.unionByName, parts).select(*keys, "kind", T.parse_number(F.col("raw")).alias("value"))
+    found = F.array(*[F.struct(F.lit(kind).alias("kind"), F.regexp_extract_all(text, F.lit(p), F.lit(1)).alias("raws")) for kind, p in lex.MEASURABLE.items()])
+    each = docs.where(F.col(text).isNotNull()).select(*keys, F.explode(found).alias("f")).select(*keys, "f.kind", F.explode("f.raws").alias("raw"))
+    return each.select(*keys, "kind", T.parse_number(F.col("raw")).alias("value"))
+
+
+def tracked(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """(keys, kind, value): quantities that a document may state only one value of."""
+
+    def found(pattern: str, groups: int):
+        each = [F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in range(1, groups + 1)]
+        return each[0] if groups == 1 else reduce(lambda a, b: F.zip_with(a, b, lambda x, y: F.coalesce(F.nullif(x, F.lit("")), y)), each)
+
+    kinds = F.array(*[F.struct(F.lit(kind).alias("kind"), found(p, n).alias("raws")) for kind, (p, n) in lex.TRACKED.items()])
+    each = docs.where(F.col(text).isNotNull()).select(*keys, F.explode(kinds).alias("f")).select(*keys, "f.kind", F.explode("f.raws").alias("raw"))
+    return each.select(*keys, "kind", T.parse_number(F.col("raw")).alias("value")).where("value IS NOT NULL")
+
+
+def tracked_conflicts(docs: DataFrame, scope: list[str], part: str, text: str) -> DataFrame:
+    """(scope, kind, n_values, all_values, parts): tracked quantities that the parts of one scope state differently."""
+    values = tracked(docs, [*scope, part], text).groupBy(*scope, "kind").agg(F.array_sort(F.collect_set("value")).alias("all_values"), F.array_sort(F.collect_set(part)).alias("parts"))
+    return values.where("size(all_values) > 1").select(*scope, "kind", F.size("all_values").alias("n_values"), "all_values", "parts")
 
 
 def conflicts(values: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -81,8 +100,26 @@ def durations(docs: DataFrame, cells: DataFrame, doc: list[str], keys: list[str]
 
 def risks(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
     """(keys, label, severity, phrase): risky wording, each phrase once for each label."""
-    parts = [docs.select(*keys, F.lit(label).alias("label"), F.lit(severity).alias("severity"), F.explode(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(0)), F.lower))).alias("phrase")) for label, severity, p in lex.RISKS]
-    return reduce(DataFrame.unionByName, parts).distinct()
+    found = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(severity).alias("severity"), F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(0)), F.lower)).alias("phrases")) for label, severity, p in lex.RISKS])
+    each = docs.where(F.col(text).isNotNull()).select(*keys, F.explode(F.filter(found, lambda f: F.size(f["phrases"]) > 0)).alias("f"))
+    return each.select(*keys, "f.label", "f.severity", F.explode("f.phrases").alias("phrase")).distinct()
+
+
+def failures(contradictions: DataFrame, risks: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, reason): the first problem of each part that a new draft could mend.
+
+    ``contradictions`` has the keys, kind and detail, ``risks`` what ``risks`` gives;
+    contradictions come before risky wording, of which only blockers count.
+    """
+    a = contradictions.select(*keys, F.lit(0).alias("src"), F.concat_ws(": ", "kind", "detail").alias("reason"))
+    b = risks.where("severity = 'BLOCKER'").select(*keys, F.lit(1).alias("src"), F.concat(F.lit("risk language: "), "label", F.lit(" "), "phrase").alias("reason"))
+    return a.unionByName(b).groupBy(*keys).agg(F.min(F.struct("src", "reason")).alias("f")).select(*keys, F.col("f.reason").alias("reason"))
+
+
+def grounded_rate(verdicts: DataFrame, scope: list[str], ungrounded: str) -> DataFrame:
+    """(scope, rate): per cent of the checkable sentences that are not ``ungrounded``."""
+    bad = F.count_if(F.coalesce(F.col(ungrounded), F.lit(False)))
+    return verdicts.groupBy(*scope).agg(F.round(100 * (1 - bad / F.count(F.lit(1))), 1).alias("rate"))
 
 
 def voice_drift(docs: DataFrame, scope: list[str], key: str, text: str, sigma: float = lex.VOICE_SIGMA) -> DataFrame:
@@ -99,6 +136,16 @@ def grounding_batches(sentences: DataFrame, scope: list[str], order: list[str],
     return sentences.where(T.checkable(F.col("sentence"))).withColumn("batch_no", F.floor((no - 1) / size))
 
 
+def with_sources(batches: DataFrame, citations: DataFrame, keys: list[str], ids: str, chunks: DataFrame) -> DataFrame:
+    """(keys, batch_no, sentences, sources): each batch of sentences with the texts its part cites, in order.
+
+    ``batches`` comes from ``grounding_batches`` (keys, ix, sentence, batch_no).
+    """
+    said = batches.groupBy(*keys, "batch_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("ix", "sentence"))), lambda x: x["sentence"]).alias("sentences"))
+    cited = cited_texts(citations, keys, ids, chunks).where("text <> ''").groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]).alias("sources"))
+    return said.join(cited, keys, "left").select(*keys, "batch_no", "sentences", F.coalesce("sources", F.array().cast("array<string>")).alias("sources"))
+
+
 def completeness(sentences: DataFrame, records: DataFrame, keys: list[str]) -> DataFrame:
     """Parts whose provenance records do not cover their claims one by one.
 

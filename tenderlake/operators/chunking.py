@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,3 +97,18 @@ def proof_chunks(proofs: DataFrame) -> DataFrame:
     source = F.when(F.col("verifiable_source") != "", F.concat(F.lit("Source: "), "verifiable_source"))
     text = F.concat_ws("\n\n", F.concat(F.lit("Claim: "), F.coalesce("claim", F.lit(""))), F.concat(F.lit("Evidence: "), F.coalesce("evidence", F.lit(""))), source)
     return proofs.select("id", F.col("id").alias("source_id"), F.lit("PROOF_POINT").alias("kind"), text.alias("text"), F.left("claim", F.lit(120)).alias("title"), F.col("covers_tags").alias("tags"), F.create_map(F.lit("type"), F.coalesce("type", F.lit("")), F.lit("strength"), F.coalesce("strength", F.lit(""))).alias("metadata"))
+
+
+def template_chunks(files: DataFrame) -> DataFrame:
+    """One chunk of each template file (stem, text) that is not blank; ids are ``TMPL-`` and the stem without ``tmpl_``."""
+    text = T.strip(F.coalesce("text", F.lit("")))
+    name = F.concat(F.lit("TMPL-"), F.replace("stem", F.lit("tmpl_"), F.lit("")))
+    head = F.nullif(T.strip(F.regexp_extract("text", r"(?m)^#[ \t]+(.*)$", 1)), F.lit(""))
+    return files.where(text != "").select(name.alias("id"), name.alias("source_id"), F.lit("TEMPLATE").alias("kind"), text.alias("text"), F.coalesce(head, "stem").alias("title"))
+
+
+def corpus(parts: list[DataFrame]) -> DataFrame:
+    """(id, source_id, kind, text, title, n_same) of all chunks; n_same counts those with the same id, which should be one."""
+    every = reduce(DataFrame.unionByName, [p.select("id", "source_id", "kind", "text", "title") for p in parts])
+    counts = every.groupBy("id").agg(F.count(F.lit(1)).alias("n_same"))
+    return every.join(counts, "id")

@@ -12,8 +12,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Copies of each kept group; references to one key spread over as many tasks.
-SALTS = 8
+from tenderlake.session import stage
+
+#: References to one key that are looked at in one task, at least; keys with more than this, or than a
+#: thousandth of all references, are spread. So there are at most a thousand of them.
+HOT_REFERENCES, HOT_KEYS = 100_000, 1000
 REFERENCE_COLUMNS = ["tbl", "run_id", "rec_id", "target", "scope", "ref_id", "loaded_at"]
 TARGET_COLUMNS = ["target", "scope", "ref_id", "loaded_at"]
 REMOVAL_COLUMNS = ["target", "scope", "ref_id", "removed_at"]
@@ -76,7 +79,7 @@ def orphan_references(refs: DataFrame, targets: DataFrame, removals: DataFrame)
     other columns are ignored. Returns tbl, run_id, rec_id, ref_id, period (``yyyy-MM``), no row
     twice. Null or blank references carry nothing; a target without a load time never existed;
     a reference without one is judged by existence and removal alone and has a null period.
-    Empty tables are fine. A key that holds much of all references is spread over SALTS tasks.
+    Empty tables are fine. A key that holds much of all references is spread over several tasks.
     """
     refs = refs.select(*REFERENCE_COLUMNS).where("ref_id IS NOT NULL AND ref_id <> ''").withColumn("scope", F.coalesce("scope", F.lit("")))
     none = F.lit(None).cast("timestamp")
@@ -88,8 +91,13 @@ def orphan_references(refs: DataFrame, targets: DataFrame, removals: DataFrame)
     key = ["target", "scope", "ref_id"]
     groups = long.groupBy(*key).agg(F.min("there").alias("there"), F.min("gone").alias("gone"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"))
     lacking = groups.where((F.col("n") > 0) & (F.col("there").isNull() | F.col("gone").isNotNull() | (F.col("low") < F.col("there"))))
-    lacking = lacking.select(*key, "there", "gone", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = refs.withColumn("salt", F.pmod(F.xxhash64("tbl", "run_id", "rec_id"), F.lit(SALTS)).cast("int"))
+    lacking = stage(lacking.select(*key, "there", "gone", "n"), "lacking")
+    total = lacking.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    limit = max(HOT_REFERENCES, total // HOT_KEYS)
+    hot = lacking.where(F.col("n") > limit).select(*key, F.ceil(F.col("n") / limit).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("tbl", "run_id", "rec_id"), F.coalesce("parts", F.lit(1))).cast("int")
+    salted = refs.join(F.broadcast(hot), key, "left").withColumn("salt", part).drop("parts")  # at most HOT_KEYS rows
+    lacking = lacking.withColumn("salt", F.explode(F.sequence(F.lit(0), F.ceil(F.greatest(F.col("n") / limit, F.lit(1))).cast("int") - 1))).drop("n")
     orphan = F.col("there").isNull() | F.coalesce(F.col("there") > F.col("loaded_at"), F.lit(False)) | F.coalesce(F.col("gone") <= F.col("loaded_at"), F.lit(False)) | (F.col("loaded_at").isNull() & F.col("gone").isNotNull())
     found = salted.join(lacking, [*key, "salt"]).where(orphan)
     return found.select("tbl", F.coalesce("run_id", F.lit("")).alias("run_id"), "rec_id", "ref_id", F.date_format("loaded_at", "yyyy-MM").alias("period")).distinct()

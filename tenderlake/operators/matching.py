@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tenderlake.functions import lexicon as lex
@@ -94,6 +94,87 @@ def theme_threads(themes: DataFrame, requirements: DataFrame, scope: list[str],
     return t.select(*scope, "theme_id", F.size("w").alias("n_words")).join(n, [*scope, "theme_id"], "left").na.fill(0, ["n_threads"])
 
 
+def _first_in_block(top: int, floor: float):
+    """For each word set of themes the first ``top`` proofs of one block that have enough of its words."""
+
+    def run(themes: pd.DataFrame, proofs: pd.DataFrame) -> pd.DataFrame:
+        proofs = proofs.sort_values("proof_id", na_position="first", kind="stable")
+        ids, sizes = proofs["proof_id"].to_numpy(), proofs["words"].map(len).to_numpy()
+        found = []
+        if len(themes) and sizes.sum():
+            at, word = np.repeat(np.arange(len(ids)), sizes), np.concatenate(list(proofs["words"]))
+            order = np.argsort(word, kind="stable")
+            at, word = at[order], word[order]
+            for cid, h in zip(themes["cid"], themes["words"]):
+                low, high = np.searchsorted(word, h, "left"), np.searchsorted(word, h, "right")
+                rows = np.concatenate([at[a:b] for a, b in zip(low, high)])
+                pick = np.flatnonzero(np.bincount(rows, minlength=len(ids)) / len(h) >= floor)[:top] if len(rows) else []
+                found += [(cid, ids[k]) for k in pick]
+        return pd.DataFrame(found, columns=["cid", "proof_id"])
+
+    return run
+
+
+def supporting_proofs(themes: DataFrame, proofs: DataFrame, keys: list[str], top: int = lex.MAX_SUPPORTING, floor: float = lex.THREAD_FLOOR) -> DataFrame:
+    """(keys, proof_ids): the first proofs, by id, that have at least ``floor`` of a theme's words in their text or tags.
+
+    Equal word sets are matched once, in blocks of them against blocks of proofs; each pair of
+    blocks returns at most ``top`` proofs of a set.
+    """
+    words = F.array_sort(T.content_tokens(F.concat_ws(" ", "statement", "buyer_pain_addressed"), lex.THEME_STOPWORDS))
+    named = stage(themes.select(*keys, words.alias("w")).select(*keys, "w", F.md5(F.array_join("w", " ")).alias("cid")), "themes")
+    hashed = lambda w: F.transform(w, lambda x: F.xxhash64(x)).alias("words")
+    asked = stage(named.where("size(w) > 0").groupBy("cid").agg(F.first(hashed("w")).alias("words")), "wordsets")
+    tags = F.array_join(F.coalesce("covers_tags", F.array().cast("array<string>")), " ")
+    text = F.concat_ws(" ", "claim", "evidence", "verifiable_source", tags)
+    p = stage(proofs.select(F.col("id").alias("proof_id"), hashed(T.content_tokens(text, lex.THEME_STOPWORDS))), "proofs")
+    n_t, n_p = max(1, -(-asked.count() // ASKED_BLOCK)), max(1, -(-p.count() // PROOF_BLOCK))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = asked.withColumn("tb", F.pmod(F.xxhash64("cid"), F.lit(n_t)).cast("int")).withColumn("pb", every(n_p))
+    p = p.withColumn("pb", F.pmod(F.xxhash64("proof_id"), F.lit(n_p)).cast("int")).withColumn("tb", every(n_t))
+    hits = asked.groupBy("tb", "pb").cogroup(p.groupBy("tb", "pb")).applyInPandas(_first_in_block(top, floor), "cid string, proof_id string")
+    best = hits.groupBy("cid").agg(F.slice(F.array_sort(F.collect_list("proof_id")), 1, top).alias("proof_ids"))  # at most top of each block of proofs
+    return named.select(*keys, "cid").join(best, "cid", "left").select(*keys, F.coalesce("proof_ids", F.array().cast("array<string>")).alias("proof_ids"))
+
+
+def theme_checks(themes: DataFrame, requirements: DataFrame, proofs: DataFrame, scope: list[str]) -> DataFrame:
+    """(scope, theme_id, n_threads, proof_ids, verdict): is a theme about the buyer, threaded and evidenced?
+
+    The first fault counts: seller (speaks of the seller), empty (no content words), decorative
+    (fewer than two requirements share a tenth of its words), unevidenced (no proof does); else kept.
+    """
+    keys = [*scope, "theme_id"]
+    said = themes.select(*scope, F.col("id").alias("theme_id"), F.coalesce("statement", F.lit("")).alias("statement"), "buyer_pain_addressed")
+    proved = supporting_proofs(said, proofs, keys)
+    both = said.select(*keys, "statement").join(theme_threads(themes, requirements, scope), keys).join(proved, keys)
+    verdict = (
+        F.when(F.col("statement").rlike("(?i)" + lex.SELLER_SIDE), "seller")
+        .when(F.col("n_words") == 0, "empty")
+        .when(F.col("n_threads") < lex.MIN_THREADS, "decorative")
+        .when(F.size("proof_ids") == 0, "unevidenced")
+        .otherwise("kept")
+    )
+    return both.select(*keys, "n_threads", "proof_ids", verdict.alias("verdict"))
+
+
+def matched_texts(labelled: DataFrame, found: DataFrame, scope: list[str], key: str, text: str) -> DataFrame:
+    """(scope, key, first_match, best_match, similarity): for each labelled text the found ones that say the same.
+
+    At least 0.45 of the words of both and 0.75 of those of the shorter one are shared. First goes
+    by key; best by similarity, then key. Labelled texts without a match have nulls.
+    """
+    words = lambda c: F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower(T.normalize(F.coalesce(c, F.lit("")))), r"[^a-z0-9 ]+", " "), r"\s+"), lambda w: (F.length(w) > 1) & ~w.isin(lex.COMPLIANCE_STOPWORDS)))
+    a = labelled.select(*scope, F.col(key).alias(key), words(F.col(text)).alias("w"))
+    b = found.select(*scope, F.col(key).alias("match"), words(F.col(text)).alias("w"))
+    long_a = a.select(*scope, key, F.size("w").alias("n"), F.explode("w").alias("word"))
+    long_b = b.select(*scope, "match", F.size("w").alias("m"), F.explode("w").alias("word"))
+    shared = long_a.join(long_b, [*scope, "word"]).groupBy(*scope, key, "n", "match", "m").agg(F.count(F.lit(1)).alias("k"))
+    similarity = F.col("k") / (F.col("n") + F.col("m") - F.col("k"))
+    same = shared.withColumn("similarity", F.round(similarity, 6)).where((similarity >= lex.MATCH_SIMILARITY) & (F.col("k") / F.least("n", "m") >= lex.MATCH_CONTAINMENT))
+    best = same.groupBy(*scope, key).agg(F.min("match").alias("first_match"), F.min(F.struct((-F.col("similarity")).alias("s"), "match")).alias("b"))
+    return a.select(*scope, key).join(best, [*scope, key], "left").select(*scope, key, "first_match", F.col("b.match").alias("best_match"), (-F.col("b.s")).alias("similarity"))
+
+
 def compliance(placed: DataFrame, requirements: DataFrame, sections: DataFrame) -> DataFrame:
     """(run_id, requirement_id, section_id, anchor, rag) of every requirement.
 
@@ -114,3 +195,32 @@ def compliance(placed: DataFrame, requirements: DataFrame, sections: DataFrame)
     anchor = F.when(~written, None).when(hit > 0, F.concat("section_id", F.lit("#p"), (1 - F.col("best.at")).cast("string"))).otherwise(F.col("section_id"))
     rag = F.when(~written, "RED").when(hit >= lex.ADDRESSED_FLOOR, "GREEN").otherwise("AMBER")
     return both.select("run_id", "requirement_id", F.when(written, F.col("section_id")).alias("section_id"), anchor.alias("anchor"), rag.alias("rag"))
+
+
+def best_section(text: Column, form: Column, kind: Column) -> Column:
+    """Title of the narrative section that a requirement belongs to.
+
+    Submission rules have their own. Else the section with the most different keywords counts,
+    half a point going to the one that the form suggests, the earlier of equal ones; without any,
+    the form's section or the last.
+    """
+    titles = [t for t, _, _ in lex.NARRATIVE_SPINE]
+    affine = F.coalesce(*[F.when(form == f, F.lit(t)) for f, t in lex.FORM_AFFINITY.items()])
+    scores = []
+    for at, (title, _, words) in enumerate(lex.NARRATIVE_SPINE):
+        if words:
+            hits = F.size(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"(?i)\b(?:" + "|".join(words) + ")"), F.lit(0)), F.lower)))
+            scores.append(F.struct((hits + F.when(F.coalesce(affine == title, F.lit(False)), 0.5).otherwise(0.0)).alias("score"), F.lit(-at).alias("at"), F.lit(title).alias("title")))
+    best = F.array_max(F.array(*scores))
+    return F.when(kind == "SUBMISSION_RULE", titles[-2]).when(best["score"] > 0, best["title"]).otherwise(F.coalesce(affine, F.lit(titles[-1])))
+
+
+def narrative_outline(requirements: DataFrame, scope: list[str]) -> DataFrame:
+    """(scope, order_index, title, n_requirements, target_words): the sections of a narrative response that have requirements, and the summary."""
+    spark = requirements.sparkSession
+    spine = spark.createDataFrame([(i, t, w) for i, (t, w, _) in enumerate(lex.NARRATIVE_SPINE)], "at int, title string, least int")
+    placed = requirements.select(*scope, best_section(F.coalesce("text", F.lit("")), F.col("deliverable_form"), F.col("req_type")).alias("title")).groupBy(*scope, "title").agg(F.count(F.lit(1)).alias("n_requirements"))
+    summary = requirements.select(*scope).distinct().select(*scope, F.lit(lex.NARRATIVE_SPINE[0][0]).alias("title"), F.lit(0).cast("bigint").alias("n_requirements"))
+    both = placed.unionByName(summary).join(F.broadcast(spine), "title")  # a dozen rows
+    order = F.row_number().over(Window.partitionBy(*scope).orderBy("at")) - 1
+    return both.select(*scope, order.alias("order_index"), "title", "n_requirements", F.greatest("least", 110 * F.col("n_requirements")).alias("target_words"))

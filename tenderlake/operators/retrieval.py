@@ -17,6 +17,8 @@ from tenderlake.session import stage
 BLOCK = 512
 #: The same where only counts of scores leave a pair of blocks.
 PAIR_BLOCK = 2048
+#: Postings of one part of a term, and terms that may be split at most.
+HEAVY, HEAVY_TERMS = 100_000, 1000
 
 
 def every_fiftieth(key: Column) -> Column:
@@ -25,40 +27,71 @@ def every_fiftieth(key: Column) -> Column:
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, tf, len) of every document, len its number of tokens; written once, read by all that rank."""
+    """(key, term, tf, len) of every document, len its number of tokens."""
     toks = docs.select(key, T.tokenize(F.col(text)).alias("t"))
-    counted = toks.select(key, F.size("t").alias("len"), F.explode("t").alias("term")).groupBy(key, "term", "len").agg(F.count(F.lit(1)).alias("tf"))
-    return stage(counted, "postings")
+    return toks.select(key, F.size("t").alias("len"), F.explode("t").alias("term")).groupBy(key, "term", "len").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25(post: DataFrame, n_docs: int, key: str, queries: DataFrame, query_key: str, query_text: str, depth: int = lex.RANK_DEPTH, k1: float = lex.BM25_K1, b: float = lex.BM25_B, epsilon: float = lex.BM25_EPSILON) -> DataFrame:
+def term_counts(post: DataFrame) -> DataFrame:
+    """(term, df, tf, parts): documents and occurrences of each term, and the parts its postings are split in."""
+    counts = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
+    return counts.withColumn("parts", F.ceil(F.col("df") / HEAVY).cast("int"))
+
+
+def _asked_postings(terms: DataFrame, post: DataFrame, counts: DataFrame, key: str) -> DataFrame:
+    """``terms`` (of queries, with columns of ``counts``) joined with their postings; heavy terms in parts.
+
+    Only terms with more than a thousandth of all postings are split, so they are a thousand at most.
+    """
+    total = counts.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+    heavy = counts.where((F.col("parts") > 1) & (F.col("df") > total // HEAVY_TERMS)).select("term", F.col("parts").alias("n"))
+    split = lambda df: df.join(F.broadcast(heavy), "term", "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    a = split(terms).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).drop("n")
+    b = split(post).withColumn("part", F.pmod(F.xxhash64(key), "n").cast("int")).drop("n")
+    return a.join(b, ["term", "part"])
+
+
+def bm25(post: DataFrame, counts: DataFrame, n_docs: int, key: str, queries: DataFrame, query_key: str, query_text: str, depth: int = lex.RANK_DEPTH, k1: float = lex.BM25_K1, b: float = lex.BM25_B, epsilon: float = lex.BM25_EPSILON) -> DataFrame:
     """(query key, key, score, rank) of the ``depth`` best documents with a positive score.
 
-    ``post`` are the ``postings`` of ``n_docs`` documents. Inverse document frequency is
-    ln(N - n + 0.5) - ln(n + 0.5); negative values become ``epsilon`` times the mean. Query terms
-    count as often as they occur. Ties go to the lesser key. The postings are joined with the
-    queries' terms only, so documents that share no term are never looked at.
+    ``post`` are the ``postings`` of ``n_docs`` documents, ``counts`` their ``term_counts``, both
+    written before. Inverse document frequency is ln(N - n + 0.5) - ln(n + 0.5); negative values
+    become ``epsilon`` times the mean. Query terms count as often as they occur. Ties go to the
+    lesser key. The postings are joined with the queries' terms only, so documents that share no
+    term are never looked at.
     """
-    terms = queries.select(F.col(query_key).alias("qid"), F.explode(T.tokenize(F.col(query_text))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
-    idf = stage(df.select("term", "tf", (F.log(n_docs - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf")), "idf")
+    idf = counts.select("term", "tf", (F.log(n_docs - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
     mean = idf.agg(F.avg("idf"), F.sum("tf")).first()
     floor, avg_len = epsilon * (mean[0] or 0.0), (mean[1] or 0) / max(n_docs, 1)
+    terms = queries.select(F.col(query_key).alias("qid"), F.explode(T.tokenize(F.col(query_text))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
     weighted = terms.join(idf, "term").select("qid", "term", (F.when(F.col("idf") < 0, floor).otherwise(F.col("idf")) * F.col("qtf")).alias("w"))
     gain = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / max(avg_len, 1e-9)))
-    scored = weighted.join(post, "term").groupBy("qid", key).agg(F.round(F.sum(gain), 6).alias("score")).where("score > 0")
+    scored = _asked_postings(weighted, post, counts, key).groupBy("qid", key).agg(F.round(F.sum(gain), 6).alias("score")).where("score > 0")
     order = Window.partitionBy("qid").orderBy(F.desc("score"), key)
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= depth).select(F.col("qid").alias(query_key), key, "score", "rank")
 
 
-def word_share(post: DataFrame, key: str, queries: DataFrame, query_key: str, query_text: str, depth: int = lex.RANK_DEPTH) -> DataFrame:
+def word_share(post: DataFrame, counts: DataFrame, key: str, queries: DataFrame, query_key: str, query_text: str, depth: int = lex.RANK_DEPTH) -> DataFrame:
     """(query key, key, score, rank): documents by the share of the query's content words they have."""
     words = queries.select(query_key, T.content_tokens(F.col(query_text), lex.QUERY_STOPWORDS).alias("w")).where("size(w) > 0")
-    asked = words.select(query_key, F.size("w").alias("n"), F.explode("w").alias("term"))
-    scored = asked.join(post, "term").groupBy(query_key, key, "n").agg(F.count(F.lit(1)).alias("k")).select(query_key, key, F.round(F.col("k") / F.col("n"), 6).alias("score"))
+    asked = words.select(query_key, F.size("w").alias("n_words"), F.explode("w").alias("term"))
+    scored = _asked_postings(asked, post, counts, key).groupBy(query_key, key, "n_words").agg(F.count(F.lit(1)).alias("k")).select(query_key, key, F.round(F.col("k") / F.col("n_words"), 6).alias("score"))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("score"), key))).where(F.col("rank") <= depth)
 
 
+def reranked(ranked: DataFrame, queries: DataFrame, docs: DataFrame, query_key: str, key: str, query_text: str, text: str, top: int = lex.TOP_K) -> DataFrame:
+    """(query key, key, score, rank): the ``top`` of a ranking by the share of words that query and document have in common.
+
+    Stands where a cross-encoder would; ties go to the better rank before.
+    """
+    words = lambda c: T.content_tokens(F.col(c), lex.QUERY_STOPWORDS)
+    asked = queries.select(query_key, words(query_text).alias("qw"))
+    held = docs.join(ranked.select(key).distinct(), key, "left_semi").select(key, words(text).alias("dw"))
+    scored = ranked.select(query_key, key, F.col("rank").alias("before")).join(asked, query_key).join(held, key).withColumn("score", F.round(T.jaccard("qw", "dw"), 6))
+    order = Window.partitionBy(query_key).orderBy(F.desc("score"), "before")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select(query_key, key, "score", "rank")
+
+
 def _blocks(df: DataFrame, key: str, vector: str, name: str) -> DataFrame:
     """Rows gathered in blocks of about BLOCK, by the hash of their key."""
     n = max(1, -(-df.count() // BLOCK))
@@ -72,9 +105,10 @@ def dense_top(vectors: DataFrame, key: str, vector: str, queries: DataFrame, dep
     Exact. Queries and vectors are cut into blocks; each pair of blocks is one matrix product that
     keeps ``depth`` rows a query, and the best of all blocks are ranked. Ties go to the lesser key.
     """
+    queries = stage(queries.select(key, vector), "queries")
+    n = max(1, -(-queries.count() // BLOCK))
     q, d = _blocks(queries, key, vector, "qb"), _blocks(vectors, key, vector, "db")
-    q_ids = [r["qb"] for r in q.select("qb").collect()]  # block numbers only
-    spread = d.withColumn("qb", F.explode(F.array(*[F.lit(i) for i in q_ids]) if q_ids else F.array().cast("array<int>")))
+    spread = d.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -83,32 +117,41 @@ def dense_top(vectors: DataFrame, key: str, vector: str, queries: DataFrame, dep
                 ka, kb = np.array([r["k"] for r in left]), np.array([r["k"] for r in right])
                 score = np.round(a @ b.T, 6)
                 score[ka[:, None] == kb[None, :]] = -np.inf
-                for i in range(len(ka)):
-                    order = np.lexsort((kb, -score[i]))[:depth]
-                    order = order[np.isfinite(score[i][order])]
-                    yield pd.DataFrame({"query_id": ka[i], key: kb[order], "score": score[i][order]})
+                most = min(depth, len(kb))
+                least = -np.partition(-score, most - 1, axis=1)[:, most - 1]
+                row, col = np.nonzero((score >= least[:, None]) & np.isfinite(score))  # with ties at the end
+                order = np.lexsort((kb[col], -score[row, col], row))
+                row, col = row[order], col[order]
+                place = np.arange(len(row)) - np.searchsorted(row, row)
+                row, col = row[place < depth], col[place < depth]
+                yield pd.DataFrame({"query_id": ka[row], key: kb[col], "score": score[row, col]})
 
     pairs = spread.join(q, "qb").select("qb_rows", "db_rows").mapInPandas(best, f"query_id bigint, {key} bigint, score double")
     ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key)))
     return ranked.where(F.col("rank") <= depth)
 
 
-def pair_scores(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """(score, n): how many pairs of different keys have each inner product, rounded to 6 digits; a pair counts once.
+def pair_scores(vectors: DataFrame, key: str, vector: str, queries: DataFrame | None = None) -> DataFrame:
+    """(score, n): how many pairs of different keys have each inner product, rounded to 6 digits.
 
-    Each pair of blocks is one matrix product that returns counts of its scores, no pairs.
+    All pairs, each once; with ``queries`` every one of these with every other vector. Each pair of
+    blocks is one matrix product that returns counts of its scores, no pairs.
     """
-    blocks = max(1, -(-vectors.count() // PAIR_BLOCK))
-    rows = vectors.select(F.col(key).cast("bigint").alias("k"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("b"))
-    left = rows.select("k", "v", F.col("b").alias("i"), F.explode(F.sequence(F.col("b"), F.lit(blocks - 1))).alias("j"))
-    right = rows.select("k", "v", F.explode(F.sequence(F.lit(0), F.col("b"))).alias("i"), F.col("b").alias("j"))
+    def block(df: DataFrame, n: int) -> DataFrame:
+        return df.select(F.col(key).cast("bigint").alias("k"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("b"))
+
+    n = max(1, -(-vectors.count() // PAIR_BLOCK))
+    half, m = queries is None, n if queries is None else max(1, -(-queries.count() // PAIR_BLOCK))
+    left, right = block(vectors if half else queries, m), block(vectors, n)
+    left = left.select("k", "v", F.col("b").alias("i"), F.explode(F.sequence(F.col("b") if half else F.lit(0), F.lit(n - 1))).alias("j"))
+    right = right.select("k", "v", F.explode(F.sequence(F.lit(0), F.col("b") if half else F.lit(m - 1))).alias("i"), F.col("b").alias("j"))
 
     def count(blocks: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"micro": np.array([], dtype=np.int64), "n": np.array([], dtype=np.int64)})
         va, vb = np.stack(a["v"].to_list()).astype(np.float64), np.stack(b["v"].to_list()).astype(np.float64)
         ka, kb = a["k"].to_numpy()[:, None], b["k"].to_numpy()[None, :]
-        asked = ka < kb if blocks[0] == blocks[1] else ka != kb
+        asked = ka < kb if half and blocks[0] == blocks[1] else ka != kb
         micro, n = np.unique(np.rint((va @ vb.T)[asked] * 1e6).astype(np.int64), return_counts=True)
         return pd.DataFrame({"micro": micro, "n": n})
 

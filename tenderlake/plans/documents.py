@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tenderlake.functions import lexicon as lex
 from tenderlake.functions import text as T
-from tenderlake.operators import assurance, chunking, profile, render, structure
+from tenderlake.operators import assurance, chunking, matching, profile, render, structure
 from tenderlake.operators import requirements as req
 from tenderlake.session import table, texts
 from tenderlake.sources import store
@@ -154,6 +154,29 @@ def outline(spark: SparkSession, d: str) -> DataFrame:
     return r.select("run_id", "source_section", "n_requirements", (F.row_number().over(w) - 1).alias("order_index"), F.greatest(F.lit(250), 120 * F.col("n_requirements")).alias("target_words"))
 
 
+def narrative_outline(spark: SparkSession, d: str) -> DataFrame:
+    """The sections of a narrative response to each run's requirements."""
+    return matching.narrative_outline(_requirements(spark, d), ["run_id"])
+
+
+def outline_modes(spark: SparkSession, d: str) -> DataFrame:
+    """COMPLIANCE for runs whose submission rules demand the buyer's own structure, else NARRATIVE."""
+    rules = F.when(F.col("req_type") == "SUBMISSION_RULE", F.struct("id", F.coalesce("text", F.lit("")).alias("text")))
+    r = _requirements(spark, d).groupBy("run_id").agg(F.sort_array(F.collect_list(rules)).alias("rules"))
+    said = F.array_join(F.transform("rules", lambda x: x["text"]), " ")
+    return r.select("run_id", F.size("rules").alias("n_rules"), F.when(said.rlike("(?i)" + lex.COMPLIANCE_SIGNALS), "COMPLIANCE").otherwise("NARRATIVE").alias("mode"))
+
+
+def corpus_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of the corpus by kind: knowledge base, answers, proofs and templates, with ids that occur more than once."""
+    chunks = store.latest(texts(spark, d, "chunk").select("id", "source_id", "kind", "text", "title", "loaded_at"), ["id"], "loaded_at")
+    hq = store.latest(texts(spark, d, "hq_001_030"), ["id"], "loaded_at")
+    proofs = store.latest(table(spark, d, "proof_points"), ["id"], "loaded_at")
+    files = chunks.where("kind = 'TEMPLATE'").select(F.concat(F.lit("tmpl_"), F.replace("id", F.lit("TMPL-"), F.lit(""))).alias("stem"), "text")
+    every = chunking.corpus([chunks.where("kind = 'KNOWLEDGE_BASE'"), chunking.qa_chunks(hq), chunking.proof_chunks(proofs), chunking.template_chunks(files)])
+    return every.groupBy("kind").agg(F.count(F.lit(1)).alias("n_chunks"), F.count_if(F.col("n_same") > 1).alias("n_repeated"), F.sum(F.length("text")).alias("chars"))
+
+
 def answer_keys(spark: SparkSession, d: str) -> DataFrame:
     hq = store.latest(texts(spark, d, "hq_001_030").select("id", "question", "category", "loaded_at"), ["id"], "loaded_at")
     return hq.select("id", T.cache_key(F.col("question"), F.col("category")).alias("cache_key"))
@@ -192,7 +215,23 @@ def order_durations(spark: SparkSession, d: str) -> DataFrame:
     return assurance.durations(docs, structure.table_cells(docs, ["cust"], "text"), ["cust"], ["cust"], "text")
 
 
-QUERIES = {f.__name__: f for f in (chunk_counts, sentence_stats, top_terms, heading_tree, section_tables, table_totals, percentage_rows, phase_durations, section_facts, claim_counts, grounding_batches, risky_wording, voice_drift, markdown_chunks, qa_chunks, proof_chunks, requirement_rules, requirement_extract, document_rules, evaluation_criteria, document_roles, requirement_dedupe, section_order, outline, answer_keys, order_totals, order_reserves, order_durations)}
+def order_promises(spark: SparkSession, d: str) -> DataFrame:
+    """Risky wording in sentences written for each order."""
+    n = F.col("o_orderkey")
+    promises = ["We guarantee delivery.", "We guarantee delivery subject to stock.", "100% uptime, no exceptions.", "We accept full responsibility.", "Zero defects and unlimited support.", "Delivered in 3 days."]
+    said = F.element_at(F.array(*[F.lit(p) for p in promises]), (n % 6 + 1).cast("int"))
+    return assurance.risks(table(spark, d, "orders").select(n.alias("order"), said.alias("text")), ["order"], "text")
+
+
+def part_criteria(spark: SparkSession, d: str) -> DataFrame:
+    """Criteria of an evaluation table written for each brand from its parts, with their sizes as weights."""
+    p = table(spark, d, "part").select(F.col("p_brand").alias("brand"), F.col("p_partkey").alias("no"), "p_name", F.concat(F.col("p_size").cast("string"), F.lit("%")).alias("weight"))
+    md = render.table(p, ["brand"], ["no"], ["Criterion", "Weight"], [F.col("p_name"), F.col("weight")])
+    docs = md.select("brand", F.concat(F.lit("## Evaluation\n\n"), "markdown").alias("text"))
+    return profile.criteria(structure.headings(docs, ["brand"], "text"), ["brand"])
+
+
+QUERIES = {f.__name__: f for f in (chunk_counts, sentence_stats, top_terms, heading_tree, section_tables, table_totals, percentage_rows, phase_durations, section_facts, claim_counts, grounding_batches, risky_wording, voice_drift, markdown_chunks, qa_chunks, proof_chunks, requirement_rules, requirement_extract, document_rules, evaluation_criteria, document_roles, requirement_dedupe, section_order, outline, narrative_outline, outline_modes, corpus_counts, answer_keys, order_totals, order_reserves, order_durations, order_promises, part_criteria)}
 
 _ABBR = "regexp_replace(trim(regexp_replace(regexp_replace({}, '[*_`]+', '', 'g'), '\\s+', ' ', 'g')), '$', '')"
 for _a in lex.ABBREVIATIONS:
@@ -300,3 +339,52 @@ SELECT doc_id, node_ord, lv AS level,
   (SELECT max(p.node_ord) FROM f p WHERE p.doc_id = f.doc_id AND p.node_ord < f.node_ord AND p.lv < f.lv) AS parent_ord, length(body) AS body_chars
 FROM f""",
 }
+
+_CLAIMS = f"""
+WITH lines AS (
+  SELECT run_id, id, i AS line_no, regexp_replace(l[i], '^\\s+|\\s+$', '', 'g') AS s
+  FROM (SELECT run_id, id, string_split(replace(replace(content_md, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS l FROM {_SEC} WHERE content_md IS NOT NULL), unnest(range(1, len(l) + 1)) AS u(i)
+), fenced AS (SELECT *, s LIKE '```%' AS fence, sum(CASE WHEN s LIKE '```%' THEN 1 ELSE 0 END) OVER (PARTITION BY run_id, id ORDER BY line_no) % 2 = 1 AS inside FROM lines)
+, live AS (SELECT *, regexp_matches(s, '{lex.TABLE_SEPARATOR}') AS sep FROM fenced WHERE NOT fence AND NOT inside AND s <> '')
+, heads AS (SELECT *, s LIKE '|%' AND coalesce(lead(sep) OVER (PARTITION BY run_id, id ORDER BY line_no), false) AS header FROM live)
+, parts AS (
+  SELECT run_id, id, line_no, CASE WHEN s LIKE '|%' THEN [trim(regexp_replace(regexp_replace(s, '[*_`]+', '', 'g'), '\\s+', ' ', 'g'))]
+    ELSE list_transform({_SENTENCES.format("regexp_replace(s, '^\\s*([-*+]|[0-9]+[.)])\\s+', '')")}, lambda x: trim(replace(x, '§', '.'))) END AS p
+  FROM heads WHERE NOT sep AND NOT header AND NOT regexp_matches(s, '^#{{1,6}}\\s')
+), said AS (SELECT run_id, id, line_no, i AS pos, p[i] AS sentence FROM parts, unnest(range(1, len(p) + 1)) AS u(i) WHERE p[i] <> '')
+, claims AS (SELECT *, row_number() OVER (PARTITION BY run_id, id ORDER BY line_no, pos) - 1 AS ix,
+    len(list_filter(regexp_split_to_array(sentence, '\\s+'), lambda w: w <> '')) >= 4 AND (regexp_matches(sentence, '{lex.CHECKABLE}') OR regexp_matches(sentence, '{lex.ACRONYM}')) AS checkable FROM said)
+"""
+SQL["claim_counts"] = _CLAIMS + "SELECT run_id, id, count(*) AS n_claims, sum(checkable::INT)::BIGINT AS n_checkable FROM claims GROUP BY ALL"
+SQL["grounding_batches"] = _CLAIMS + "SELECT run_id, id, batch_no, count(*) AS n, min(ix) AS first_ix FROM (SELECT *, (row_number() OVER (PARTITION BY run_id, id ORDER BY ix) - 1) // 8 AS batch_no FROM claims WHERE checkable) GROUP BY ALL"
+_NODES = f"({SQL['heading_tree'].replace('length(body) AS body_chars', 'body')})"
+SQL["document_rules"] = f"""
+WITH said AS (SELECT doc_id, node_ord, title, i AS pos, trim(replace(p[i], '§', '.')) AS sentence FROM (SELECT doc_id, node_ord, coalesce(title, '') AS title, {_SENTENCES.format('body')} AS p FROM {_NODES}), unnest(range(1, len(p) + 1)) AS u(i)),
+n AS (SELECT *, len(list_filter(regexp_split_to_array(sentence, '\\s+'), lambda w: w <> '')) AS words, left(regexp_replace(lower(sentence), '[^a-z0-9 ]', '', 'g'), 120) AS key FROM said),
+k AS (
+  SELECT 'submission' AS kind, * FROM n WHERE words >= 4 AND regexp_matches(title, '{_re(lex.SUBMISSION_SECTION)}')
+  UNION ALL SELECT 'constraint', * FROM n WHERE words >= 4 AND regexp_matches(sentence, '{_re(lex.CONSTRAINT)}')
+  UNION ALL SELECT 'red_line', * FROM n WHERE words >= 3 AND regexp_matches(sentence, '{_re(lex.RED_LINE)}')
+), o AS (SELECT doc_id, kind, key, min(node_ord * 1000000 + pos) AS ord, arg_min(sentence, node_ord * 1000000 + pos) AS sentence FROM k GROUP BY ALL)
+SELECT doc_id, kind, place, sentence FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, kind ORDER BY ord) AS place FROM o) WHERE place <= {lex.RULE_CAP}"""
+_HITS = ", ".join(f"len(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '\\b(?:{'|'.join(w)})'))) + CASE WHEN aff = '{t}' THEN 0.5 ELSE 0 END" for t, _, w in lex.NARRATIVE_SPINE if w)
+_KEYED = [t for t, _, w in lex.NARRATIVE_SPINE if w]
+_SPINE = ", ".join(f"({i}, '{t}', {w})" for i, (t, w, _) in enumerate(lex.NARRATIVE_SPINE))
+SQL["narrative_outline"] = f"""
+WITH a AS (SELECT run_id, req_type, text, CASE deliverable_form {' '.join(f"WHEN '{f}' THEN '{t}'" for f, t in lex.FORM_AFFINITY.items())} END AS aff FROM {_REQ}),
+h AS (SELECT *, [{_HITS}] AS s FROM a),
+b AS (SELECT run_id, CASE WHEN req_type = 'SUBMISSION_RULE' THEN 'Submission compliance' WHEN list_max(s) > 0 THEN {_KEYED}[list_position(s, list_max(s))] ELSE coalesce(aff, 'Additional requirements') END AS title FROM h),
+n AS (SELECT run_id, title, count(*) AS n_requirements FROM b GROUP BY ALL UNION ALL SELECT DISTINCT run_id, 'Executive summary', 0 FROM a)
+SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY spine_no) - 1 AS order_index, title, n_requirements, greatest(least_words, 110 * n_requirements) AS target_words FROM n JOIN (VALUES {_SPINE}) AS v(spine_no, title, least_words) USING (title)"""
+SQL["outline_modes"] = f"""SELECT run_id, count(*) FILTER (req_type = 'SUBMISSION_RULE') AS n_rules,
+  CASE WHEN regexp_matches(coalesce(string_agg(coalesce(text, ''), ' ' ORDER BY id) FILTER (req_type = 'SUBMISSION_RULE'), ''), '{_re(lex.COMPLIANCE_SIGNALS)}') THEN 'COMPLIANCE' ELSE 'NARRATIVE' END AS mode FROM {_REQ} GROUP BY run_id"""
+SQL["corpus_counts"] = f"""
+WITH c AS (SELECT DISTINCT ON (id) * FROM chunk ORDER BY id, loaded_at DESC),
+e AS (SELECT id, kind, text FROM c WHERE kind = 'KNOWLEDGE_BASE' UNION ALL SELECT id, 'HISTORICAL_QA', 'Q: ' || coalesce(question, '') || chr(10) || chr(10) || 'A: ' || coalesce(answer, '') FROM {_HQ}
+  UNION ALL SELECT id, 'PROOF_POINT', text FROM ({SQL['proof_chunks']}) UNION ALL SELECT id, kind, regexp_replace(text, '^\\s+|\\s+$', '', 'g') FROM c WHERE kind = 'TEMPLATE' AND regexp_replace(coalesce(text, ''), '\\s+', '', 'g') <> '')
+SELECT kind, count(*) AS n_chunks, count(*) FILTER (n > 1) AS n_repeated, sum(length(text))::BIGINT AS chars FROM (SELECT *, count(*) OVER (PARTITION BY id) AS n FROM e) GROUP BY kind"""
+SQL["order_promises"] = """
+SELECT o_orderkey AS "order", label, severity, phrase FROM orders JOIN (VALUES (0, 'unqualified guarantee', 'BLOCKER', 'we guarantee'), (2, 'absolute performance claim', 'BLOCKER', '100% uptime'), (2, 'absolute commitment', 'WARN', 'no exceptions'),
+  (3, 'unbounded responsibility', 'BLOCKER', 'we accept full responsibility'), (4, 'absolute quality claim', 'BLOCKER', 'zero defects'), (4, 'unbounded liability', 'BLOCKER', 'unlimited support')) AS v(m, label, severity, phrase) ON o_orderkey % 6 = m"""
+SQL["part_criteria"] = """
+SELECT brand, row_number() OVER (PARTITION BY brand ORDER BY no) AS place, name, weight FROM (SELECT p_brand AS brand, min(p_partkey) AS no, trim(regexp_replace(arg_min(p_name, p_partkey), '\\s+', ' ', 'g')) AS name, arg_min(p_size, p_partkey)::DOUBLE AS weight FROM part GROUP BY p_brand, lower(p_name))"""

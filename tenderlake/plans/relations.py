@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tenderlake.functions import lexicon as lex
 from tenderlake.functions import text as T
-from tenderlake.operators import assurance, integrity, matching, measures, render, retrieval
-from tenderlake.session import stage, table, texts
+from tenderlake.operators import assurance, integrity, matching, measures, render, retrieval, structure
+from tenderlake.session import kept, stage, table, texts
 from tenderlake.sources import store
 
 # Closed domains of the tables.
@@ -32,23 +32,27 @@ def _chunks(spark: SparkSession, d: str) -> DataFrame:
     return _once(spark, d, "chunk", ["id"], ["source_id", "text"])
 
 
-def _index(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
-    chunks = _chunks(spark, d)
-    return retrieval.postings(chunks, "id", "text"), chunks.count()
+def _index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, int]:
+    """Postings and term counts of all chunks, written once for all queries of a session, and the number of chunks."""
+    post = kept(spark, "postings", d, lambda: retrieval.postings(_chunks(spark, d), "id", "text"))
+    counts = kept(spark, "terms", d, lambda: retrieval.term_counts(post))
+    n = kept(spark, "chunks", d, lambda: _chunks(spark, d).groupBy().agg(F.count(F.lit(1)).alias("n")))
+    return post, counts, n.first()["n"]
 
 
-def _bm25(spark: SparkSession, d: str, index: tuple[DataFrame, int]) -> DataFrame:
-    return retrieval.bm25(*index, "id", _queries(spark, d), "query_id", "query")
+def _bm25(spark: SparkSession, d: str) -> DataFrame:
+    post, counts, n = _index(spark, d)
+    return retrieval.bm25(post, counts, n, "id", _queries(spark, d), "query_id", "query")
 
 
 def _fused(spark: SparkSession, d: str) -> DataFrame:
-    index = _index(spark, d)
-    return retrieval.fuse([retrieval.word_share(index[0], "id", _queries(spark, d), "query_id", "query"), _bm25(spark, d, index)], "query_id", "id")
+    post, counts, _ = _index(spark, d)
+    return retrieval.fuse([retrieval.word_share(post, counts, "id", _queries(spark, d), "query_id", "query"), _bm25(spark, d)], "query_id", "id")
 
 
 def bm25_top(spark: SparkSession, d: str) -> DataFrame:
     """The ten best chunks of each fiftieth query."""
-    return _bm25(spark, d, _index(spark, d)).where("rank <= 10")
+    return _bm25(spark, d).where("rank <= 10")
 
 
 def fused_top(spark: SparkSession, d: str) -> DataFrame:
@@ -65,7 +69,7 @@ def context_packs(spark: SparkSession, d: str) -> DataFrame:
 def search_quality(spark: SparkSession, d: str) -> DataFrame:
     """Recall, reciprocal rank and nDCG of the BM25 ranking against the listed sources."""
     sources = _once(spark, d, "chunk", ["id"], ["source_id"]).select("id", F.upper("source_id").alias("source_id"))
-    by_source = _bm25(spark, d, _index(spark, d)).join(sources, "id").groupBy("query_id", "source_id").agg(F.min("rank").alias("best"))
+    by_source = _bm25(spark, d).join(sources, "id").groupBy("query_id", "source_id").agg(F.min("rank").alias("best"))
     ranked = by_source.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("best")))
     wanted = _queries(spark, d).select("query_id", F.explode(F.array_distinct(F.transform("relevant_ids", integrity.clean_ref))).alias("source_id")).where("source_id IS NOT NULL")
     return retrieval.query_quality(ranked, wanted, "query_id", "source_id")
@@ -76,6 +80,20 @@ def dense_top(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.dense_top(e, "vec_id", "embedding", e.where("vec_id % 50 = 0"), 10)
 
 
+def search_decisions(spark: SparkSession, d: str) -> DataFrame:
+    """Each fiftieth query answered: rankings fused, the best reranked, and a decision with its confidence.
+
+    The bounds of the decision come from the scores of all chunks that were reranked.
+    """
+    queries = _queries(spark, d)
+    ranked = stage(retrieval.reranked(_fused(spark, d), queries, _chunks(spark, d), "query_id", "id", "query", "text", lex.RERANK_DEPTH), "reranked")
+    conf = retrieval.confidence(ranked, "query_id")
+    bounds = retrieval.percentiles(ranked, "score")
+    best = ranked.where("rank = 1").join(_once(spark, d, "chunk", ["id"], ["source_id"]), "id").select("query_id", "source_id")
+    decided = conf.crossJoin(F.broadcast(bounds)).select("query_id", "best_score", "confidence", retrieval.decision(F.col("best_score"), F.col("reuse_min"), F.col("adapt_min")).alias("decision"))  # bounds has one row
+    return decided.join(best, "query_id")
+
+
 def _decisions(e: DataFrame, q: DataFrame, bounds: DataFrame) -> DataFrame:
     conf = retrieval.confidence(retrieval.dense_top(e, "vec_id", "embedding", q, 2), "query_id")
     return conf.crossJoin(F.broadcast(bounds)).select("query_id", "best_score", "confidence", retrieval.decision(F.col("best_score"), F.col("reuse_min"), F.col("adapt_min")).alias("decision"))  # bounds has one row
@@ -84,8 +102,7 @@ def _decisions(e: DataFrame, q: DataFrame, bounds: DataFrame) -> DataFrame:
 def dense_decisions(spark: SparkSession, d: str) -> DataFrame:
     """Best score, margin confidence and decision of each query vector, by the bounds of ``background``."""
     e = table(spark, d, "embeddings")
-    q = e.where("vec_id % 50 = 0")
-    return _decisions(e, q, retrieval.percentiles(stage(retrieval.dense_top(e, "vec_id", "embedding", q, 1 << 30).select("score"), "background"), "score"))
+    return _decisions(e, e.where("vec_id % 50 = 0"), background(spark, d))
 
 
 def dense_decisions_all(spark: SparkSession, d: str) -> DataFrame:
@@ -97,7 +114,7 @@ def dense_decisions_all(spark: SparkSession, d: str) -> DataFrame:
 def background(spark: SparkSession, d: str) -> DataFrame:
     """Distribution of the similarity of every fiftieth vector with all others, and the bounds derived."""
     e = table(spark, d, "embeddings")
-    return retrieval.percentiles(retrieval.dense_top(e, "vec_id", "embedding", e.where("vec_id % 50 = 0"), 1 << 30), "score")
+    return retrieval.percentiles(stage(retrieval.pair_scores(e, "vec_id", "embedding", e.where("vec_id % 50 = 0")), "scores"), "score", "n")
 
 
 def background_all(spark: SparkSession, d: str) -> DataFrame:
@@ -143,6 +160,60 @@ def theme_threads(spark: SparkSession, d: str) -> DataFrame:
     return matching.theme_threads(themes, _once(spark, d, "requirements", ["run_id", "id"], ["text"]), ["run_id"])
 
 
+def theme_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Verdict on every theme: about the buyer, threaded through the requirements, evidenced by proofs."""
+    themes = _once(spark, d, "win_themes", ["run_id", "id"], ["statement", "buyer_pain_addressed"])
+    proofs = _once(spark, d, "proof_points", ["id"], ["claim", "evidence", "verifiable_source", "covers_tags"])
+    c = matching.theme_checks(themes, _once(spark, d, "requirements", ["run_id", "id"], ["text"]), proofs, ["run_id"])
+    return c.withColumn("proof_ids", F.array_join("proof_ids", ","))
+
+
+def theme_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Sections that take up a requirement of a theme of their run."""
+    t = _once(spark, d, "win_themes", ["run_id", "id"], ["requirement_ids_json"])
+    ids = F.array_distinct(F.transform(integrity.json_ids(F.col("requirement_ids_json")), integrity.clean_ref))
+    t = t.select("run_id", F.col("id").alias("theme_id"), F.explode(ids).alias("requirement_id")).where("requirement_id IS NOT NULL")
+    return t.join(_placed(spark, d), ["run_id", "requirement_id"]).groupBy("run_id", "theme_id", "section_id").agg(F.count(F.lit(1)).alias("n_shared"))
+
+
+def retrieval_queries(spark: SparkSession, d: str) -> DataFrame:
+    """What is searched for a section: its title, purpose and first five requirements; and the first three as a paraphrase."""
+    s = _once(spark, d, "sections", ["run_id", "id"], ["title", "purpose"]).select("run_id", F.col("id").alias("section_id"), F.coalesce("title", F.lit("")).alias("title"), F.coalesce("purpose", F.lit("")).alias("purpose"))
+    r = _once(spark, d, "requirements", ["run_id", "id"], ["text"]).select("run_id", F.col("id").alias("requirement_id"), F.coalesce("text", F.lit("")).alias("text"))
+    held = _placed(spark, d).join(r, ["run_id", "requirement_id"])
+    first = held.withColumn("place", F.row_number().over(Window.partitionBy("run_id", "section_id").orderBy("requirement_id"))).where("place <= 5")
+    told = first.groupBy("run_id", "section_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x["text"]).alias("t"))
+    both = s.join(told, ["run_id", "section_id"], "left").withColumn("t", F.coalesce("t", F.array().cast("array<string>")))
+    query = F.array_join(F.concat(F.array("title", "purpose"), F.col("t")), " ")
+    return both.select("run_id", "section_id", F.left(query, F.lit(lex.RETRIEVAL_QUERY_CHARS)).alias("query"), F.left(F.array_join(F.slice("t", 1, 3), " "), F.lit(lex.PARAPHRASE_CHARS)).alias("paraphrase"))
+
+
+def labelled_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Requirements that both ways of extraction found, matched with those that the cues alone found in the same run."""
+    r = _once(spark, d, "requirements", ["run_id", "id"], ["text", "extracted_by"])
+    return matching.matched_texts(r.where("extracted_by = 'both'"), r.where("extracted_by = 'cue'"), ["run_id"], "id", "text")
+
+
+def statement_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    """Customers whose orders, each put in words, state different durations or peaks."""
+    n = F.col("o_orderkey")
+    said = F.concat(F.lit("The programme runs for "), (10 + n % 3).cast("string"), F.lit(" months with a peak of "), (20 + n % 2).cast("string"), F.lit(" FTE."))
+    orders = table(spark, d, "orders").select("o_custkey", n.cast("string").alias("part"), said.alias("text"))
+    c = assurance.tracked_conflicts(orders, ["o_custkey"], "part", "text")
+    return c.select("o_custkey", "kind", "n_values", F.array_join(F.transform("all_values", lambda v: v.cast("int").cast("string")), ",").alias("all_values"), F.size("parts").alias("n_parts"))
+
+
+def grounding_inputs(spark: SparkSession, d: str) -> DataFrame:
+    """Checkable sentences of historical answers in batches, with the texts of the sources that queries with the same question cite."""
+    hq = _once(spark, d, "hq_001_030", ["id"], ["question", "answer"])
+    batches = assurance.grounding_batches(structure.claim_sentences(hq, ["id"], "answer"), ["id"], ["ix"])
+    cited = _once(spark, d, "retrieval_pairs", ["query_id"], ["query", "relevant_ids"]).where("query IS NOT NULL")
+    cited = cited.groupBy("query").agg(F.min_by("relevant_ids", "query_id").alias("relevant_ids"))
+    cited = hq.select("id", F.col("question").alias("query")).join(cited, "query").select("id", "relevant_ids")
+    both = assurance.with_sources(batches, cited, ["id"], "relevant_ids", _chunks(spark, d))
+    return both.select("id", "batch_no", F.size("sentences").alias("n_sentences"), F.length(F.array_join("sentences", " ")).alias("chars"), F.size("sources").alias("n_sources"), F.length(F.array_join("sources", "")).alias("source_chars"))
+
+
 def _placed(spark: SparkSession, d: str) -> DataFrame:
     s = _once(spark, d, "sections", ["run_id", "id"], ["requirement_ids_json"])
     ids = F.array_distinct(F.transform(integrity.json_ids(F.col("requirement_ids_json")), integrity.clean_ref))
@@ -278,7 +349,7 @@ def event_props(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("event_type").agg(F.count("k").alias("n"), F.sum("k").alias("total"), F.max("k").alias("largest"))
 
 
-QUERIES = {f.__name__: f for f in (bm25_top, fused_top, context_packs, search_quality, dense_top, dense_decisions, dense_decisions_all, background, background_all, calibration_check, calibration_agreement, proof_matches, proof_matches_all, theme_threads, compliance_matrix, compliance_coverage, compliance_markdown, unplaced_requirements, cited_sources, named_requirements, section_requirements, record_conflicts, latest_records, merged_events, domain_violations, key_violations, dangling_themes, last_signup, request_rate, event_usage, kind_breakdown, automation_rates, running_totals, event_props)}
+QUERIES = {f.__name__: f for f in (bm25_top, fused_top, context_packs, search_quality, dense_top, dense_decisions, dense_decisions_all, background, background_all, calibration_check, calibration_agreement, proof_matches, proof_matches_all, theme_threads, theme_checks, theme_sections, retrieval_queries, labelled_matches, statement_conflicts, grounding_inputs, search_decisions, compliance_matrix, compliance_coverage, compliance_markdown, unplaced_requirements, cited_sources, named_requirements, section_requirements, record_conflicts, latest_records, merged_events, domain_violations, key_violations, dangling_themes, last_signup, request_rate, event_usage, kind_breakdown, automation_rates, running_totals, event_props)}
 
 
 def _latest(name: str, keys: str) -> str:
@@ -375,6 +446,37 @@ LEFT JOIN (SELECT upper(trim(source_id)) AS source_id, arg_min(text, id) AS text
     "running_totals": """SELECT o_custkey, o_orderkey, round(sum(o_totalprice) OVER w - o_totalprice, 2) AS start, round(sum(o_totalprice) OVER w, 2) AS "end", round(o_totalprice / sum(o_totalprice) OVER (PARTITION BY o_custkey), 6) AS share FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING)""",
     "event_props": "SELECT event_type, count(k) AS n, sum(k)::BIGINT AS total, max(k) AS largest FROM (SELECT event_type, (props::JSON ->> 'k')::BIGINT AS k FROM events) GROUP BY event_type",
 }
+_THEME_PROOFS = f"""
+p AS (SELECT id AS proof_id, {_words("concat_ws(' ', claim, evidence, verifiable_source, array_to_string(coalesce(covers_tags, []), ' '))", lex.THEME_STOPWORDS)} AS x FROM {_latest('proof_points', 'id')}),
+sup AS (SELECT run_id, theme_id, list_slice(list(proof_id ORDER BY proof_id), 1, 4) AS proof_ids FROM t JOIN p ON len(list_intersect(w, x)) >= 0.1 * len(w) AND len(list_intersect(w, x)) > 0 GROUP BY ALL)"""
+_THREADS = SQL["theme_threads"].strip()
+SQL["theme_checks"] = _THREADS[: _THREADS.index("SELECT t.run_id")].rstrip() + f""", n AS ({_THREADS[_THREADS.index("SELECT t.run_id"):]}), {_THEME_PROOFS}
+SELECT run_id, n.theme_id, n_threads, coalesce(array_to_string(proof_ids, ','), '') AS proof_ids,
+  CASE WHEN regexp_matches(coalesce(s.statement, ''), '(?i){lex.SELLER_SIDE.replace("'", "''")}') THEN 'seller' WHEN n_words = 0 THEN 'empty' WHEN n_threads < 2 THEN 'decorative' WHEN proof_ids IS NULL THEN 'unevidenced' ELSE 'kept' END AS verdict
+FROM n JOIN (SELECT run_id, id AS theme_id, statement FROM {_latest('win_themes', 'run_id, id')}) s USING (run_id, theme_id) LEFT JOIN sup USING (run_id, theme_id)"""
+SQL["theme_sections"] = f"""
+SELECT run_id, theme_id, section_id, count(*) AS n_shared FROM (SELECT DISTINCT run_id, id AS theme_id, upper(trim(r)) AS requirement_id FROM (SELECT run_id, id, unnest({_JSON}) AS r FROM {_latest('win_themes', 'run_id, id')}) WHERE trim(r) <> '') t
+JOIN {_PLACED} p USING (run_id, requirement_id) GROUP BY ALL"""
+SQL["retrieval_queries"] = f"""
+WITH h AS (SELECT p.run_id, section_id, coalesce(r.text, '') AS text, row_number() OVER (PARTITION BY p.run_id, section_id ORDER BY requirement_id) AS place FROM {_PLACED} p JOIN {_latest('requirements', 'run_id, id')} r ON r.run_id = p.run_id AND r.id = p.requirement_id),
+t AS (SELECT run_id, section_id, list(text ORDER BY place) AS t FROM h WHERE place <= 5 GROUP BY ALL)
+SELECT s.run_id, s.id AS section_id, left(array_to_string(list_concat([coalesce(title, ''), coalesce(purpose, '')], coalesce(t, [])), ' '), 900) AS query, left(array_to_string(list_slice(coalesce(t, []), 1, 3), ' '), 400) AS paraphrase
+FROM {_latest('sections', 'run_id, id')} s LEFT JOIN t ON t.run_id = s.run_id AND t.section_id = s.id"""
+_SAYS = f"list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(trim(regexp_replace(regexp_replace(coalesce(text, ''), '[*_`]+', '', 'g'), '\\s+', ' ', 'g'))), '[^a-z0-9 ]+', ' ', 'g'), '\\s+'), lambda w: length(w) > 1 AND NOT list_contains({lex.COMPLIANCE_STOPWORDS}, w)))"
+SQL["labelled_matches"] = f"""
+WITH r AS (SELECT run_id, id, extracted_by, {_SAYS} AS w FROM {_latest('requirements', 'run_id, id')}),
+m AS (SELECT a.run_id, a.id, b.id AS match, len(list_intersect(a.w, b.w)) AS k, len(a.w) AS n, len(b.w) AS m FROM r a JOIN r b ON a.run_id = b.run_id AND a.extracted_by = 'both' AND b.extracted_by = 'cue'),
+s AS (SELECT *, k / (n + m - k) AS s FROM m WHERE k > 0 AND k / (n + m - k) >= 0.45 AND k / least(n, m) >= 0.75)
+SELECT r.run_id, r.id, min(match) AS first_match, list(match ORDER BY round(s, 6) DESC, match)[1] AS best_match, round(max(s), 6) AS similarity FROM r LEFT JOIN s ON s.run_id = r.run_id AND s.id = r.id WHERE extracted_by = 'both' GROUP BY ALL"""
+SQL["statement_conflicts"] = """
+WITH v AS (SELECT o_custkey, 'programme duration in months' AS kind, 10 + o_orderkey % 3 AS v FROM orders UNION ALL SELECT o_custkey, 'peak FTE', 20 + o_orderkey % 2 FROM orders)
+SELECT o_custkey, kind, count(DISTINCT v)::INT AS n_values, array_to_string(list_sort(list_distinct(list(v))), ',') AS all_values, count(*)::INT AS n_parts FROM v GROUP BY ALL HAVING count(DISTINCT v) > 1"""
+SQL["search_decisions"] = _BM25 + f""", rr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS place FROM (
+  SELECT fu.query_id, fu.id, rank, round(CASE WHEN len(a) > 0 AND len(b) > 0 THEN len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) ELSE 0 END, 6) AS score
+  FROM fu JOIN (SELECT query_id, {_words('query', lex.QUERY_STOPWORDS)} AS a FROM {_Q}) USING (query_id) JOIN (SELECT id, {_words('text', lex.QUERY_STOPWORDS)} AS b FROM docs) USING (id))),
+bd AS (SELECT round(quantile_cont(score, 0.97), 4) AS adapt_min, round(quantile_cont(score, 0.995), 4) AS reuse_min FROM rr WHERE place <= 30),
+tp AS (SELECT query_id, max(score) AS s1, max(CASE WHEN place = 2 THEN score END) AS s2, arg_min(id, place) AS id FROM rr GROUP BY query_id)
+SELECT query_id, s1 AS best_score, CASE WHEN s2 IS NOT NULL AND s1 > 0 THEN round(greatest(0, least(1, (s1 - s2) / abs(s1))), 4) ELSE 0 END AS confidence, CASE WHEN s1 >= reuse_min THEN 'REUSE' WHEN s1 >= adapt_min THEN 'ADAPT' ELSE 'SYNTHESIZE' END AS decision, source_id FROM tp JOIN docs USING (id), bd"""
 _ALL_PAIRS = f"(SELECT {_DOT} AS score FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id)"
 SQL["background_all"] = _BOUNDS.replace(_DENSE, _ALL_PAIRS)
 SQL["dense_decisions_all"] = SQL["dense_decisions"].replace(_BOUNDS, SQL["background_all"])

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-#: Folders that ``stage`` wrote in this process.
+#: Folders that ``stage`` wrote in this process, and those of them that later queries may read again.
 _STAGES: list[str] = []
+_KEPT: dict[tuple, str] = {}
 
 
 def build_session(cpus: int | str = "*", name: str = "tenderlake", **conf: str) -> SparkSession:
@@ -45,9 +48,11 @@ def texts(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The folder of ``spark.checkpoint.dir``; a temporary one where that is unset, in local mode only."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="tenderlake-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -65,11 +70,28 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _file_system(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def kept(spark: SparkSession, name: str, folder: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The stage ``name`` of the tables of ``folder``: written by the first query of a session that asks for it, read by the others."""
+    key = (spark.sparkContext.applicationId, name, folder)
+    if key in _KEPT:
+        files, path = _file_system(spark, _KEPT[key])
+        if files.exists(path):
+            return spark.read.parquet(_KEPT[key])
+    df = stage(build(), name)
+    _KEPT[key] = _STAGES[-1]
+    return df
+
+
 def drop_stages(spark: SparkSession) -> int:
     """Remove what ``stage`` wrote; results that read it must have been written before."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     gone = 0
+    _KEPT.clear()
     while _STAGES:
-        path = jvm.org.apache.hadoop.fs.Path(_STAGES.pop())
-        gone += bool(path.getFileSystem(conf).delete(path, True))
+        files, path = _file_system(spark, _STAGES.pop())
+        gone += bool(files.delete(path, True))
     return gone

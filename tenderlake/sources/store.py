@@ -9,7 +9,7 @@ from tenderlake.session import stage
 
 
 def latest(df: DataFrame, keys: list[str], order: str, fixed: list[str] | None = None) -> DataFrame:
-    """One row for each key: the latest by ``order`` (of equal ones the greatest row).
+    """One row for each key: the latest by ``order`` (of equal ones the one with the greatest hash).
 
     Columns in ``fixed`` keep their first value. Rows with a null key column are dropped.
     """
@@ -17,8 +17,9 @@ def latest(df: DataFrame, keys: list[str], order: str, fixed: list[str] | None =
     ordered = [f.name for f in df.schema.fields if f.name not in keys and f.dataType.typeName() != "map"]
     rest = [c for c in df.columns if c not in keys]
     there = df.where(" AND ".join(f"{k} IS NOT NULL" for k in keys))
-    last = F.max_by(F.struct(*rest), F.struct(order, *ordered)).alias("_last")
-    first = [F.min_by(c, F.struct(order, *ordered)).alias(f"_first_{c}") for c in fixed]
+    place = F.struct(order, F.xxhash64(*ordered))
+    last = F.max_by(F.struct(*rest), place).alias("_last")
+    first = [F.min_by(c, place).alias(f"_first_{c}") for c in fixed]
     one = there.groupBy(*keys).agg(last, *first)
     return one.select(*[F.col(f"_first_{c}").alias(c) if c in fixed else F.col(c) if c in keys else F.col(f"_last.{c}").alias(c) for c in df.columns])
 

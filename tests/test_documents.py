@@ -44,6 +44,32 @@ def test_risks_facts_and_conflicts(spark, rows):
     assert rows(assurance.conflicts(v, ["k"], "v")) == [("k", 2, [1, 2])]
 
 
+def test_tracked_quantities_and_failures(spark, rows):
+    said = [("r", "a", "Peak strength of **12** FTE. The work runs for 1,2 months."), ("r", "b", "A peak team of 14 FTE, 12 FTEs at peak."), ("s", "c", "It lasts 5 months"), ("s", "d", None)]
+    d = spark.createDataFrame(said, "run string, id string, text string")
+    assert rows(assurance.tracked_conflicts(d, ["run"], "id", "text")) == [("r", "peak FTE", 2, [12.0, 14.0], ["a", "b"])]
+    risks = assurance.risks(spark.createDataFrame([("a", "We guarantee it."), ("e", "We guarantee it, no exceptions."), ("f", "No exceptions.")], "id string, text string"), ["id"], "text")
+    clash = spark.createDataFrame([("a", "ENTITY_VALUE", "peak")], "id string, kind string, detail string")
+    assert rows(assurance.failures(clash, risks, ["id"])) == [("a", "ENTITY_VALUE: peak"), ("e", "risk language: unqualified guarantee we guarantee")]
+    v = spark.createDataFrame([("r", True), ("r", False), ("r", None), ("s", False)], "run string, bad boolean")
+    assert rows(assurance.grounded_rate(v, ["run"], "bad")) == [("r", 66.7), ("s", 100.0)]
+
+
+def test_batches_get_their_sources(spark, rows):
+    said = spark.createDataFrame([(1, i, f"All {i} checks are done here.") for i in range(9)] + [(2, 0, "Every test is done twice.")], "doc int, ix int, sentence string")
+    cited = spark.createDataFrame([(1, ["kb-2 ", None, "KB-1", "none"])], "doc int, ids array<string>")
+    chunks = spark.createDataFrame([("1", "KB-1", "one"), ("2", "kb-2", "two"), ("3", "KB-2", "later")], "id string, source_id string, text string")
+    got = assurance.with_sources(assurance.grounding_batches(said, ["doc"], ["ix"]), cited, ["doc"], "ids", chunks)
+    assert [(r["doc"], r["batch_no"], len(r["sentences"]), r["sources"]) for r in got.orderBy("doc", "batch_no").collect()] == [(1, 0, 8, ["two", "one"]), (1, 1, 1, ["two", "one"]), (2, 0, 1, [])]
+
+
+def test_templates_and_corpus(spark, rows):
+    files = spark.createDataFrame([("tmpl_cover", "\n# Cover letter \nDear"), ("note", "plain"), ("blank", " \n"), ("none", None)], "stem string, text string")
+    t = chunking.template_chunks(files)
+    assert rows(t, "id", "title") == [("TMPL-cover", "Cover letter"), ("TMPL-note", "note")]
+    assert rows(chunking.corpus([t, t.limit(1)]).groupBy("n_same").count()) == [(1, 1), (2, 2)]
+
+
 def packed_model(text, most, overlap):
     text = text.strip()
     if len(text) <= most:

@@ -45,3 +45,24 @@ def test_stages_are_dropped(spark):
     df = session.stage(spark.range(3).toDF("x"), "try")
     assert df.count() == 3 and session.stage(spark.range(0).toDF("x"), "none").count() == 0
     assert session.drop_stages(spark) >= 2 and not session._STAGES
+
+
+def test_kept_stages_are_written_once(spark):
+    built = []
+    get = lambda: session.kept(spark, "once", "somewhere", lambda: built.append(1) or spark.range(4).toDF("x"))
+    assert get().count() == get().count() == 4 and built == [1]
+    session.drop_stages(spark)
+    assert get().count() == 4 and built == [1, 1]
+    session.drop_stages(spark)
+
+
+def test_clusters_need_a_shared_folder(monkeypatch):
+    class Bare:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            master = "local-cluster[3,2,3000]"
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_folder(Bare)

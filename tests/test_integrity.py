@@ -24,7 +24,8 @@ def test_nulls_repeats_and_empty_tables(spark, rows):
     assert rows(op.orphan_references(spark.createDataFrame([], REF), *none)) == []
 
 
-def test_hot_key_is_found_whole(spark):
+def test_hot_key_is_found_whole(spark, monkeypatch):
+    monkeypatch.setattr(op, "HOT_REFERENCES", 100)
     refs = spark.range(3000).selectExpr("'a' tbl", "'' run_id", "string(id) rec_id", "'t' target", "'' scope", "if(id % 3 = 0, 'HOT', string(id)) ref_id", "timestamp'2024-03-10' loaded_at")
     keys = spark.range(3000).where("id % 2 = 0").selectExpr("'t' target", "'' scope", "string(id) ref_id", "timestamp'2024-03-01' loaded_at")
     found = op.orphan_references(refs, keys, spark.createDataFrame([], GONE))

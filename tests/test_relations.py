@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tenderlake.operators import matching, measures, render, retrieval
@@ -10,11 +11,19 @@ from tenderlake.plans import relations
 from tenderlake.sources import store
 
 
-def test_bm25_matches_brute_force(spark):
+@pytest.mark.parametrize("heavy", [100_000, 2])
+def test_bm25_matches_brute_force(spark, monkeypatch, heavy):
+    monkeypatch.setattr(retrieval, "HEAVY", heavy)
     texts = {1: "red fox red", 2: "blue fox", 3: "red hen in the pen", 4: "", 5: None, 6: "green tree by the sea"}
     docs = spark.createDataFrame(list(texts.items()), "id int, text string")
     q = spark.createDataFrame([("q", "red red hen"), ("none", "zzz")], "query_id string, query string")
-    got = {r["id"]: r["score"] for r in retrieval.bm25(retrieval.postings(docs, "id", "text"), docs.count(), "id", q, "query_id", "query").collect()}
+    post = retrieval.postings(docs, "id", "text").cache()
+    counts = retrieval.term_counts(post)
+    got = {r["id"]: r["score"] for r in retrieval.bm25(post, counts, docs.count(), "id", q, "query_id", "query").collect()}
+    share = retrieval.word_share(post, counts, "id", q, "query_id", "query")
+    assert {r["id"]: r["score"] for r in share.collect()} == {1: 0.5, 3: 1.0}
+    again = retrieval.reranked(share, q, docs, "query_id", "id", "query", "text", 5).orderBy("rank").collect()
+    assert [(r["id"], r["score"]) for r in again] == [(3, 0.666667), (1, 0.333333)]
     toks = {i: (t or "").split() for i, t in texts.items()}
     n, avg = len(toks), sum(map(len, toks.values())) / len(toks)
     idf = {w: math.log(n - d + 0.5) - math.log(d + 0.5) for w, d in Counter(w for t in toks.values() for w in set(t)).items()}
@@ -122,3 +131,39 @@ def test_render(spark):
     d = spark.createDataFrame([("k", 2, "a|b"), ("k", 1, None)], "k string, o int, v string")
     assert render.table(d, ["k"], ["o"], ["O", "V"], [F.col("o"), F.col("v")]).first()["markdown"] == "| O | V |\n|---|---|\n| 1 | - |\n| 2 | a\\|b |"
     assert render.document(d, ["k"], ["o"], "v").first()["markdown"] == "\n\na|b"
+
+
+def test_background_of_queries_counts_their_pairs(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "PAIR_BLOCK", 7)
+    v = np.random.default_rng(7).normal(size=(40, 4))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id bigint, v array<double>")
+    got = retrieval.percentiles(retrieval.pair_scores(df, "id", "v", df.where("id % 10 = 0")), "score", "n").first()
+    scores = [round(float(v[a] @ v[b]), 6) for a in range(0, 40, 10) for b in range(40) if a != b]
+    assert got["n_pairs"] == len(scores) and abs(got["adapt_min"] - np.percentile(scores, 97)) < 1e-3
+
+
+def test_theme_checks(spark, rows):
+    themes = [("r", "a", "We provide backup copies", None), ("r", "b", "the of", ""), ("r", "c", "Backup copies kept safe", None), ("r", "d", "Night shift handover", "slow repairs"), ("r", "e", "Solar meters readings", None), ("r", "f", None, None)]
+    reqs = [("r", "1", "backup copies weekly"), ("r", "2", "copies tested"), ("r", "3", "night handover notes"), ("r", "4", "shift plans"), ("r", "5", "meters"), ("s", "6", "meters solar")]
+    proofs = [(f"P{i}", "claim", "copies of backup", None, ["night-shift"] if i == 9 else None) for i in (9, 3, 5, 7, 1)]
+    t = spark.createDataFrame(themes, "run_id string, id string, statement string, buyer_pain_addressed string")
+    r = spark.createDataFrame(reqs, "run_id string, id string, text string")
+    p = spark.createDataFrame(proofs, "id string, claim string, evidence string, verifiable_source string, covers_tags array<string>")
+    got = matching.theme_checks(t, r, p, ["run_id"])
+    assert rows(got, "theme_id", "verdict") == [("a", "seller"), ("b", "empty"), ("c", "kept"), ("d", "kept"), ("e", "decorative"), ("f", "empty")]
+    assert rows(got.where("theme_id = 'c'"), "proof_ids") == [(["P1", "P3", "P5", "P7"],)]
+    assert rows(matching.theme_checks(t.where("id = 'd'"), r, p.where("id <> 'P9'"), ["run_id"]), "verdict") == [("unevidenced",)]
+    assert matching.theme_checks(t.limit(0), r, p, ["run_id"]).count() == 0
+
+
+def test_labelled_texts_meet_found_ones(spark, rows):
+    a = spark.createDataFrame([("r", "1", "Keep the *backup* copies for five years"), ("r", "2", "Nothing alike"), ("s", "3", None)], "run string, id string, text string")
+    b = spark.createDataFrame([("r", "z", "keep backup copies for five years"), ("r", "y", "keep backup copies five years safely"), ("s", "x", "keep backup copies for five years")], "run string, id string, text string")
+    assert rows(matching.matched_texts(a, b, ["run"], "id", "text"), "id", "first_match", "best_match") == [("1", "y", "z"), ("2", None, None), ("3", None, None)]
+
+
+def test_narrative_sections(spark, rows):
+    r = spark.createDataFrame([("r", "Pricing schedule", "COSTING", "X"), ("r", "Detailed mandatory text", "PROSE", "X"), ("r", "x", "APPENDIX", "X"), ("r", "price", "PROSE", "SUBMISSION_RULE"), ("r", "risk and security and privacy", "PROSE", None), ("s", None, None, None)], "run_id string, text string, deliverable_form string, req_type string")
+    got = matching.narrative_outline(r, ["run_id"])
+    assert rows(got.where("run_id = 'r'"), "order_index", "title", "n_requirements") == [(0, "Executive summary", 0), (1, "Security, data protection and compliance", 1), (2, "Commercials", 1), (3, "Submission compliance", 2), (4, "Additional requirements", 1)]
+    assert rows(got.where("run_id = 's'"), "title", "target_words") == [("Additional requirements", 400), ("Executive summary", 500)]

@@ -53,7 +53,7 @@ def test_streams(spark, tmp_path, rows):
     source = str(tmp_path / "in")
     spark.sql("SELECT id event_id, timestamp'2024-01-01 00:00:00' + make_interval(0,0,0,0,0,0,id * 30) ts, id % 2 user_id, 'view' event_type, 1.5D value FROM range(20)").unionByName(spark.sql("SELECT 0L event_id, timestamp'2024-01-01 00:00:00' ts, 0L user_id, 'view' event_type, 1.5D value")).write.parquet(source)
     stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
-    for name, query, mode in (("counts", events.windowed_counts(events.once(stream)), "complete"), ("busy", events.busy_users(stream, 60, 5), "update")):
+    for name, query, mode in (("counts", events.windowed_counts(events.once(stream)), "complete"), ("raw", events.windowed_counts(stream), "append"), ("busy", events.busy_users(stream, 60, 5), "update")):
         q = query.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).start()
         q.processAllAvailable()
         q.stop()

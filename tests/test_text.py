@@ -66,3 +66,10 @@ def test_json_cells_and_ids(spark):
     df = spark.createDataFrame([(["a", "b", "c"], ["c", "a"]), ([], ["x"])], "c array<string>, k array<string>")
     assert [r[0] for r in df.select(T.fit_cells(F.col("c"), 2)).collect()] == [["a", "b"], ["", ""]]
     assert [r[0] for r in df.select(T.within(F.col("c"), F.col("k"))).collect()] == [["a", "c"], []]
+
+
+def test_drafting_helpers(spark):
+    d = spark.createDataFrame([(100, "```md\nintro\n## Plan\ntext\n```", "T", "REUSED"), (400, "only text", "T", "SYNTHESIZED"), (9000, None, "T", "TEMPLATE")], "n int, r string, h string, k string")
+    ids = F.array(*[F.lit(i) for i in "abcde"])
+    got = [tuple(r) for r in d.select(T.token_budget(F.col("n")), T.clean_reply(F.col("r"), F.col("h")), F.size(T.capped_sources(ids, F.col("k")))).collect()]
+    assert got == [(400, "## Plan\ntext", 1), (1120, "## T\n\nonly text", 4), (2200, None, 0)]
