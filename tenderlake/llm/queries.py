@@ -52,6 +52,13 @@ def p3_cuts(spark: SparkSession, d: str) -> DataFrame:
     return splitting.cut_report(_pieces(spark, d))
 
 
+def p3_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Characters of each cut item by its pieces, the overlaps counted once: those of the item itself."""
+    limits = table(spark, d, "split_limits").groupBy("tbl").agg(F.coalesce(F.min("overlap_chars"), F.lit(0)).alias("overlap"))
+    pieces = _pieces(spark, d).groupBy("tbl", "run_id", "item_id").agg(F.sum(F.length("text")).alias("chars"), F.count(F.lit(1)).alias("n"))
+    return pieces.join(F.broadcast(limits), "tbl").select("tbl", "run_id", "item_id", (F.col("chars") - F.col("overlap") * (F.col("n") - 1)).alias("chars"))  # two rows
+
+
 def _similar(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     parts = [(table(spark, d, "hq_001_030"), "id", "tags"), (table(spark, d, "proof_points"), "id", "covers_tags")]
     return setjoin.similar_records(setjoin.tag_sets(parts))
@@ -110,6 +117,7 @@ QUERIES = {
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
     "p3_cuts": p3_cuts,
+    "p3_whole": p3_whole,
     "p4_found": p4_found,
     "p4_links": p4_links,
     "p4_class_links": p4_class_links,
@@ -145,7 +153,27 @@ WITH r AS (
 , k AS (SELECT DISTINCT class, t FROM m), tag AS (SELECT class, len(t) AS n, unnest(t) AS tag FROM k)
 , links AS (SELECT a.class AS class_a, b.class AS class_b FROM tag a JOIN tag b ON a.tag = b.tag AND a.class < b.class GROUP BY ALL HAVING count(*) >= 0.6 * (any_value(a.n) + any_value(b.n) - count(*)))
 """
+_NEAR = """
+WITH RECURSIVE w AS (
+  SELECT id, list_sort(list_distinct(regexp_extract_all(lower(coalesce(question, '') || ' ' || coalesce(answer, '')), '[\\p{L}\\p{M}\\p{Nd}]+'))) AS w FROM (SELECT DISTINCT ON (id) * FROM hq_001_030 ORDER BY id, loaded_at DESC) WHERE id IS NOT NULL
+), k AS (SELECT id, w, min(id) OVER (PARTITION BY w) AS class FROM w WHERE len(w) >= 40)
+, t AS (SELECT class, len(w) AS n, unnest(w) AS word FROM (SELECT DISTINCT class, w FROM k))
+, one AS (SELECT a.class AS a, b.class AS b FROM t a JOIN t b ON a.word = b.word AND a.class < b.class GROUP BY ALL HAVING count(*) >= 0.7 * (any_value(a.n) + any_value(b.n) - count(*)))
+, links AS (SELECT a, b FROM one UNION ALL SELECT b, a FROM one)
+, reach(a, b) AS (SELECT class, class FROM k UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+, g AS (SELECT id, class, grp FROM k JOIN (SELECT a AS class, min(b) AS grp FROM reach GROUP BY a) USING (class))
+"""
+_LENGTHS = """
+SELECT i.tbl, i.run_id, i.item_id, length(trim(i.text, chr(32) || chr(9) || chr(13) || chr(10))) AS chars
+FROM (SELECT 'chunk' AS tbl, '' AS run_id, id AS item_id, text FROM (SELECT DISTINCT ON (id) * FROM chunk ORDER BY id, loaded_at DESC)
+  UNION ALL SELECT 'sections', run_id, id, content_md FROM (SELECT DISTINCT ON (run_id, id) * FROM sections ORDER BY run_id, id, loaded_at DESC)) i
+JOIN split_limits l ON l.tbl = i.tbl AND l.field = CASE i.tbl WHEN 'chunk' THEN 'text' ELSE 'content_md' END
+WHERE length(trim(i.text, chr(32) || chr(9) || chr(13) || chr(10))) > l.max_chars
+"""
 SQL: dict[str, str] = {
+    "p2_found": _NEAR + "SELECT x.id AS id_a, y.id AS id_b FROM g x JOIN g y ON x.grp = y.grp AND x.id < y.id",
+    "p2_groups": _NEAR + "SELECT id, class, grp FROM g",
+    "p3_whole": _LENGTHS,
     "p3_found": _TOO_LONG,
     "p4_found": _TAGS,
     "p4_links": _CLASSES + "SELECT id, class, n_equal, (SELECT count(*) FROM links WHERE class IN (class_a, class_b)) AS n_links FROM m",

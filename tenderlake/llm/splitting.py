@@ -1,8 +1,11 @@
 """Cutting oversized texts at natural boundaries.
 
-Dynamic programming over boundary positions: of all ways to cut a text into pieces within the
-limit, each starting a fixed overlap before the previous one ends, the one with the least sum of
-cut penalties and squared deviations from even sizes is taken.
+Dynamic programming over boundary positions: of all ways to cut a text at its candidate positions
+into pieces within the limit, each starting a fixed overlap before the previous one ends, the one
+with the least sum of cut penalties and squared deviations from even sizes is taken. All natural
+boundaries are candidates. Words are where the natural ones lie more than half a stride (limit less
+overlap) apart, single characters where the words do too, every 64th of a stride; with better
+boundaries near, their penalty hardly ever pays.
 """
 
 from __future__ import annotations
@@ -17,6 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Characters of a heading that stays with the text below it, at most; longer lines with a mark are text.
+HEADING = 200
 #: Cost of a cut at each kind of boundary; a piece more costs PIECE, unevenness EVEN x deviation².
 PENALTY = {"heading": 0.0, "paragraph": 0.1, "line": 0.4, "sentence": 0.6, "clause": 2.0, "word": 4.0, "hard": 12.0}
 PIECE, EVEN = 1.0, 2.0
@@ -61,7 +66,7 @@ def boundaries(text: str, stride: int) -> tuple[np.ndarray, np.ndarray]:
             kind = "heading"
         elif kind in ("paragraph", "line"):
             start = text.rfind("\n", 0, m.start()) + 1
-            if text[start] == "#" and m.start() - start < 200:  # a heading stays with its text
+            if text[start] == "#" and m.start() - start < HEADING:  # a heading stays with its text
                 kind = "clause"
         natural.append((end, KINDS.index(kind)))
     hard = KINDS.index("hard")

@@ -6,10 +6,11 @@ import base64
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-#: Vocabulary file, present at this path on every executor.
+#: Setting of a session that names the vocabulary file, and the path without it; the file is present there on every executor.
+SETTING = "tenderlake.vocabulary"
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # Fixed value: the split pattern that belongs to the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -28,8 +29,10 @@ def count_tokens(text: str | None, path: str = VOCABULARY) -> int:
     return len(encoder(path).encode_ordinary(text)) if text else 0
 
 
-def n_tokens(text: Column, path: str = VOCABULARY) -> Column:
-    """Tokens of a text; 0 for null and empty texts."""
+def n_tokens(text: Column, path: str | None = None) -> Column:
+    """Tokens of a text by the vocabulary at ``path`` (else that of SETTING); 0 for null and empty texts."""
+    session = SparkSession.getActiveSession()
+    path = path or (session.conf.get(SETTING, None) if session else None) or VOCABULARY
 
     @F.pandas_udf("bigint")
     def sizes(texts: pd.Series) -> pd.Series:
