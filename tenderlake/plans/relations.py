@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tenderlake.functions import lexicon as lex
 from tenderlake.functions import text as T
 from tenderlake.operators import assurance, integrity, matching, measures, render, retrieval, structure
+from tenderlake.plans import documents
 from tenderlake.session import kept, stage, table, texts
 from tenderlake.sources import store
 
@@ -310,15 +313,14 @@ def dangling_themes(spark: SparkSession, d: str) -> DataFrame:
 
 def last_signup(spark: SparkSession, d: str) -> DataFrame:
     """The nearest earlier signup of the same user, for every purchase."""
-    e = table(spark, d, "events")
-    e = e.withColumn("signup_id", measures.last_before(e, ["user_id"], ["ts", "event_id"], F.col("event_type") == "signup", "event_id"))
+    e = measures.last_before(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], F.col("event_type") == "signup", "event_id", "signup_id")
     return e.where("event_type = 'purchase'").select("event_id", "user_id", "signup_id")
 
 
 def request_rate(spark: SparkSession, d: str) -> DataFrame:
     """Busiest hour of each user: most events in any sliding hour."""
-    e = table(spark, d, "events")
-    return e.select("user_id", measures.in_window(["user_id"], "ts", 3600).alias("n")).groupBy("user_id").agg(F.max("n").alias("most"))
+    e = measures.in_window(table(spark, d, "events").select("user_id", "ts"), ["user_id"], "ts", 3600, "n")
+    return e.groupBy("user_id").agg(F.max("n").alias("most"))
 
 
 def event_usage(spark: SparkSession, d: str) -> DataFrame:
@@ -349,7 +351,29 @@ def event_props(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("event_type").agg(F.count("k").alias("n"), F.sum("k").alias("total"), F.max("k").alias("largest"))
 
 
-QUERIES = {f.__name__: f for f in (bm25_top, fused_top, context_packs, search_quality, dense_top, dense_decisions, dense_decisions_all, background, background_all, calibration_check, calibration_agreement, proof_matches, proof_matches_all, theme_threads, theme_checks, theme_sections, retrieval_queries, labelled_matches, statement_conflicts, grounding_inputs, search_decisions, compliance_matrix, compliance_coverage, compliance_markdown, unplaced_requirements, cited_sources, named_requirements, section_requirements, record_conflicts, latest_records, merged_events, domain_violations, key_violations, dangling_themes, last_signup, request_rate, event_usage, kind_breakdown, automation_rates, running_totals, event_props)}
+def finding_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Findings by type, over what is written of orders."""
+    found = {"ENTITY_VALUE": statement_conflicts, "TABLE_TOTAL": documents.order_totals, "PERCENTAGE": documents.order_reserves, "DURATION": documents.order_durations, "RISK_LANGUAGE": documents.order_promises}
+    parts = [query(spark, d).groupBy().agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "n") for kind, query in found.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def order_failures(spark: SparkSession, d: str) -> DataFrame:
+    """The first problem of what is written of each order: a wrong total, else a blocking phrase."""
+    wrong = documents.order_totals(spark, d).select("order", F.lit("TABLE_TOTAL").alias("kind"), F.lit("stated total differs").alias("detail"))
+    return assurance.failures(wrong, documents.order_promises(spark, d), ["order"])
+
+
+def evaluation(spark: SparkSession, d: str) -> DataFrame:
+    """Measures of search, extraction and calibration with their targets."""
+    q = search_quality(spark, d).agg(F.avg("recall_k").alias("Recall@5"), F.avg("reciprocal_rank").alias("MRR"), F.avg("ndcg").alias("nDCG@5"))
+    r = labelled_matches(spark, d).agg(F.avg(F.col("first_match").isNotNull().cast("int")).alias("Requirement recall"))
+    c = calibration_agreement(spark, d).select(F.col("f1").alias("Calibration F1"))
+    parts = [df.select(F.lit(name).alias("metric"), F.round(F.coalesce(F.col(f"`{name}`"), F.lit(0.0)), 4).alias("value"), F.lit(target).alias("target")) for df, name, target in ((q, "Recall@5", 0.85), (q, "MRR", 0.70), (q, "nDCG@5", 0.75), (r, "Requirement recall", 0.90), (c, "Calibration F1", 0.50))]
+    return reduce(DataFrame.unionByName, parts).withColumn("passed", F.col("value") >= F.col("target"))
+
+
+QUERIES = {f.__name__: f for f in (finding_counts, order_failures, evaluation, bm25_top, fused_top, context_packs, search_quality, dense_top, dense_decisions, dense_decisions_all, background, background_all, calibration_check, calibration_agreement, proof_matches, proof_matches_all, theme_threads, theme_checks, theme_sections, retrieval_queries, labelled_matches, statement_conflicts, grounding_inputs, search_decisions, compliance_matrix, compliance_coverage, compliance_markdown, unplaced_requirements, cited_sources, named_requirements, section_requirements, record_conflicts, latest_records, merged_events, domain_violations, key_violations, dangling_themes, last_signup, request_rate, event_usage, kind_breakdown, automation_rates, running_totals, event_props)}
 
 
 def _latest(name: str, keys: str) -> str:
@@ -482,3 +506,21 @@ SQL["background_all"] = _BOUNDS.replace(_DENSE, _ALL_PAIRS)
 SQL["dense_decisions_all"] = SQL["dense_decisions"].replace(_BOUNDS, SQL["background_all"])
 SQL["proof_matches_all"] = SQL["proof_matches"].replace(" WHERE regexp_extract(id, '(\\d+)\\D*$', 1)::BIGINT % 50 = 0", "")
 SQL["compliance_markdown"] = SQL["compliance_markdown"].replace("p USING (run_id) WHERE FALSE", "p ON p.run_id = r.run_id AND p.requirement_id = r.id").replace("SELECT run_id, '|", "SELECT r.run_id, '|").replace("GROUP BY run_id", "GROUP BY r.run_id")
+_FOUND = {"ENTITY_VALUE": SQL["statement_conflicts"], "TABLE_TOTAL": documents.SQL["order_totals"], "PERCENTAGE": documents.SQL["order_reserves"], "DURATION": documents.SQL["order_durations"], "RISK_LANGUAGE": documents.SQL["order_promises"]}
+SQL["finding_counts"] = " UNION ALL ".join(f"SELECT '{kind}' AS kind, (SELECT count(*) FROM ({sql})) AS n" for kind, sql in _FOUND.items())
+SQL["order_failures"] = f"""
+SELECT "order", arg_min(reason, src * 1000 + reason_no) AS reason FROM (SELECT *, row_number() OVER (PARTITION BY "order" ORDER BY src, reason) AS reason_no FROM (
+  SELECT "order", 0 AS src, 'TABLE_TOTAL: stated total differs' AS reason FROM ({documents.SQL["order_totals"]}) UNION ALL SELECT "order", 1, 'risk language: ' || label || ' ' || phrase FROM ({documents.SQL["order_promises"]}) WHERE severity = 'BLOCKER')) GROUP BY "order" """
+SQL["evaluation"] = f"""
+WITH q AS ({SQL["search_quality"].strip()}), r AS ({SQL["labelled_matches"]}), c AS ({SQL["calibration_agreement"].strip()}),
+m AS (SELECT 'Recall@5' AS metric, avg(recall_k) AS v, 0.85 AS target FROM q UNION ALL SELECT 'MRR', avg(reciprocal_rank), 0.70 FROM q UNION ALL SELECT 'nDCG@5', avg(ndcg), 0.75 FROM q
+  UNION ALL SELECT 'Requirement recall', avg((first_match IS NOT NULL)::INT), 0.90 FROM r UNION ALL SELECT 'Calibration F1', max(f1), 0.50 FROM c)
+SELECT metric, round(coalesce(v, 0), 4) AS value, target::DOUBLE AS target, round(coalesce(v, 0), 4) >= target AS passed FROM m"""
+_ANSWER_CLAIMS = documents._CLAIMS.replace("run_id, id", "id").replace("content_md", "answer").replace(documents._SEC.replace("run_id, id", "id"), documents._HQ)
+SQL["grounding_inputs"] = _ANSWER_CLAIMS + f""", b AS (SELECT id, (row_number() OVER (PARTITION BY id ORDER BY ix) - 1) // 8 AS batch_no, sentence FROM claims WHERE checkable),
+n AS (SELECT id, batch_no, count(*) AS n_sentences, (sum(length(sentence)) + count(*) - 1)::BIGINT AS chars FROM b GROUP BY ALL),
+q AS (SELECT query, arg_min_null(relevant_ids, query_id) AS r FROM {_latest('retrieval_pairs', 'query_id')} WHERE query IS NOT NULL GROUP BY query),
+c AS (SELECT h.id, upper(trim(unnest(r))) AS source_id FROM {_latest('hq_001_030', 'id')} h JOIN q ON q.query = h.question),
+t AS (SELECT upper(trim(source_id)) AS source_id, left(arg_min(text, id), 700) AS text FROM {_latest('chunk', 'id')} WHERE text IS NOT NULL GROUP BY ALL),
+s AS (SELECT id, count(*) AS n_sources, sum(length(text))::BIGINT AS source_chars FROM c JOIN t USING (source_id) WHERE source_id <> '' AND text <> '' GROUP BY id)
+SELECT id, batch_no, n_sentences, chars, coalesce(n_sources, 0) AS n_sources, coalesce(source_chars, 0) AS source_chars FROM n LEFT JOIN s USING (id)"""

@@ -167,3 +167,17 @@ def test_narrative_sections(spark, rows):
     got = matching.narrative_outline(r, ["run_id"])
     assert rows(got.where("run_id = 'r'"), "order_index", "title", "n_requirements") == [(0, "Executive summary", 0), (1, "Security, data protection and compliance", 1), (2, "Commercials", 1), (3, "Submission compliance", 2), (4, "Additional requirements", 1)]
     assert rows(got.where("run_id = 's'"), "title", "target_words") == [("Additional requirements", 400), ("Executive summary", 500)]
+
+
+def test_windows_of_hot_keys(spark, monkeypatch):
+    rng = random.Random(3)
+    rows_ = [(rng.choice(["hot", "hot", "hot", None, "k"]), i * 7 % 400, rng.choice([1.5, 2.0, None]), rng.choice(["a", "b"])) for i in range(400)]
+    df = spark.createDataFrame(rows_, "k string, o int, v double, e string").withColumn("ts", F.timestamp_seconds(F.col("o") * 60))
+    def all_three():
+        run = {(r["k"], r["o"]): (r["start"], r["end"], r["share"]) for r in measures.running(df, ["k"], ["o"], "v").collect()}
+        last = {(r["k"], r["o"]): r["x"] for r in measures.last_before(df, ["k"], ["o"], F.col("e") == "a", "o", "x").collect()}
+        n = {(r["k"], r["o"]): r["n"] for r in measures.in_window(df, ["k"], "ts", 600, "n").collect()}
+        return run, last, n
+    want = all_three()
+    monkeypatch.setattr(measures, "HOT_ROWS", 20)
+    assert all_three() == want and len(want[0]) == 400
