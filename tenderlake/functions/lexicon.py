@@ -102,3 +102,13 @@ NARRATIVE_SPINE = [
 FORM_AFFINITY = {"GANTT": "Delivery plan and timeline", "COSTING": "Commercials", "CHART": "Recommended approach", "MATRIX": "Governance and assurance", "TABLE": "Team and resourcing", "APPENDIX": "Submission compliance"}
 MATCH_SIMILARITY, MATCH_CONTAINMENT = 0.45, 0.75
 RETRIEVAL_QUERY_CHARS, PARAPHRASE_CHARS = 900, 400
+HEADING = r"^(#{1,6})\s+(.*?)\s*$"
+NUMBERING = r"^\s*((?:\d+|[A-Z])(?:\.\d+)*)[.)]?\s+(.*)$"
+UNTITLED, TITLE_WORDS, TITLE_END = "Untitled section", 14, "[.;,]$"
+TABLE_ROW = r"^\s*\|(.+)\|\s*$"
+BLANK_CELL = r"\A[-: ]*\z"
+LIST_MARK = r"^\s*(?:[-*+]|\d+[.)])\s+"
+PERCENT_WEIGHT, POINTS_WEIGHT = r"(\d{1,3}(?:\.\d+)?)\s*%", r"(?i)\b(\d{1,3})\s*(?:points?|pts?|marks?)\b"
+CRITERION_HEADS = ["criterion", "criteria", "requirement"]
+SCAFFOLDING = r"(^|\s)---+(\s|$)|(^|\s)###?\s"
+QUESTION = r"\?\s*\z"

@@ -41,13 +41,13 @@ def criteria(nodes: DataFrame, keys: list[str]) -> DataFrame:
     evaluation sections a row needs a weight. Header names and requirement ids are no criteria.
     """
     line = nodes.select(*keys, "node_ord", F.coalesce("title", F.lit("")).alias("title"), F.posexplode(F.split("body", "\n")).alias("line_no", "line"))
-    raw = F.regexp_extract("line", r"^\s*\|(.+)\|\s*$", 1)
-    cells = F.filter(F.transform(F.split(raw, r"\|"), T.normalize), lambda c: ~c.rlike(r"\A[-: ]*\z"))
+    raw = F.regexp_extract("line", lex.TABLE_ROW, 1)
+    cells = F.filter(F.transform(F.split(raw, r"\|"), T.normalize), lambda c: ~c.rlike(lex.BLANK_CELL))
     rows = line.where(raw != "").select(*keys, "node_ord", "title", "line_no", cells.alias("cells")).where("size(cells) >= 2")
-    number = lambda c: F.coalesce(F.nullif(F.regexp_extract(c, r"(\d{1,3}(?:\.\d+)?)\s*%", 1), F.lit("")), F.nullif(F.regexp_extract(c, r"(?i)\b(\d{1,3})\s*(?:points?|pts?|marks?)\b", 1), F.lit(""))).try_cast("double")
+    number = lambda c: F.coalesce(F.nullif(F.regexp_extract(c, lex.PERCENT_WEIGHT, 1), F.lit("")), F.nullif(F.regexp_extract(c, lex.POINTS_WEIGHT, 1), F.lit(""))).try_cast("double")
     weights = F.filter(F.transform(F.slice("cells", F.lit(2), F.greatest(F.size("cells"), F.lit(1))), number), lambda w: w.isNotNull())
     named = rows.select(*keys, F.struct("node_ord", "line_no").alias("ord"), "title", F.get("cells", F.lit(0)).alias("name"), F.get(weights, F.lit(0)).alias("weight"))
-    named = named.where(~F.lower("name").isin("criterion", "criteria", "requirement") & ~F.col("name").rlike(rf"\A{lex.REQUIREMENT_ID}\z"))
+    named = named.where(~F.lower("name").isin(lex.CRITERION_HEADS) & ~F.col("name").rlike(rf"\A{lex.REQUIREMENT_ID}\z"))
     named = named.where(F.col("weight").isNotNull() | F.col("title").rlike("(?i)" + lex.EVALUATION_SECTION))
     once = named.groupBy(*keys, F.lower("name").alias("key")).agg(F.min(F.struct("ord", "name", "weight")).alias("first"))
     place = F.row_number().over(Window.partitionBy(*keys).orderBy("first.ord"))

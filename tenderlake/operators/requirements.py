@@ -30,13 +30,13 @@ def section_priority(title: Column) -> Column:
 
 def plausible(text: Column) -> Column:
     ids = F.array_distinct(F.regexp_extract_all(text, F.lit(lex.LONG_REQUIREMENT_ID), F.lit(0)))
-    return (T.word_count(text) >= lex.MIN_REQUIREMENT_WORDS) & ~text.rlike(r"\A[-:| ]*\z") & (F.size(ids) <= 1) & ~text.rlike(r"(^|\s)---+(\s|$)|(^|\s)###?\s")
+    return (T.word_count(text) >= lex.MIN_REQUIREMENT_WORDS) & ~text.rlike(r"\A[-:| ]*\z") & (F.size(ids) <= 1) & ~text.rlike(lex.SCAFFOLDING)
 
 
 def req_type(text: Column, title: Column, priority_: Column) -> Column:
     blob = F.lower(F.concat(title, F.lit(" "), text))
     return (
-        F.when(text.rlike(r"\?\s*\z"), "EXPLICIT_QUESTION")
+        F.when(text.rlike(lex.QUESTION), "EXPLICIT_QUESTION")
         .when(F.lower(title).rlike(lex.SUBMISSION_TITLE), "SUBMISSION_RULE")
         .when(F.lower(title).rlike(lex.EVALUATION_TITLE), "EVAL_CRITERION")
         .when(blob.rlike(lex.SUBMISSION_TEXT), "SUBMISSION_RULE")
@@ -57,8 +57,8 @@ def candidates(nodes: DataFrame, keys: list[str]) -> DataFrame:
     at = [*keys, "node_ord"]
     line = nodes.select(*at, F.posexplode(F.split("body", "\n")).alias("line_no", "line"))
     labelled = line.select(*at, F.lit(0).alias("pass"), "line_no", F.lit(0).alias("pos"), T.normalize(F.regexp_extract("line", lex.LABELLED, 2)).alias("text"), F.concat(F.lit("labelled "), F.regexp_extract("line", lex.LABELLED, 1)).alias("evidence")).where("text <> ''")
-    raw = F.regexp_extract("line", r"^\s*\|(.+)\|\s*$", 1)
-    cells = F.filter(F.transform(F.split(raw, r"\|"), T.normalize), lambda c: ~c.rlike(r"\A[-: ]*\z"))
+    raw = F.regexp_extract("line", lex.TABLE_ROW, 1)
+    cells = F.filter(F.transform(F.split(raw, r"\|"), T.normalize), lambda c: ~c.rlike(lex.BLANK_CELL))
     rows = line.where(raw != "").select(*at, "line_no", cells.alias("cells")).where("size(cells) > 0")
     longest = F.aggregate("cells", F.lit(""), lambda best, c: F.when(F.length(c) > F.length(best), c).otherwise(best))
     rid = F.get(F.filter("cells", lambda c: c.rlike(rf"\A{lex.REQUIREMENT_ID}\z")), F.lit(0))

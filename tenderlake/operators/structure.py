@@ -22,7 +22,7 @@ def headings(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
     a document without headings is one node of level 1 whose title is its first short line.
     parent_ord is the nearest earlier node of a smaller level, null at the top.
     """
-    line = lines(docs, keys, text).withColumn("hashes", F.regexp_extract("line", r"^(#{1,6})\s+(.*?)\s*$", 1)).withColumn("head", F.regexp_extract("line", r"^(#{1,6})\s+(.*?)\s*$", 2))
+    line = lines(docs, keys, text).withColumn("hashes", F.regexp_extract("line", lex.HEADING, 1)).withColumn("head", F.regexp_extract("line", lex.HEADING, 2))
     by_line = Window.partitionBy(*keys).orderBy("line_no")
     line = line.withColumn("island", F.sum((F.col("hashes") != "").cast("int")).over(by_line.rowsBetween(Window.unboundedPreceding, 0)))
     line = line.withColumn("any_head", F.max("island").over(Window.partitionBy(*keys)) > 0)
@@ -34,15 +34,15 @@ def headings(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
     )
     nodes = nodes.where((F.col("island") > 0) | ~F.col("any_head") | (T.strip(F.col("body")) != ""))
     first_line = T.strip(F.get(F.filter(F.split("body", "\n"), lambda x: T.strip(x) != ""), F.lit(0)))
-    short = (T.word_count(first_line) <= 14) & ~first_line.rlike("[.;,]$")
-    numbering = F.regexp_extract("title", r"^\s*((?:\d+|[A-Z])(?:\.\d+)*)[.)]?\s+(.*)$", 1)
-    rest = F.regexp_extract("title", r"^\s*((?:\d+|[A-Z])(?:\.\d+)*)[.)]?\s+(.*)$", 2)
+    short = (T.word_count(first_line) <= lex.TITLE_WORDS) & ~first_line.rlike(lex.TITLE_END)
+    numbering = F.regexp_extract("title", lex.NUMBERING, 1)
+    rest = F.regexp_extract("title", lex.NUMBERING, 2)
     nodes = nodes.select(
         *keys,
         (F.row_number().over(Window.partitionBy(*keys).orderBy("island")) - 1).alias("node_ord"),
         F.when(~F.col("any_head"), 1).otherwise(F.col("level")).alias("level"),
         F.nullif(numbering, F.lit("")).alias("numbering"),
-        F.when(F.col("island") == 0, F.when(short, first_line).otherwise("Untitled section")).when(numbering != "", rest).otherwise(F.col("title")).alias("title"),
+        F.when(F.col("island") == 0, F.when(short, first_line).otherwise(lex.UNTITLED)).when(numbering != "", rest).otherwise(F.col("title")).alias("title"),
         T.strip(F.col("body")).alias("body"),
     )
     before = Window.partitionBy(*keys).orderBy("node_ord").rowsBetween(Window.unboundedPreceding, -1)
@@ -83,7 +83,7 @@ def claim_sentences(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
     live = line.where(~F.col("fence") & ~F.col("fenced") & (F.col("s") != "")).withColumn("separator", F.col("s").rlike(lex.TABLE_SEPARATOR))
     live = live.withColumn("header", F.col("s").startswith("|") & F.coalesce(F.lead("separator").over(by_line), F.lit(False)))
     live = live.where(~F.col("separator") & ~F.col("header") & ~F.col("s").rlike(r"^#{1,6}\s"))
-    bare = F.regexp_replace("s", r"^\s*(?:[-*+]|\d+[.)])\s+", "")
+    bare = F.regexp_replace("s", lex.LIST_MARK, "")
     parts = F.when(F.col("s").startswith("|"), F.array(T.normalize(F.col("s")))).otherwise(T.split_sentences(bare))
     out = live.select(*keys, "line_no", F.posexplode(F.filter(parts, lambda p: p != "")).alias("at", "sentence"))
     return out.select(*keys, (F.row_number().over(Window.partitionBy(*keys).orderBy("line_no", "at")) - 1).alias("ix"), "sentence")

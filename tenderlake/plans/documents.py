@@ -388,3 +388,39 @@ SELECT o_orderkey AS "order", label, severity, phrase FROM orders JOIN (VALUES (
   (3, 'unbounded responsibility', 'BLOCKER', 'we accept full responsibility'), (4, 'absolute quality claim', 'BLOCKER', 'zero defects'), (4, 'unbounded liability', 'BLOCKER', 'unlimited support')) AS v(m, label, severity, phrase) ON o_orderkey % 6 = m"""
 SQL["part_criteria"] = """
 SELECT brand, row_number() OVER (PARTITION BY brand ORDER BY no) AS place, name, weight FROM (SELECT p_brand AS brand, min(p_partkey) AS no, trim(regexp_replace(arg_min(p_name, p_partkey), '\\s+', ' ', 'g')) AS name, arg_min(p_size, p_partkey)::DOUBLE AS weight FROM part GROUP BY p_brand, lower(p_name))"""
+_NUMBERED = SQL["heading_tree"].replace("length(body) AS body_chars", f"body, nullif(regexp_extract(head, '{lex.NUMBERING}', 1), '') AS numbering")
+_NORMAL = "trim(regexp_replace(regexp_replace({}, '[*_`]+', '', 'g'), '\\s+', ' ', 'g'))"
+_BAND = f"CASE WHEN regexp_matches(t, '{_re(lex.MANDATORY_CUES)}') THEN 'MANDATORY' WHEN regexp_matches(t, '{_re(lex.WEIGHTED_CUES)}') THEN 'WEIGHTED' WHEN regexp_matches(t, '{_re(lex.OPTIONAL_CUES)}') THEN 'NICE_TO_HAVE' END"
+_CUE = f"coalesce(nullif(lower(regexp_extract(t, '{_re(lex.MANDATORY_CUES)}')), ''), nullif(lower(regexp_extract(t, '{_re(lex.WEIGHTED_CUES)}')), ''), nullif(lower(regexp_extract(t, '{_re(lex.OPTIONAL_CUES)}')), ''))"
+_KEY = f"left(array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(lower({_NORMAL.format('t')}), '{lex.DEDUPE_WORDS}', ' ', 'g'), '[^a-z0-9 ]+', ' ', 'g'), '\\s+'), lambda x: x <> ''))), ' '), 220)"
+SQL["requirement_extract"] = f"""
+WITH nodes AS (SELECT doc_id, node_ord, coalesce(title, '') AS title, coalesce(numbering, nullif(coalesce(title, ''), ''), 'n' || node_ord) AS section, body FROM ({_NUMBERED})),
+line AS (SELECT doc_id, node_ord, i - 1 AS line_no, l[i] AS line FROM (SELECT doc_id, node_ord, string_split(body, chr(10)) AS l FROM nodes), unnest(range(1, len(l) + 1)) AS u(i)),
+lab AS (SELECT doc_id, node_ord, 0 AS pass, line_no, {_NORMAL.format(f"regexp_extract(line, '{lex.LABELLED}', 2)")} AS t, 'labelled ' || regexp_extract(line, '{lex.LABELLED}', 1) AS evidence FROM line),
+cells AS (SELECT doc_id, node_ord, line_no, list_filter(list_transform(string_split(regexp_extract(line, '{lex.TABLE_ROW}', 1), '|'), lambda c: {_NORMAL.format('c')}), lambda c: NOT regexp_matches(c, '^[-: ]*$')) AS c FROM line WHERE regexp_extract(line, '{lex.TABLE_ROW}', 1) <> ''),
+rowed AS (SELECT doc_id, node_ord, 1 AS pass, line_no, list_filter(c, lambda x: length(x) = list_max(list_transform(c, lambda y: length(y))))[1] AS t, list_filter(c, lambda x: regexp_full_match(x, '{lex.REQUIREMENT_ID}'))[1] AS rid FROM cells WHERE len(c) > 0),
+sents AS (SELECT doc_id, node_ord, 2 AS pass, i - 1 AS line_no, trim(replace(p[i], '§', '.')) AS t FROM (SELECT doc_id, node_ord, {_SENTENCES.format('body')} AS p FROM nodes), unnest(range(1, len(p) + 1)) AS u(i)),
+cued AS (
+  SELECT doc_id, node_ord, pass, line_no, t, coalesce('cue ' || chr(39) || {_CUE} || chr(39), 'imperative ' || chr(39) || nullif(lower(regexp_extract(t, '{_re(lex.IMPERATIVE)}', 1)), '') || chr(39), CASE WHEN regexp_matches(t, '{_re(lex.DECLARATIVE_RULE)}') THEN 'declarative submission rule' END) AS evidence FROM sents
+), every AS (
+  SELECT * FROM lab WHERE t <> ''
+  UNION ALL SELECT doc_id, node_ord, pass, line_no, t, 'table row' || coalesce(' ' || rid, '') FROM rowed WHERE rid IS NOT NULL OR {_BAND} IS NOT NULL
+  UNION ALL SELECT * FROM cued WHERE evidence IS NOT NULL
+), good AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, node_ord, lower(t) ORDER BY pass, line_no) AS n, pass * 10000000 + line_no AS ord FROM every
+  WHERE len(list_filter(regexp_split_to_array(t, '\\s+'), lambda x: x <> '')) >= {lex.MIN_REQUIREMENT_WORDS} AND NOT regexp_matches(t, '^[-:| ]*$') AND len(list_distinct(regexp_extract_all(t, '{lex.LONG_REQUIREMENT_ID}'))) <= 1 AND NOT regexp_matches(t, '{lex.SCAFFOLDING}')
+), c AS (
+  SELECT g.*, title AS s, section, {_BAND} AS said, regexp_matches(evidence, '^(labelled|table row)') AS explicit, regexp_matches(t, '{_re(lex.IMPERATIVE)}') OR regexp_matches(t, '{_re(lex.DECLARATIVE_RULE)}') AS directive FROM good g JOIN nodes USING (doc_id, node_ord) WHERE n = 1
+), k AS (
+  SELECT doc_id, node_ord * 100000000 + ord AS at_ord, t, s, section, evidence || CASE WHEN said IS NULL THEN '; no modal cue, priority from section' ELSE '' END AS evidence, {_KEY} AS key,
+    coalesce(said, CASE WHEN regexp_matches(s, '{_re(lex.SECTION_OPTIONAL)}') THEN 'NICE_TO_HAVE' WHEN regexp_matches(s, '{_re(lex.SECTION_MANDATORY)}') THEN 'MANDATORY' WHEN regexp_matches(s, '{_re(lex.SECTION_WEIGHTED)}') THEN 'WEIGHTED' END, CASE WHEN directive AND explicit THEN 'MANDATORY' ELSE 'WEIGHTED' END) AS band
+  FROM c WHERE said IS NOT NULL OR explicit OR directive
+), f AS (
+  SELECT doc_id, key, min(at_ord) AS at_ord, arg_min(t, at_ord) AS t, arg_min(s, at_ord) AS s, arg_min(section, at_ord) AS section, arg_min(evidence, at_ord) AS evidence, arg_min(band, at_ord) AS band, max(CASE band WHEN 'MANDATORY' THEN 3 WHEN 'WEIGHTED' THEN 2 ELSE 1 END) AS top, count(*) AS n_found FROM k GROUP BY doc_id, key
+)
+SELECT doc_id, 'R-' || CASE WHEN no < 1000 THEN lpad(no::VARCHAR, 3, '0') ELSE no::VARCHAR END AS id, section AS source_section, t AS text,
+  CASE WHEN regexp_matches(t, '\\?\\s*$') THEN 'EXPLICIT_QUESTION' WHEN regexp_matches(lower(s), '{lex.SUBMISSION_TITLE}') THEN 'SUBMISSION_RULE' WHEN regexp_matches(lower(s), '{lex.EVALUATION_TITLE}') THEN 'EVAL_CRITERION'
+    WHEN regexp_matches(lower(s || ' ' || t), '{lex.SUBMISSION_TEXT}') THEN 'SUBMISSION_RULE' WHEN regexp_matches(lower(s || ' ' || t), '{lex.CONSTRAINT_TEXT}') THEN 'CONSTRAINT' WHEN band = 'MANDATORY' THEN 'SHALL_REQUIREMENT' ELSE 'IMPLIED_DELIVERABLE' END AS req_type,
+  CASE top WHEN 3 THEN 'MANDATORY' WHEN 2 THEN 'WEIGHTED' ELSE 'NICE_TO_HAVE' END AS priority,
+  CASE {_FORMS.replace('{}', 't')} {_FORMS.replace('{}', "(s || ' ' || t)")} ELSE 'PROSE' END AS deliverable_form, evidence AS cue_evidence, n_found
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY at_ord) AS no FROM f)"""
