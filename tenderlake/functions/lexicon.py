@@ -82,7 +82,7 @@ CONSTRAINT = r"\b(budget|ceiling|not to exceed|cap(?:ped)?|deadline|by \d{1,2} \
 ROLE = r"\b(chief \w+ officer|CIO|CTO|CFO|CEO|COO|CISO|head of [\w ]{3,30}|group head|programme director|project director|procurement (?:head|manager|team)|evaluation committee|expert review committee|steering committee|board)\b"
 RULE_CAP, ROLE_CAP = 25, 12
 LIBRARY_STRENGTH = {"STRONG": 2, "MEDIUM": 1, "MODERATE": 1, "WEAK": 0}
-SELLER_SIDE = r"\b(we are|we're|our company is|c4 is|industry[- ]leading|world[- ]class|best[- ]in[- ]class|market leader|leading provider|award[- ]winning|trusted partner|we offer|we provide)\b"
+SELLER_SIDE = r"\b(we are|we're|our company is|industry[- ]leading|world[- ]class|best[- ]in[- ]class|market leader|leading provider|award[- ]winning|trusted partner|we offer|we provide)\b"
 MIN_THREADS, MAX_SUPPORTING = 2, 4
 COMPLIANCE_SIGNALS = r"prescribed (?:format|template|structure)|in the order|follow the structure|mirror|questionnaire|respond to each|answer each|section by section|annexure [a-z]|prescribed excel|required formats?"
 NARRATIVE_SPINE = [
