@@ -181,3 +181,46 @@ def test_windows_of_hot_keys(spark, monkeypatch):
     want = all_three()
     monkeypatch.setattr(measures, "HOT_ROWS", 20)
     assert all_three() == want and len(want[0]) == 400
+
+
+def _shuffled(spark, since=-1):
+    """The last stage so far, and the rows that stages after ``since`` wrote for a shuffle."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    stages = [stages.apply(i) for i in range(stages.size())]
+    return max((s.stageId() for s in stages), default=-1), sum(s.shuffleWriteRecords() for s in stages if s.stageId() > since)
+
+
+def test_bm25_writes_no_pairs_of_queries_and_documents(spark):
+    docs = spark.createDataFrame([(f"D{i:04d}", "red fox " + ("hen" if i % 2 else "sea") if i < 600 else "owl tree") for i in range(2000)], "id string, text string")
+    q = spark.createDataFrame([(f"Q{i:02d}", "red fox hen") for i in range(50)], "query_id string, query string")
+    post = retrieval.postings(docs, "id", "text").cache()
+    counts = retrieval.term_counts(post).cache()
+    counts.count()
+    since, _ = _shuffled(spark)
+    got = retrieval.bm25(post, counts, 2000, "id", q, "query_id", "query", depth=5).collect()
+    assert {r["query_id"]: r["id"] for r in got if r["rank"] == 5} == {f"Q{i:02d}": "D0009" for i in range(50)} and len(got) == 250
+    assert _shuffled(spark, since)[1] < 600 * 50 / 4
+
+
+def test_rankings_in_parts_match_brute_force(spark, monkeypatch):
+    for name, n in (("HEAVY", 9), ("ASKED", 3), ("STEP", 4)):
+        monkeypatch.setattr(retrieval, name, n, raising=False)
+    rng = random.Random(9)
+    names = ["red", "fox", "hen", "sea", "tree", "pen", "owl"]
+    texts = {f"D{i:02d}": [rng.choice(names) for _ in range(rng.randint(0, 5))] for i in range(90)}
+    asked = {f"Q{i}": rng.sample(names, rng.randint(1, 4)) for i in range(10)}
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in texts.items()], "id string, text string")
+    q = spark.createDataFrame([(k, " ".join(t)) for k, t in asked.items()], "query_id string, query string")
+    post = retrieval.postings(docs, "id", "text").cache()
+    counts = retrieval.term_counts(post).cache()
+    avg = sum(map(len, texts.values())) / 90
+    idf = {w: math.log(90 - d + 0.5) - math.log(d + 0.5) for w, d in Counter(w for t in texts.values() for w in set(t)).items()}
+    gain = lambda t, w: idf[w] * t.count(w) * 2.5 / (t.count(w) + 1.5 * (0.25 + 0.75 * len(t) / avg))
+    ways = {
+        "bm25": (retrieval.bm25(post, counts, 90, "id", q, "query_id", "query", depth=6), lambda t, ws: round(sum(gain(t, w) for w in ws), 6)),
+        "share": (retrieval.word_share(post, counts, "id", q, "query_id", "query", depth=6), lambda t, ws: round(len(set(t) & set(ws)) / len(ws), 6)),
+    }
+    for got, score in ways.values():
+        want = [(k, i, -s, rank) for k, ws in asked.items() for rank, (s, i) in enumerate(sorted((-score(t, ws), i) for i, t in texts.items() if score(t, ws) > 0)[:6], 1)]
+        assert sorted((r["query_id"], r["id"], r["score"], r["rank"]) for r in got.collect()) == sorted(want)
