@@ -224,3 +224,17 @@ def test_rankings_in_parts_match_brute_force(spark, monkeypatch):
     for got, score in ways.values():
         want = [(k, i, -s, rank) for k, ws in asked.items() for rank, (s, i) in enumerate(sorted((-score(t, ws), i) for i, t in texts.items() if score(t, ws) > 0)[:6], 1)]
         assert sorted((r["query_id"], r["id"], r["score"], r["rank"]) for r in got.collect()) == sorted(want)
+
+
+# Rows that a search may write for shuffles on sf0.01, its index there; one for each pair of query and chunk were more.
+SEARCHES = {"evaluation": 14_000}
+
+
+@pytest.mark.parametrize("name", SEARCHES)
+def test_search_writes_no_pairs(spark, name):
+    folder = "/root/testdata/sf0.01"
+    for part in relations._index(spark, folder)[:2]:
+        part.count()
+    since, _ = _shuffled(spark)
+    assert relations.QUERIES[name](spark, folder).count() > 0
+    assert _shuffled(spark, since)[1] < SEARCHES[name]
