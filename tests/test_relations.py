@@ -227,7 +227,7 @@ def test_rankings_in_parts_match_brute_force(spark, monkeypatch):
 
 
 # Rows that a search may write for shuffles on sf0.01, its index there; one for each pair of query and chunk were more.
-SEARCHES = {"evaluation": 14_000, "search_decisions": 17_000, "context_packs": 12_000, "fused_top": 8_000}
+SEARCHES = {"evaluation": 14_000, "search_decisions": 17_000, "context_packs": 12_000, "fused_top": 8_000, "search_quality": 10_000}
 
 
 @pytest.mark.parametrize("name", SEARCHES)
