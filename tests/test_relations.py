@@ -226,6 +226,16 @@ def test_rankings_in_parts_match_brute_force(spark, monkeypatch):
         assert sorted((r["query_id"], r["id"], r["score"], r["rank"]) for r in got.collect()) == sorted(want)
 
 
+def test_rankings_without_queries_or_documents(spark):
+    docs = spark.createDataFrame([(f"D{i}", "red fox") for i in range(5)] + [("E", "owl"), ("F", None)], "id string, text string")
+    q = spark.createDataFrame([("Q", "owl")], "query_id string, query string")
+    for some, asked, want in ((docs, q, ["E"]), (docs, q.limit(0), []), (docs.limit(0), q, [])):
+        post = retrieval.postings(some, "id", "text")
+        counts = retrieval.term_counts(post)
+        for got in (retrieval.bm25(post, counts, some.count(), "id", asked, "query_id", "query"), retrieval.word_share(post, counts, "id", asked, "query_id", "query")):
+            assert [r["id"] for r in got.collect()] == want
+
+
 # Rows that a search may write for shuffles on sf0.01, its index there; one for each pair of query and chunk were more.
 SEARCHES = {"evaluation": 14_000, "search_decisions": 17_000, "context_packs": 12_000, "fused_top": 8_000, "search_quality": 10_000}
 
