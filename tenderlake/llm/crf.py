@@ -85,37 +85,64 @@ class Chain:
         return tags, sure
 
 
-def train(f: Features, labels: np.ndarray, n_labels: int, n_buckets: int, steps: int = 80, begin: Chain | None = None, rate: float = 0.2, decay: float = 1e-3) -> Chain:
-    """Maximum conditional likelihood with an L2 penalty, by Adam over all sequences at once, from ``begin`` on."""
-    n, plan = len(f.lengths), _steps(f.lengths)
-    gold = np.eye(n_labels)[labels]
-    gold_step = sum((gold[a[: len(b)]].T @ gold[b] for (_, a), (_, b) in zip(plan, plan[1:])), np.zeros((n_labels, n_labels)))
-    params = [np.zeros((f.dense.shape[1], n_labels)), np.zeros((n_buckets, n_labels)), np.zeros((n_labels, n_labels)), np.zeros(n_labels)]
+@dataclass
+class Batch:
+    """Sequences with their labels; each weighs as much as told."""
+
+    f: Features
+    labels: np.ndarray  # of the items
+    weights: np.ndarray  # of the sequences
+
+
+def _gradient(model: Chain, batch: Batch, plan: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """Of the mean log likelihood of the labels."""
+    f, n_labels = batch.f, len(model.start)
+    gold = np.eye(n_labels)[batch.labels]
+    e = model.scores(f)
+    fwd, bwd = np.empty_like(e), np.zeros_like(e)
+    for t, (seqs, items) in enumerate(plan):
+        fwd[items] = e[items] + (model.start if t == 0 else _lse(fwd[plan[t - 1][1][: len(items)], :, None] + model.step, 1))
+    for t in range(len(plan) - 2, -1, -1):
+        after = plan[t + 1][1]
+        bwd[plan[t][1][: len(after)]] = _lse(model.step + (e[after] + bwd[after])[:, None, :], 2)
+    z = np.zeros(len(f.lengths))
+    z[plan[0][0]] = _lse(fwd[plan[0][1]] + bwd[plan[0][1]], 1)
+    weight = np.repeat(batch.weights, f.lengths)[:, None]
+    off = (gold - np.exp(fwd + bwd - np.repeat(z, f.lengths)[:, None])) * weight
+    pair = np.zeros((n_labels, n_labels))
+    for (_, a), (seqs, b) in zip(plan, plan[1:]):
+        a = a[: len(b)]
+        odds = np.exp(fwd[a, :, None] + model.step + (e[b] + bwd[b])[:, None, :] - z[seqs][:, None, None])
+        pair += (gold[a] * weight[a]).T @ gold[b] - (odds * weight[a, :, None]).sum(0)
+    by_word = (off * f.scale[:, None])[f.item]
+    words = np.stack([np.bincount(f.buckets, by_word[:, k], len(model.words)) for k in range(n_labels)], axis=1)
+    total = max(batch.weights.sum(), 1e-9)
+    return [g / total for g in (f.dense.T @ off, words, pair, off[plan[0][1]].sum(0))]
+
+
+def train(f: Features, labels: np.ndarray, n_labels: int, n_buckets: int, steps: int = 80, begin: Chain | None = None) -> Chain:
+    """``train_batches`` over all sequences at once, which weigh the same."""
+    return train_batches([Batch(f, labels, np.ones(len(f.lengths)))], n_labels, n_buckets, steps, begin)
+
+
+def train_batches(batches: list[Batch], n_labels: int, n_buckets: int, rounds: int, begin: Chain | None = None, rate: float = 0.2, decay: float = 1e-3) -> Chain:
+    """Maximum conditional likelihood with an L2 penalty, by Adam from ``begin`` on, a step for each batch in every round.
+
+    The rate falls; the weights returned are the mean of those after the steps of the last round.
+    """
+    plans = [_steps(b.f.lengths) for b in batches]
+    params = [np.zeros((batches[0].f.dense.shape[1], n_labels)), np.zeros((n_buckets, n_labels)), np.zeros((n_labels, n_labels)), np.zeros(n_labels)]
     if begin is not None:
         params = [begin.dense, begin.words, begin.step, begin.start]
-    m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+    m, v, mean = ([np.zeros_like(p) for p in params] for _ in range(3))
+    steps = rounds * len(batches)
     for it in range(1, steps + 1):
-        model = Chain(*params)
-        e = model.scores(f)
-        fwd, bwd = np.empty_like(e), np.zeros_like(e)
-        for t, (seqs, items) in enumerate(plan):
-            fwd[items] = e[items] + (model.start if t == 0 else _lse(fwd[plan[t - 1][1][: len(items)], :, None] + model.step, 1))
-        for t in range(len(plan) - 2, -1, -1):
-            after = plan[t + 1][1]
-            bwd[plan[t][1][: len(after)]] = _lse(model.step + (e[after] + bwd[after])[:, None, :], 2)
-        z = np.empty(n)
-        z[plan[0][0]] = _lse(fwd[plan[0][1]] + bwd[plan[0][1]], 1)
-        p = np.exp(fwd + bwd - np.repeat(z, f.lengths)[:, None])
-        pair = np.zeros((n_labels, n_labels))
-        for (_, a), (seqs, b) in zip(plan, plan[1:]):
-            pair += np.exp(fwd[a[: len(b)], :, None] + model.step + (e[b] + bwd[b])[:, None, :] - z[seqs][:, None, None]).sum(0)
-        off = gold - p
-        by_word = (off * f.scale[:, None])[f.item]
-        words = np.stack([np.bincount(f.buckets, by_word[:, k], n_buckets) for k in range(n_labels)], axis=1)
-        grads = [f.dense.T @ off, words, gold_step - pair, off[plan[0][1]].sum(0)]
-        for k, g in enumerate(grads):
-            g = g / n - decay * params[k]
+        at = (it - 1) % len(batches)
+        for k, g in enumerate(_gradient(Chain(*params), batches[at], plans[at])):
+            g = g - decay * params[k]
             m[k] = 0.9 * m[k] + 0.1 * g
             v[k] = 0.99 * v[k] + 0.01 * g * g
-            params[k] = params[k] + rate * (m[k] / (1 - 0.9**it)) / (np.sqrt(v[k] / (1 - 0.99**it)) + 1e-8)
-    return Chain(*params)
+            params[k] = params[k] + rate * max(0.05, 1 - it / steps) * (m[k] / (1 - 0.9**it)) / (np.sqrt(v[k] / (1 - 0.99**it)) + 1e-8)
+            if it > steps - len(batches):
+                mean[k] += params[k] / len(batches)
+    return Chain(*mean)

@@ -234,7 +234,57 @@ def _calibrated(model: LanguageModel, held: list[tuple[str, int]], seed: int = 5
     loss = model.losses(whole, size)
     weight = np.where(right.max(1) < 1, MIXED_WEIGHT, 1.0)
     missed = lambda f, p: -((right * np.log(_odds(loss, size, f, p) + 1e-9)).sum(1) * weight).sum()
-    return min(((f, p) for f in np.arange(-5, 3.01, 0.25) for p in np.arange(0, 1.01, 0.1)), key=lambda x: missed(*x))
+    return min(_grid(), key=lambda x: missed(*x))
+
+
+def _grid() -> list[tuple[float, float]]:
+    return [(f, p) for f in np.arange(-5, 3.01, 0.25) for p in np.arange(0, 1.01, 0.1)]
+
+
+#: Bins that means of n-gram weights (at most 4 either way) are counted in.
+BINS = 1024
+
+
+def bins(x: np.ndarray) -> np.ndarray:
+    return np.clip(((x + 4) * (BINS / 8)).astype(np.int64), 0, BINS - 1)
+
+
+def bit_weights(rate: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Log odds of n-grams for each bit, from their frequencies (languages x n-grams)."""
+    rate = rate / np.maximum(rate.sum(1, keepdims=True), 1) * 1e5
+    up, down = (np.stack([rate[code[:, bit] == side].mean(0) for bit in range(code.shape[1])], axis=1) for side in (1, -1))
+    return np.clip(np.log((up + 0.5) / (down + 0.5)), -4, 4).astype(np.float32)
+
+
+def logistic_of_counts(counts: np.ndarray, code: np.ndarray, steps: int = 300) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``_logistic`` of texts counted by language, bit and bin of ``bins``; counts may be weights."""
+    centre = ((np.arange(BINS) + 0.5) * (8 / BINS) - 4)[:, None]
+    up, down = ((counts * (code == side)[:, :, None]).sum(0).T for side in (1, -1))  # bins x bits
+    total = np.maximum((up + down).sum(0), 1e-9)
+    scale = np.maximum((np.abs(centre) * (up + down)).sum(0) / total, 1e-6)
+    z, slope, offset = centre / scale, np.ones(code.shape[1]), np.zeros(code.shape[1])
+    for step in range(steps):
+        odds = 1 / (1 + np.exp(-np.clip(z * slope + offset, -30, 30)))
+        g = (down * odds - up * (1 - odds)) / total
+        rate = 1.0 / (1 + step / 100)
+        slope -= rate * ((g * z).sum(0) + 1e-4 * slope)
+        offset -= rate * g.sum(0)
+    slope = np.maximum(slope, 0.1)
+    side = z * slope + offset > 0
+    right = (up * side + down * ~side).sum(0) / total
+    return slope / scale, offset, np.clip(2 * right - 1, 0.05, 1.0)
+
+
+def misses(model: LanguageModel, scores: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Of pieces the improbability of what is right (n-grams of each language in them) under all odds of ``_grid``."""
+    size = right.sum(1)
+    share, loss = right / size[:, None], model.losses(scores, size)
+    weight = np.where(share.max(1) < 1, MIXED_WEIGHT, 1.0)
+    return np.stack([-(share * np.log(_odds(loss, size, f, p) + 1e-9)).sum(1) * weight for f, p in _grid()], axis=1)
+
+
+def best_sharp(missed: np.ndarray) -> tuple[float, float]:
+    return _grid()[int(missed.argmin())]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 300) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
